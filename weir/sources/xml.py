@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from weir.session import pinned
+
 CORRUPT = "_corrupt_record"
 
 
@@ -23,12 +25,14 @@ def xml_rows(spark: SparkSession, path: str, row_tag: str, schema=None, xsd: str
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that validated, and the texts of those that did not."""
+    """Rows that validated, and the texts of those that did not.
+
+    The parsed rows are stored once: validation is not repeated for the second part, and the
+    reader refuses plans that need the corrupt text alone.
+    """
+    parsed = pinned(df, "xml")
     bad = F.col(CORRUPT).isNotNull()
-    # the reader refuses plans that need the corrupt text alone, so another column goes along
-    other = next(c for c in df.columns if c != CORRUPT)
-    text = F.coalesce(F.col(CORRUPT), F.col(other).cast("string"))
-    return df.filter(~bad).drop(CORRUPT), df.filter(bad).select(text.alias(CORRUPT))
+    return parsed.filter(~bad).drop(CORRUPT), parsed.filter(bad).select(CORRUPT)
 
 
 def rescue_unmatched(df: DataFrame, expected: T.StructType, column: str = "_rescued_data") -> DataFrame:
