@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
-from weir.session import STATE_STORE, build_session  # noqa: E402
+from weir.session import build_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,8 +18,7 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
-            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
-            "spark.sql.streaming.stateStore.providerClass": STATE_STORE})
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

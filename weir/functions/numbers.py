@@ -8,8 +8,7 @@ from pyspark.sql import Column, functions as F
 def finite(col: Column) -> Column:
     """Number or NULL: unreadable, NaN and infinite values become NULL."""
     num = col.try_cast("double")
-    usable = ~F.isnan(num) & (F.abs(num) < F.lit(float("inf")))
-    return F.when(usable, num)
+    return F.when(F.abs(num) < F.lit(float("inf")), num)        # NaN sorts above infinity
 
 
 def first_number(text: Column, pattern: str, group: int = 1) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weir.functions.fixed_values import (
     FEET_PER_METRE, KM_PER_DEGREE, KNOTS_PER_MS, REGION_BOXES, country_centroids)
+from weir.tables import literal_table
 
 
 def in_box(region: str, lat: str = "latitude", lon: str = "longitude") -> Column:
@@ -60,13 +61,13 @@ def dead_reckon(df: DataFrame, minutes: int = 25, segments: int = 40) -> DataFra
 
 
 def centroids(spark) -> DataFrame:
-    return spark.createDataFrame(country_centroids(), "country STRING, home_lat DOUBLE, home_lon DOUBLE")
+    return literal_table(spark, country_centroids(), "country STRING, home_lat DOUBLE, home_lon DOUBLE")
 
 
 def origin_distance(df: DataFrame, homes: DataFrame, country: str = "origin_country") -> DataFrame:
     """Distance in degrees to the home point of the row's country; unknown countries drop out.
 
-    ``homes`` is a short list; the planner broadcasts it by its known size.
+    ``homes`` is the short fixed list of ``centroids``, sent to every task.
     """
     near = df.join(homes, F.col(country) == F.col("country"), "inner").drop("country")
     dlat, dlon = F.col("latitude") - F.col("home_lat"), F.col("longitude") - F.col("home_lon")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from weir.operators.joins import one_to_many
+
 Mask = Callable[[Column, str], Column]
 
 
@@ -46,12 +48,12 @@ def salted_id(key: str, salt: str, prefix: str = "EMP_") -> Column:
 def analyst_view(people, pay, reviews, excluded: list[str], pseudonym: Column | None = None) -> DataFrame:
     """Statistics without identity: pseudonyms, years instead of dates, some departments left out.
 
-    Both joins are on the employee key; ``pay`` has one row per employee.
+    ``pay`` has one row per employee, ``reviews`` any number.
     """
-    visible = people.filter(~F.col("department").isin(excluded))
+    visible = people.filter(~F.col("department").isin(excluded)).join(pay, "employee_id", "left")
     name = padded_id("employee_id") if pseudonym is None else pseudonym
     return (
-        visible.join(pay, "employee_id", "left").join(reviews, "employee_id", "left").select(
+        one_to_many(visible, reviews, ["employee_id"]).select(
             name.alias("anonymous_id"), "department",
             F.year("hire_date").alias("hire_year"), "base_salary", "bonus", "stock_options",
             F.year("effective_date").alias("comp_year"), "rating",
@@ -60,11 +62,12 @@ def analyst_view(people, pay, reviews, excluded: list[str], pseudonym: Column |
 
 
 def admin_view(people, pay, reviews, cases) -> DataFrame:
-    """Everything, joined along the employee key; employees without a match are kept."""
-    view = people
-    for part in (pay, cases, reviews):
-        view = view.join(part, "employee_id", "left")
-    return view
+    """Everything, joined along the employee key; employees without a match are kept.
+
+    ``pay`` and ``cases`` have at most one row per employee, ``reviews`` any number.
+    """
+    single = people.join(pay, "employee_id", "left").join(cases, "employee_id", "left")
+    return one_to_many(single, reviews, ["employee_id"])
 
 
 def _enough(df: DataFrame, least: int) -> DataFrame:

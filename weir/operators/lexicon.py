@@ -34,7 +34,10 @@ def _hits(tokens: str, text: str, terms: list[str]) -> Column:
 
 def score(df: DataFrame, text: str, lexicon: dict[str, list[str]]) -> DataFrame:
     """Adds ``_scores``: hits per label in lexicon order, from the whole text."""
-    toks = df.withColumn("_tokens", F.split(F.lower(text), _LETTERS))
+    known = {t for terms in lexicon.values() for t in terms if " " not in t}
+    # one pass keeps the few words that any label knows; the labels then look at those only
+    words = F.filter(F.split(F.lower(text), _LETTERS), lambda t: t.isin(*sorted(known)))
+    toks = df.withColumn("_tokens", words)
     scores = F.array(*[_hits("_tokens", text, terms) for terms in lexicon.values()])
     return toks.withColumn("_scores", scores).drop("_tokens")
 

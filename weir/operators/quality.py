@@ -37,12 +37,18 @@ def _all(conditions) -> Column:
 
 
 def clean(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rows that pass every ``drop`` rule.  A row breaking a ``fail`` rule stops the job."""
+    """Rows that pass every ``drop`` rule.  A row breaking a ``fail`` rule stops the job.
+
+    Drop rules alone are a plain filter that reaches the scan.  A fail rule must see exactly
+    the rows of ``df``; its condition depends on the row's place, so the planner cannot test
+    it on rows that a join or filter below would have removed.
+    """
     keep = _all(r.holds for r in rules if r.action == "drop")
+    in_place = F.monotonically_increasing_id() >= 0
     for r in rules:
         if r.action == "fail":
             stop = F.raise_error(F.lit(f"expectation violated: {r.name}")).cast("boolean")
-            keep = F.when(r.holds, keep).otherwise(stop)
+            keep = F.when(r.holds & in_place, keep).otherwise(stop)
     return df.filter(keep)
 
 

@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weir.session import pinned
+
 MAX_QUERIES = 1_024            # query vectors shipped to every task at once
 ROWS_PER_CELL = 10_000         # corpus rows per cell of the query grid
 
@@ -116,8 +118,12 @@ def _on_grid(corpus, queries, k, max_queries):
 
 
 def retrieval_context(topk: DataFrame, texts: DataFrame, sep: str = "\n\n") -> DataFrame:
-    """The texts found for each query as one string in rank order (k texts per query)."""
-    found = topk.join(texts, "id")
+    """The texts found for each query as one string in rank order (k texts per query).
+
+    The ranks are stored first: their file size is known then, so a short list is sent to the
+    texts and no text is shuffled but those found.
+    """
+    found = pinned(topk, "topk").join(texts, "id")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
     return found.groupBy("query_id").agg(
         F.array_join(F.transform(ordered, lambda s: s["text"]), sep).alias("context"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weir.operators.quality import Rule, clean
 from weir.registry import query
-from weir.tables import load
+from weir.tables import literal_table, load
 
 TREATMENTS = [(0, "held for trading"), (1, "amortised cost"), (2, "fair value through profit"),
               (3, "fair value through equity"), (4, "lower of cost or market"), (5, "off balance")]
@@ -20,8 +20,7 @@ CLEAN_RULES = [
 
 
 def treatments(spark) -> DataFrame:
-    """A literal six-row table; the planner knows its size."""
-    return spark.createDataFrame(TREATMENTS, "id INT, accounting_treatment STRING")
+    return literal_table(spark, TREATMENTS, "id INT, accounting_treatment STRING")
 
 
 def enrich(tx: DataFrame, ref: DataFrame, code) -> DataFrame:

@@ -34,6 +34,12 @@ def expect_drop(spark, d) -> DataFrame:
     return quality.clean(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), [RULES[1]])
 
 
+@query("expect_fail", "SELECT o_orderkey, o_custkey FROM orders")
+def expect_fail(spark, d) -> DataFrame:
+    """Passes the rows on while no row breaks the rule; the first one that does stops the job."""
+    return quality.clean(load(spark, d, "orders").select("o_orderkey", "o_custkey"), [RULES[3]])
+
+
 @query("expect_mixed", f"SELECT o_orderkey, o_orderstatus, o_orderdate, o_totalprice FROM orders WHERE {_KEEP}")
 def expect_mixed(spark, d) -> DataFrame:
     rows = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")

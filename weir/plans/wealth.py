@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.operators.joins import one_to_many
 from weir.operators.quality import Rule, clean
 from weir.registry import query
 from weir.tables import load
@@ -76,7 +77,7 @@ def investment_only(spark, d) -> DataFrame:
     """Investors who do not bank here (anti join), with the campaigns they are in."""
     rich = net_worth_of(portfolio(spark, d)).filter("total_net_worth > 500000")
     prospects = rich.join(bank_customers(spark, d), "customer_id", "left_anti")
-    return prospects.join(campaigns(spark, d), "customer_id", "left").select(
+    return one_to_many(prospects, campaigns(spark, d), ["customer_id"]).select(
         "customer_id", "total_net_worth", wealth_segment(F.col("total_net_worth")).alias("wealth_segment"),
         F.round(F.col("total_net_worth") * 0.015, 0).alias("revenue_opportunity"), "campaign_name")
 

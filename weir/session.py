@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # Runtime settings every query relies on.  Shuffle partition counts are left to the cluster.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,10 +18,10 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join partition even if that costs one more exchange behind the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # keyed state lives on disk with incremental checkpoints, not on the executor's heap
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def build_session(app: str = "weir", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")

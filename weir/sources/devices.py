@@ -27,9 +27,14 @@ def normalize_device_messages(df: DataFrame, json_col: str) -> DataFrame:
 
     NaN and infinite numbers become NULL; times are microseconds since the epoch (UTC).
     """
-    msg = df.withColumn("_m", F.from_json(json_col, message_schema())).drop(json_col)
-    iso = F.when(F.col("_m.timestamp").rlike(r"^\d{4}-\d\d-\d\d"), F.col("_m.timestamp"))
-    rows = msg.withColumn("_at", iso.try_cast("timestamp")).filter("_at IS NOT NULL")
+    def instant(text):
+        return F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), text).try_cast("timestamp")
+
+    # a list of at most one message: it is parsed once, also for the test that drops it
+    parsed = F.array(F.from_json(json_col, message_schema()))
+    usable = F.filter(parsed, lambda m: instant(m["timestamp"]).isNotNull())
+    rows = df.select("*", F.explode(usable).alias("_m")).drop(json_col)
+    rows = rows.withColumn("_at", instant(F.col("_m.timestamp")))
     numbers = {
         f"{prefix}{f}": finite(F.col(f"_m.{rec}.{f}"))
         for rec, (prefix, fields) in _PARTS.items() for f in fields}

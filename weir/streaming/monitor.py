@@ -69,7 +69,10 @@ def monitor_batch(df: DataFrame, key: str, at: str, unique: str, max_rows: int |
 
 
 class CityMonitor(StatefulProcessor):
-    """Per key: (hot count, hot sum, newest hot time, its value).  Rows come in arrival order."""
+    """Per key: (hot count, hot sum, newest hot time, its value).
+
+    Rows are taken in arrival order, those of one Arrow batch in time order.
+    """
 
     def __init__(self, key: str, at: str, columns: list[str]):
         self.key, self.at, self.columns = key, at, columns
@@ -80,6 +83,7 @@ class CityMonitor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         n, total, newest, value = self.state.get() if self.state.exists() else (0, 0.0, -(2**62), float("nan"))
         for pdf in rows:
+            pdf = pdf.sort_values(self.at, kind="stable")
             out = pdf[self.columns].copy()
             temp = pdf["temperature"].to_numpy(dtype="float64")
             when = pdf[self.at].to_numpy().astype("datetime64[us]").astype("int64")

@@ -38,6 +38,12 @@ def _read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(_BATCH)
 
 
+def update_table(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Store the changed result rows of every batch (update mode).  The highest ``batch_no``
+    of a key is its current row."""
+    return to_batches(results, _write_batch(path, lambda b: b), checkpoint, "update")
+
+
 def stream_scd1(changes: DataFrame, path: str, keys: list[str], seq: str, checkpoint: str) -> StreamingQuery:
     """Keep the latest change per key of every batch, deletes included (as tombstones)."""
     return to_batches(

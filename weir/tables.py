@@ -9,6 +9,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short table written in code.  Its size is fixed, so joins may broadcast it."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 def with_instant(df: DataFrame, *cols: str) -> DataFrame:
     """Zone-less timestamps as instants (UTC), as watermarks and epoch functions need."""
     return df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
