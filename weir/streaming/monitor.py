@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weir.functions.fixed_values import ALERT_LIMITS
-from weir.operators.ordered import segment
+from weir.operators.ordered import HOT, SEG, segment
 
 _HOT = ALERT_LIMITS["temperature"]
 _UNITS = {"temperature": "°C", "humidity": "%", "co2_level": "ppm", "pm25_level": "µg/m³"}
@@ -49,14 +49,15 @@ def monitor_batch(df: DataFrame, key: str, at: str, unique: str, max_rows: int |
     })
     if s.split:
         earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-        carried = s.carry(
-            {"_n": F.count(hot_value), "_s": F.sum(hot_value),
+        rows = s.carry(
+            rows, {"_n": F.count(hot_value), "_s": F.sum(hot_value),
              "_l": F.max(F.when(hot, F.struct(F.col(at), F.col(unique), temp)))},
-            {"_c0": lambda w: F.coalesce(F.sum("_n").over(earlier(w)), F.lit(0)),
-             "_s0": lambda w: F.coalesce(F.sum("_s").over(earlier(w)), F.lit(0.0)),
-             "_l0": lambda w: F.last("_l.temperature", ignorenulls=True).over(earlier(w))})
-        rows = s.attach(rows, carried).withColumns({
-            "_cnt": F.col("_cnt") + F.col("_c0"), "_sum": F.col("_sum") + F.col("_s0"),
+            {"_c0": lambda w: F.sum("_n").over(earlier(w)),
+             "_s0": lambda w: F.sum("_s").over(earlier(w)),
+             "_l0": lambda w: F.last("_l.temperature", ignorenulls=True).over(earlier(w))},
+        ).withColumns({
+            "_cnt": F.col("_cnt") + F.coalesce("_c0", F.lit(0)),
+            "_sum": F.col("_sum") + F.coalesce("_s0", F.lit(0.0)),
             "_last": F.coalesce("_last", "_l0")}).drop("_c0", "_s0", "_l0")
     avg = (F.col("_sum") + temp) / (F.col("_cnt") + 1)
     trend = (
@@ -65,7 +66,7 @@ def monitor_batch(df: DataFrame, key: str, at: str, unique: str, max_rows: int |
     return rows.withColumns({
         "hourly_avg_temp": avg, "daily_avg_temp": avg, "temperature_trend": trend,
         "high_temp_count": F.col("_cnt").cast("int"), "alerts": alerts(),
-    }).drop("_cnt", "_sum", "_last", "_segment")
+    }).drop("_cnt", "_sum", "_last", SEG, HOT)
 
 
 class CityMonitor(StatefulProcessor):
