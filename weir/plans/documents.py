@@ -92,6 +92,15 @@ def product_doc_build(spark, d) -> DataFrame:
     return product_docs(spark, d)
 
 
+@query("policy_conflicts", """
+  SELECT p_name AS topic, CAST(min(p_size % 3 * 30) AS INTEGER) AS least_days, CAST(max(p_size % 3 * 30) AS INTEGER) AS most_days, count(*) AS n_rows
+  FROM part GROUP BY 1 HAVING min(p_size % 3) <> max(p_size % 3)""")
+def policy_conflicts(spark, d) -> DataFrame:
+    """Product names whose rows promise different return periods."""
+    terms = load(spark, d, "part").select(F.col("p_name").alias("topic"), (F.col("p_size") % 3 * 30).alias("days"))
+    return docs_ops.contradicting_terms(terms)
+
+
 @query("consistency_audit", f"""
   WITH a AS (SELECT product_id, warranty_years, p_brand = 'Brand#7' AND availability = 'Discontinued' AS stock_conflict,
     CASE WHEN category = 'PROMO' THEN 3 ELSE warranty_years END AS claimed_years FROM {_CATALOG})

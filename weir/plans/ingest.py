@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weir.plans.flights import _PARSED, PARSED_COLUMNS, vectors_of_events
+from weir.operators.writes import read_evolved
 from weir.registry import query
 from weir.session import shared_dir
 from weir.sources import xml as xml_source
@@ -75,6 +76,22 @@ def xml_rows(spark, d) -> DataFrame:
         F.from_xml(text, "name STRING")["name"].alias("parsed_name"))
 
 
+@query("xml_stream_evolution", """
+  SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 1 THEN s_acctbal END AS balance FROM supplier""")
+def xml_stream_evolution(spark, d) -> DataFrame:
+    """XML files taken in by two runs; the second portion has an element the stored schema gains."""
+    work, s = shared_dir(spark, "xml_stream"), load(spark, d, "supplier")
+    odd = F.col("s_suppkey") % 2 == 1
+    old = s.filter(~odd).select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"))
+    new = s.filter(odd).select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    for n, part in enumerate((old, new)):
+        xml_source.write_xml(part, f"{work}/landing/run{n}", "supplier", "suppliers")
+        stream = incremental_files(
+            spark, f"{work}/landing/*", "xml", schema_location=f"{work}/schema", options={"rowTag": "supplier"}, evolve=True)
+        append_new(stream, f"{work}/table", f"{work}/checkpoint")
+    return read_evolved(spark, f"{work}/table").select(F.col("_id").alias("id"), "name", "balance")
+
+
 _XSD = """<?xml version="1.0"?><xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="customer"><xs:complexType>
 <xs:sequence><xs:element name="name" type="xs:string"/><xs:element name="balance" type="xs:decimal"/></xs:sequence>
 <xs:attribute name="id" type="xs:long" use="required"/></xs:complexType></xs:element></xs:schema>"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.sql_functions import register_shop
 from weir.operators.cdc import latest_per_key
 from weir.plans.documents import catalog
 from weir.plans.loans import TREATMENTS, treatments
@@ -118,6 +119,17 @@ def franchise_sales(spark, d, franchise_id: int | None = None) -> DataFrame:
         F.round(F.sum("l_extendedprice"), 2).alias("total_sales"), F.sum("l_quantity").cast("long").alias("total_quantity"))
 
 
+@query("sql_table_function", """
+  SELECT s_suppkey AS franchise_id, s_name AS name, CASE WHEN s_acctbal > 5000 THEN 'L' ELSE 'S' END AS size FROM supplier""")
+def sql_table_function(spark, d) -> DataFrame:
+    franchise_by_city(spark, d).createOrReplaceTempView("weir_franchises")
+    load(spark, d, "lineitem").selectExpr(
+        "l_suppkey AS franchise_id", "l_returnflag AS product", "l_extendedprice AS price", "l_quantity AS quantity",
+    ).createOrReplaceTempView("weir_sales")
+    register_shop(spark, "weir_franchises", "weir_sales")
+    return spark.sql("SELECT * FROM shops_in()")
+
+
 @query("lookup_enrich", f"""
   SELECT c_custkey, accounting_treatment FROM customer JOIN (VALUES {', '.join(f"({i}, '{t}')" for i, t in TREATMENTS)}) AS r(id, accounting_treatment)
   ON c_nationkey % 6 = id""")

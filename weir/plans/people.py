@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.sql_functions import register_masks
 from weir.operators import governance as gov
 from weir.registry import query
 from weir.tables import load
@@ -90,6 +91,15 @@ def mask_by_role(spark, d) -> DataFrame:
     return out
 
 
+@query("sql_mask_function", f"""
+  SELECT employee_id, '***-**-' || right(ssn, 4) AS by_default, 'ANALYTICS_MASKED' AS for_analyst, ssn AS for_admin FROM {_PEOPLE}""")
+def sql_mask_function(spark, d) -> DataFrame:
+    register_masks(spark)
+    return employees(spark, d).selectExpr(
+        "employee_id", "mask_value(ssn) AS by_default", "mask_value(ssn, 'analyst') AS for_analyst",
+        "mask_value(ssn, 'admin') AS for_admin")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.round(f.name, 4) for f in df.schema if f.dataType.simpleString() == "double"})
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weir.operators import devices
 from weir.operators.sampling import even_subsample, stride_sample, systematic_sample
+from weir.operators.writes import write_clustered
 from weir.registry import query
 from weir.session import shared_dir
 from weir.sources.devices import normalize_device_messages
@@ -121,10 +122,10 @@ def sensor_normalize(spark, d) -> DataFrame:
   WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""")
 def partitioned_scan(spark, d) -> DataFrame:
     """A table partitioned by day and ordered by device inside its files; reading a range of
-    days opens those partitions only.  ``rebalance`` lets the writer split a day that is large."""
+    days opens those partitions only."""
     path = shared_dir(spark, "by_date")
     rows = load(spark, d, "events").select("event_id", "user_id", "value", "ts", F.to_date("ts").alias("date"))
-    rows.hint("rebalance", "date").sortWithinPartitions("date", "user_id", "ts").write.partitionBy("date").parquet(path)
+    write_clustered(rows, path, "date", ["user_id", "ts"])
     days = spark.read.parquet(path).filter(F.col("date").between("2024-01-10", "2024-01-12"))
     return days.select("event_id", "user_id", "value", F.col("date").cast("string").alias("date"))
 
