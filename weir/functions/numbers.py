@@ -11,6 +11,16 @@ def finite(col: Column) -> Column:
     return F.when(F.abs(num) < F.lit(float("inf")), num)        # NaN sorts above infinity
 
 
+def cents(col: Column) -> Column:
+    """An amount in whole cents.  Sums of these are exact, whatever order tasks finish in."""
+    return F.round(col * 100).cast("long")
+
+
+def mean_amount(col: Column) -> Column:
+    """Mean of a money column from its exact sum, as an aggregate."""
+    return F.sum(cents(col)) / F.count(col) / 100
+
+
 def first_number(text: Column, pattern: str, group: int = 1) -> Column:
     """The number captured by ``pattern``, or NULL."""
     return F.regexp_extract(text, pattern, group).try_cast("double")

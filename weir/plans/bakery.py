@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.numbers import mean_amount
 from weir.operators.aggregates import busiest, histogram, mean_of_group_sums, share_of_total
 from weir.operators.quality import Rule, clean
 from weir.registry import query
@@ -74,7 +75,7 @@ def top_five(spark, d) -> DataFrame:
 
 @query("sales_stats", """
   SELECT p_name AS product, count(*) AS txn_count, CAST(sum(l_quantity) AS BIGINT) AS units_sold,
-         round(sum(l_extendedprice), 2) AS gross_revenue, round(avg(l_extendedprice), 2) AS avg_txn_value,
+         round(sum(l_extendedprice), 2) AS gross_revenue, CAST((2 * sum(CAST(round(l_extendedprice * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 100 AS avg_txn_value,
          count(DISTINCT o_custkey) AS unique_customers, count(DISTINCT l_suppkey) AS franchises_selling
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
   GROUP BY p_name HAVING round(sum(l_extendedprice), 2) >= 0""")
@@ -86,7 +87,7 @@ def sales_stats(spark, d) -> DataFrame:
     stats = sold.groupBy(F.col("p_name").alias("product")).agg(
         F.count(F.lit(1)).alias("txn_count"), F.sum("l_quantity").cast("long").alias("units_sold"),
         F.round(F.sum("l_extendedprice"), 2).alias("gross_revenue"),
-        F.round(F.avg("l_extendedprice"), 2).alias("avg_txn_value"),
+        F.round(mean_amount(F.col("l_extendedprice")), 2).alias("avg_txn_value"),
         F.countDistinct("o_custkey").alias("unique_customers"),
         F.countDistinct("l_suppkey").alias("franchises_selling"))
     return clean(stats, STATS_RULES)

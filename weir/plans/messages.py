@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.numbers import mean_amount
 from weir.functions.records import drop_all_null_columns, snake_case_columns
 from weir.operators.aggregates import totals_and_breakdown
 from weir.registry import query
@@ -98,14 +99,14 @@ def nested_customers(spark, d) -> str:
 
 
 @query("nested_customers_tiers", """
-  SELECT c_mktsegment AS loyalty_tier, count(*) AS n, round(avg(c_acctbal), 4) AS avg_spent, round(sum(c_acctbal), 2) AS total_spent,
+  SELECT c_mktsegment AS loyalty_tier, count(*) AS n, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS avg_spent, round(sum(c_acctbal), 2) AS total_spent,
     count(DISTINCT n_name) AS cities FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def nested_customers_tiers(spark, d) -> DataFrame:
     one = "STRUCT<customer_id: BIGINT, name: STRING, loyalty_tier: STRING, total_spent: DOUBLE, address: STRUCT<city: STRING, postal_code: INT>>"
     docs = spark.read.schema(f"customers ARRAY<{one}>").option("multiLine", True).json(nested_customers(spark, d))
     rows = docs.select(F.explode("customers").alias("c")).select("c.*", "c.address.*").drop("address")
     return rows.groupBy("loyalty_tier").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("total_spent"), 4).alias("avg_spent"),
+        F.count(F.lit(1)).alias("n"), mean_amount(F.col("total_spent")).alias("avg_spent"),
         F.round(F.sum("total_spent"), 2).alias("total_spent"), F.countDistinct("city").alias("cities"))
 
 

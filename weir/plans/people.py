@@ -26,7 +26,7 @@ def employees(spark, d) -> DataFrame:
 
 def pay(spark, d) -> DataFrame:
     return load(spark, d, "customer").filter("c_acctbal > -500").select(
-        F.col("c_custkey").alias("employee_id"), (F.col("c_acctbal") + 50000).alias("base_salary"),
+        F.col("c_custkey").alias("employee_id"), (F.floor("c_acctbal") + 50000).cast("double").alias("base_salary"),
         (F.col("c_custkey") % 7 * 100).cast("double").alias("bonus"), (F.col("c_custkey") % 50).alias("stock_options"),
         F.lit("2023-04-01").cast("date").alias("effective_date"))
 
@@ -47,7 +47,7 @@ def cases(spark, d) -> DataFrame:
 _PEOPLE = """(SELECT c_custkey AS employee_id, split_part(c_name, '#', 1) AS first_name, split_part(c_name, '#', 2) AS last_name,
   'e' || c_custkey || '@x.org' AS email, '123-45-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS ssn, c_mktsegment AS department,
   n_name AS site, DATE '1995-01-01' + CAST(c_custkey % 9000 AS INTEGER) AS hire_date FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
-_PAY = """(SELECT c_custkey AS employee_id, c_acctbal + 50000 AS base_salary, CAST(c_custkey % 7 * 100 AS DOUBLE) AS bonus,
+_PAY = """(SELECT c_custkey AS employee_id, CAST(floor(c_acctbal) + 50000 AS DOUBLE) AS base_salary, CAST(c_custkey % 7 * 100 AS DOUBLE) AS bonus,
   c_custkey % 50 AS stock_options, DATE '2023-04-01' AS effective_date FROM customer WHERE c_acctbal > -500)"""
 _REVIEWS = "(SELECT o_custkey AS employee_id, CAST(left(o_orderpriority, 1) AS INTEGER) AS rating, o_orderdate AS review_date FROM orders)"
 _ANALYST = f"""SELECT 'EMP_' || lpad(CAST(p.employee_id AS VARCHAR), greatest(6, length(CAST(p.employee_id AS VARCHAR)))::INTEGER, '0') AS anonymous_id, department,
@@ -100,21 +100,17 @@ def sql_mask_function(spark, d) -> DataFrame:
         "mask_value(ssn, 'admin') AS for_admin")
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({f.name: F.round(f.name, 4) for f in df.schema if f.dataType.simpleString() == "double"})
-
-
 @query("analyze_performance", f"""
-  SELECT department, round(avg(rating), 4) AS avg_rating, min(rating) AS min_rating, max(rating) AS max_rating,
-    count(DISTINCT anonymous_id) AS employee_count, round(avg({THIS_YEAR} - hire_year), 4) AS avg_tenure_years
+  SELECT department, avg(rating) AS avg_rating, min(rating) AS min_rating, max(rating) AS max_rating,
+    count(DISTINCT anonymous_id) AS employee_count, avg({THIS_YEAR} - hire_year) AS avg_tenure_years
   FROM ({_ANALYST}) WHERE rating IS NOT NULL GROUP BY 1""")
 def analyze_performance(spark, d) -> DataFrame:
-    return _rounded(gov.analyze_performance(analyst(spark, d), THIS_YEAR))
+    return gov.analyze_performance(analyst(spark, d), THIS_YEAR)
 
 
 @query("analyze_operations", f"""
-  SELECT department, count(DISTINCT anonymous_id) AS employee_count, round(avg(base_salary), 4) AS avg_salary, round(avg(bonus), 4) AS avg_bonus,
-    round(avg(base_salary + bonus), 4) AS avg_total_comp, round(avg(stock_options), 4) AS avg_stock_options
+  SELECT department, count(DISTINCT anonymous_id) AS employee_count, avg(base_salary) AS avg_salary, avg(bonus) AS avg_bonus,
+    avg(base_salary + bonus) AS avg_total_comp, avg(stock_options) AS avg_stock_options
   FROM ({_ANALYST}) WHERE base_salary IS NOT NULL GROUP BY 1""")
 def analyze_operations(spark, d) -> DataFrame:
-    return _rounded(gov.analyze_operations(analyst(spark, d)))
+    return gov.analyze_operations(analyst(spark, d))

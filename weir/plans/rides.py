@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.numbers import mean_amount
 from weir.operators.quality import Rule, clean
 from weir.registry import query
 from weir.tables import load
@@ -28,7 +29,7 @@ def flagged(spark, d) -> DataFrame:
 
 def weekly(spark, d) -> DataFrame:
     return rides(spark, d).groupBy(F.date_trunc("week", "pickup").alias("week")).agg(
-        F.avg("fare_amount").alias("avg_amount"), F.avg("trip_distance").alias("avg_distance"))
+        mean_amount(F.col("fare_amount")).alias("avg_amount"), F.avg("trip_distance").alias("avg_distance"))
 
 
 _FLAGGED = f"""SELECT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS week, l_suppkey AS zip,
@@ -36,7 +37,9 @@ _FLAGGED = f"""SELECT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS week,
   WHERE l_quantity > 0 AND ((l_suppkey = l_partkey % 100 AND l_extendedprice > {HIGH_FARE})
     OR (l_quantity < 5 AND l_extendedprice > {HIGH_FARE}))"""
 _WEEKLY = """SELECT CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS week,
-  avg(l_extendedprice) AS avg_amount, avg(l_quantity) AS avg_distance
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS avg_amount, avg(l_quantity) AS avg_distance,
+  CAST((2 * sum(CAST(round(l_extendedprice * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 100 AS avg_2,
+  CAST((2000 * CAST(sum(l_quantity) AS BIGINT) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000 AS dist_3
   FROM lineitem WHERE l_quantity > 0 GROUP BY 1"""
 
 
@@ -45,15 +48,13 @@ def flagged_rides(spark, d) -> DataFrame:
     return flagged(spark, d)
 
 
-@query("taxi_weekly_stats", f"SELECT week, round(avg_amount, 4) AS avg_amount, round(avg_distance, 4) AS avg_distance FROM ({_WEEKLY}) ORDER BY week")
+@query("taxi_weekly_stats", f"SELECT week, avg_amount, avg_distance FROM ({_WEEKLY}) ORDER BY week")
 def weekly_stats(spark, d) -> DataFrame:
-    return weekly(spark, d).select(
-        "week", F.round("avg_amount", 4).alias("avg_amount"),
-        F.round("avg_distance", 4).alias("avg_distance")).orderBy("week")
+    return weekly(spark, d).orderBy("week")
 
 
 @query("taxi_top_n", f"""
-  SELECT f.week, round(avg_amount, 2) AS avg_amount, round(avg_distance, 3) AS avg_distance,
+  SELECT f.week, avg_2 AS avg_amount, dist_3 AS avg_distance,
          fare_amount, trip_distance, zip
   FROM ({_FLAGGED}) f LEFT JOIN ({_WEEKLY}) w ON f.week = w.week
   ORDER BY fare_amount DESC, zip, trip_distance, f.week LIMIT 3""")

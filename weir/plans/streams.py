@@ -28,13 +28,14 @@ def two_portions(spark, rows: DataFrame, first, run) -> str:
 @query("stream_sliding_windows", ORACLES["sliding_window_stats"])
 def stream_sliding_windows(spark, d) -> DataFrame:
     """Update mode: every change of a window is stored, its last state read back."""
-    e = with_instant(load(spark, d, "events").select("ts", "value", "event_type"), "ts")
+    e = with_instant(load(spark, d, "events").select("ts", "value", "event_type"), "ts").withColumn(
+        "value", F.round(F.col("value") * 100))
     stats = lambda s: sliding_stats(s, "ts", "value", "1 hour", "10 minutes", watermark="60 days")
     work = two_portions(
         spark, e, F.col("event_type") == "view",
         lambda s, w: update_table(stats(s), f"{w}/table", f"{w}/checkpoint"))
     last = latest_per_key(spark.read.parquet(f"{work}/table"), ["window_start", "window_end"], ["batch_no"])
-    return last.drop("batch_no").withColumn("avg_value", F.round("avg_value", 6))
+    return last.drop("batch_no")
 
 
 @query("stream_env_monitor", ORACLES["env_monitor"])

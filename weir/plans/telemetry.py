@@ -43,11 +43,11 @@ def device_latest_reading(spark, d) -> DataFrame:
 
 
 @query("device_orientation_stats", f"""
-  SELECT client_id, round(avg(heading), 6) AS avg_heading, round(avg(speed), 6) AS avg_speed,
+  SELECT client_id, avg(heading) AS avg_heading, avg(latitude) AS avg_latitude,
          round(stddev(heading), 6) AS stddev_heading, count(*) AS reading_count FROM {_READINGS} GROUP BY 1""")
 def device_orientation_stats(spark, d) -> DataFrame:
     return readings(spark, d).groupBy("client_id").agg(
-        F.round(F.avg("heading"), 6).alias("avg_heading"), F.round(F.avg("speed"), 6).alias("avg_speed"),
+        F.avg("heading").alias("avg_heading"), F.avg("latitude").alias("avg_latitude"),
         F.round(F.stddev("heading"), 6).alias("stddev_heading"), F.count(F.lit(1)).alias("reading_count"))
 
 
@@ -131,11 +131,11 @@ def partitioned_scan(spark, d) -> DataFrame:
 
 
 @query("systematic_sample", """
-  SELECT c_custkey, row_num FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey) AS row_num
+  SELECT c_custkey, row_num FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey) AS row_num
   FROM customer) WHERE row_num % 10 = 0""")
 def every_tenth_customer(spark, d) -> DataFrame:
     keys = load(spark, d, "customer").select("c_custkey")
-    return systematic_sample(keys, F.col("c_custkey") % 100, ["c_custkey"], 10)
+    return systematic_sample(keys, F.col("c_custkey") % 10, ["c_custkey"], 10)
 
 
 @query("stride_sample", """
@@ -157,13 +157,14 @@ def sensors(spark, d) -> DataFrame:
 
 
 @query("sliding_window_stats", """
-  WITH s AS (SELECT value, to_timestamp(0)::TIMESTAMP + to_microseconds((epoch_us(ts) // 600000000 - i) * 600000000) AS window_start
+  WITH s AS (SELECT round(value * 100) AS value, to_timestamp(0)::TIMESTAMP + to_microseconds((epoch_us(ts) // 600000000 - i) * 600000000) AS window_start
     FROM events, range(6) r(i))
-  SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS n, round(avg(value), 6) AS avg_value,
+  SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS n, avg(value) AS avg_value,
     min(value) AS min_value, max(value) AS max_value FROM s GROUP BY 1""")
 def sliding_window_stats(spark, d) -> DataFrame:
-    rows = with_instant(load(spark, d, "events"), "ts")
-    return sliding_stats(rows, "ts", "value", "1 hour", "10 minutes").withColumn("avg_value", F.round("avg_value", 6))
+    """Over whole cents, whose sums are exact."""
+    rows = with_instant(load(spark, d, "events"), "ts").withColumn("value", F.round(F.col("value") * 100))
+    return sliding_stats(rows, "ts", "value", "1 hour", "10 minutes")
 
 
 @query("env_monitor", f"""

@@ -91,9 +91,9 @@ CASH_HEAVY, CASH_POOR = 0.006, 0.004
     CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN 'Too Much Cash'
          WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN 'Cash Poor'
          ELSE 'Balanced' END AS recommendation,
-    round(CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN sum(avg_amount) * CAST(0.3 AS DOUBLE)
-         WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN sum(total_net_worth) * CAST(0.1 AS DOUBLE)
-         ELSE 0 END, 4) AS suggested_amount, c_mktsegment AS campaign_name
+    CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN sum(avg_amount) * CAST(0.3 AS DOUBLE)
+         WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN round(sum(total_net_worth), 2) * CAST(0.1 AS DOUBLE)
+         ELSE 0 END AS suggested_amount, c_mktsegment AS campaign_name
   FROM ({_BANK}) b JOIN ({_NW}) nw ON b.customer_id = nw.customer_id JOIN customer c ON b.customer_id = c.c_custkey
   WHERE avg_amount > 2000 AND total_net_worth > 5000 GROUP BY b.customer_id, c_mktsegment""")
 def rebalancing(spark, d) -> DataFrame:
@@ -112,7 +112,7 @@ def rebalancing(spark, d) -> DataFrame:
         "customer_id", F.col("_cash").alias("cash_position"), F.round("_inv", 2).alias("investment_position"),
         F.round(F.col("_cash") / (F.col("_cash") + F.col("_inv")) * 100, 1).alias("cash_percentage"),
         F.when(heavy, "Too Much Cash").when(poor, "Cash Poor").otherwise("Balanced").alias("recommendation"),
-        F.round(F.when(heavy, F.col("_cash") * 0.3).when(poor, F.col("_inv") * 0.1).otherwise(0.0), 4).alias("suggested_amount"),
+        F.when(heavy, F.col("_cash") * 0.3).when(poor, F.round("_inv", 2) * 0.1).otherwise(0.0).alias("suggested_amount"),
         "campaign_name")
 
 
