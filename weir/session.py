@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,12 +34,30 @@ def build_session(app: str = "weir", master: str | None = None, **conf: str) ->
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Apply the runtime settings to a session made elsewhere and give its Python workers
+    this package."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    _ship_package(spark.sparkContext)
     return spark
 
 
+def _ship_package(sc) -> None:
+    """Once per application: executors import this package from a zip sent with the job."""
+    if getattr(sc, "_weir_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="weir-"), "weir.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("weir", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._weir_shipped = True
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can see.
 

@@ -8,7 +8,6 @@ reading instead of the whole list; the results are the same and the state does n
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -69,44 +68,47 @@ def monitor_batch(df: DataFrame, key: str, at: str, unique: str, max_rows: int |
     }).drop("_cnt", "_sum", "_last", SEG, HOT)
 
 
-class CityMonitor(StatefulProcessor):
-    """Per key: (hot count, hot sum, newest hot time, its value).
+def city_monitor(at: str, columns: list[str]) -> StatefulProcessor:
+    """Processor with the state (hot count, hot sum, newest hot time, its value) per key.
 
-    Rows are taken in arrival order, those of one Arrow batch in time order.
+    Rows are taken in arrival order, those of one Arrow batch in time order.  The class is
+    made here so that it travels with the job: the driver's helper process, which looks at
+    the processor first, does not see the package.
     """
-
-    def __init__(self, key: str, at: str, columns: list[str]):
-        self.key, self.at, self.columns = key, at, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("hot", "n LONG, total DOUBLE, at_us LONG, value DOUBLE")
-
-    def handleInputRows(self, key, rows, timerValues):
-        n, total, newest, value = self.state.get() if self.state.exists() else (0, 0.0, -(2**62), float("nan"))
-        for pdf in rows:
-            pdf = pdf.sort_values(self.at, kind="stable")
-            out = pdf[self.columns].copy()
-            temp = pdf["temperature"].to_numpy(dtype="float64")
-            when = pdf[self.at].to_numpy().astype("datetime64[us]").astype("int64")
-            hot = temp > _HOT
-            counts, sums = n + np.cumsum(hot), total + np.cumsum(np.where(hot, temp, 0.0))
-            # newest hot reading so far: the state first, then every hot row that is not older
-            times = np.concatenate(([newest], np.where(hot, when, -(2**62))))
-            values = np.concatenate(([value], temp))
-            peak = np.maximum.accumulate(times)
-            is_peak = np.concatenate(([True], hot & (times[1:] >= peak[:-1])))
-            last = values[np.maximum.accumulate(np.where(is_peak, np.arange(len(values)), 0))][1:]
-            out["hourly_avg_temp"] = out["daily_avg_temp"] = (sums + temp) / (counts + 1)
-            out["temperature_trend"] = np.select([temp > last, temp < last], ["rising", "falling"], "stable")
-            out["high_temp_count"] = counts.astype("int32")
-            if len(temp):
-                n, total = int(counts[-1]), float(sums[-1])
-                newest, value = int(peak[-1]), float(last[-1])
-            yield out
-        self.state.update((n, total, newest, value))
-
-    def close(self) -> None:
-        pass
+    never = -(2**62)
+
+    class CityMonitor(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("hot", "n LONG, total DOUBLE, at_us LONG, value DOUBLE")
+
+        def handleInputRows(self, key, rows, timerValues):
+            n, total, newest, value = self.state.get() if self.state.exists() else (0, 0.0, never, float("nan"))
+            for pdf in rows:
+                pdf = pdf.sort_values(at, kind="stable")
+                out = pdf[columns].copy()
+                temp = pdf["temperature"].to_numpy(dtype="float64")
+                when = pdf[at].to_numpy().astype("datetime64[us]").astype("int64")
+                hot = temp > _HOT
+                counts, sums = n + np.cumsum(hot), total + np.cumsum(np.where(hot, temp, 0.0))
+                # newest hot reading so far: the state first, then every hot row that is not older
+                times = np.concatenate(([newest], np.where(hot, when, never)))
+                values = np.concatenate(([value], temp))
+                peak = np.maximum.accumulate(times)
+                is_peak = np.concatenate(([True], hot & (times[1:] >= peak[:-1])))
+                last = values[np.maximum.accumulate(np.where(is_peak, np.arange(len(values)), 0))][1:]
+                out["hourly_avg_temp"] = out["daily_avg_temp"] = (sums + temp) / (counts + 1)
+                out["temperature_trend"] = np.select([temp > last, temp < last], ["rising", "falling"], "stable")
+                out["high_temp_count"] = counts.astype("int32")
+                if len(temp):
+                    n, total = int(counts[-1]), float(sums[-1])
+                    newest, value = int(peak[-1]), float(last[-1])
+                yield out
+            self.state.update((n, total, newest, value))
+
+        def close(self) -> None:
+            pass
+
+    return CityMonitor()
 
 
 def monitor_stream(df: DataFrame, key: str, at: str) -> DataFrame:
@@ -115,6 +117,6 @@ def monitor_stream(df: DataFrame, key: str, at: str) -> DataFrame:
     added = "hourly_avg_temp DOUBLE, daily_avg_temp DOUBLE, temperature_trend STRING, high_temp_count INT"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     rows = df.groupBy(key).transformWithStateInPandas(
-        CityMonitor(key, at, cols), outputStructType=f"{fields}, {added}",
+        city_monitor(at, cols), outputStructType=f"{fields}, {added}",
         outputMode="Update", timeMode="None")
     return rows.withColumn("alerts", alerts())
