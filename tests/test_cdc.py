@@ -71,3 +71,9 @@ def test_delete_where_and_insert_if_absent(spark):
     assert rows(cdc.delete_where(df, "v = 5")) == [(2, None)]
     extra = spark.createDataFrame([(2, 9), (3, 9)], "id INT, v INT")
     assert rows(cdc.insert_if_absent(df, extra, ["id"])) == [(1, 5), (2, None), (3, 9)]
+
+
+def test_latest_row_with_a_map_column(spark):
+    df = spark.createDataFrame([(1, 1, {"a": 1}), (1, 2, {"b": 2})], "k INT, seq INT, m MAP<STRING, INT>")
+    assert cdc.scd1(df, ["k"], "seq").first().m == {"b": 2}
+    assert cdc.scd2(df, ["k"], "seq").count() == 2

@@ -7,7 +7,7 @@ from weir.operators import cdc
 from weir.plans import loans, telemetry, wealth
 from weir.session import shared_dir
 from weir.streaming import latency, sinks
-from weir.streaming.monitor import monitor_batch, monitor_stream
+from weir.streaming.monitor import monitor_batch, monitor_stream, monitor_table
 from weir.streaming.tables import (
     append_new, compact, full_refresh, read_scd1, read_sums, stream_scd1, stream_sums)
 from weir.streaming.windows import sliding_stats
@@ -177,3 +177,28 @@ def test_message_payload_and_headers(spark):
 def test_bus_needs_its_connector(spark, data):
     with pytest.raises(Exception, match="(?i)kafka"):
         sinks.to_bus(as_stream(spark, load(spark, data, "region").select(sinks.payload("r_name"))), "h:1", "t", shared_dir(spark, "ck"))
+
+
+@pytest.mark.parametrize("max_rows", [20, None])
+def test_monitor_table_carries_its_state(spark, tmp_path, max_rows):
+    """Two batches, the second partly older than the first, against the definition."""
+    every = spark.range(400).select(
+        "id", (F.col("id") % 3).cast("int").alias("city"), F.timestamp_seconds(F.abs(F.xxhash64("id")) % 500).alias("ts"),
+        (F.abs(F.xxhash64("id", F.lit(3))) % 400 / 8).alias("temperature"), F.lit(1.0).alias("humidity"),
+        F.lit(1.0).alias("co2_level"), F.lit(1.0).alias("pm25_level"))
+    folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for part in ("id < 150", "id >= 150"):
+        every.filter(part).write.mode("append").parquet(folder)
+        finish(monitor_table(spark.readStream.schema(every.schema).parquet(folder), out, "city", "ts", "id", ck, max_rows))
+    state, want = {}, []
+    for batch in ("id < 150", "id >= 150"):
+        for r in sorted(every.filter(batch).collect(), key=lambda r: (r.ts, r.id)):
+            hot = state.setdefault(r.city, [])
+            if r.temperature > 25:
+                hot.append((r.ts, r.temperature))
+            mean = (sum(t for _, t in hot) + r.temperature) / (len(hot) + 1)
+            last = sorted(hot, key=lambda h: h[0])[-1][1] if hot else r.temperature
+            trend = "rising" if r.temperature > last else "falling" if r.temperature < last else "stable"
+            want.append((r.id, mean, trend, len(hot)))
+    got = spark.read.parquet(out + "/rows").select("id", "hourly_avg_temp", "temperature_trend", "high_temp_count")
+    assert [(g[0], round(g[1], 9), *g[2:]) for g in rows(got)] == [(w[0], round(w[1], 9), *w[2:]) for w in sorted(want, key=repr)]

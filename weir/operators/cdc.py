@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from weir.operators.ordered import next_in_order
 
 START, END = "__START_AT", "__END_AT"
 
 
+def _sortable(t: T.DataType) -> bool:
+    return not any(k in t.simpleString() for k in ("map<", "variant"))
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key by ``order``, then by all other columns so that ties are stable.
 
     One aggregate with map-side combine: a hot key is reduced before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    last = F.max(F.struct(*order, *rest)).alias("_last")
+    loose = [c for c in rest if not _sortable(df.schema[c].dataType)]
+    if loose:
+        by = F.struct(*order, *[c for c in rest if c not in loose])
+        last = F.max_by(F.struct(*order, *rest), by).alias("_last")
+    else:
+        last = F.max(F.struct(*order, *rest)).alias("_last")
     return df.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*df.columns)
 
 
@@ -32,7 +41,7 @@ def scd2(changes, keys, seq, delete_when: str | None = None, except_cols=(), max
 
     Of several changes with one sequence number the last in tie order is kept.
     """
-    rest = [c for c in changes.columns if c not in keys and c != seq]
+    rest = [c for c in changes.columns if c not in keys and c != seq and _sortable(changes.schema[c].dataType)]
     tied = changes.withColumn("_tie", F.xxhash64(*rest) if rest else F.lit(0).cast("long"))
     versions = next_in_order(tied, keys, [seq, "_tie"], END, max_rows=max_rows).drop("_tie")
     versions = versions.filter(F.col(END).isNull() | (F.col(END) > F.col(seq)))

@@ -69,7 +69,8 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int, max_queries: int
     ``max_queries`` query vectors travel with the tasks (their number is counted first);
     more of them are laid out with the corpus on a grid of bounded cells.
     """
-    n_queries = queries.limit(max_queries + 1).count()
+    queries = pinned(queries.select("query_id", "embedding"), "queries")     # made once, read twice
+    n_queries = queries.count()
     if n_queries <= max_queries:
         partial = _with_few(corpus, queries, k)
     else:

@@ -42,17 +42,22 @@ def scd2(spark, d) -> DataFrame:
     return versions(spark, d)
 
 
-MIDDLE = 5_000     # versions are asked for as of this change
+def middle(spark, d):
+    """Versions are asked for as of the middle of the change log."""
+    return load(spark, d, "events").agg((F.max("event_id") / 2).cast("long").alias("m")).scalar()
 
 
-@query("cdc_scd2_as_of", f"""SELECT * FROM ({_SCD2}) WHERE "__START_AT" <= {MIDDLE} AND ("__END_AT" IS NULL OR "__END_AT" > {MIDDLE})""")
+_MIDDLE = "(SELECT max(event_id) // 2 FROM events)"
+
+
+@query("cdc_scd2_as_of", f"""SELECT * FROM ({_SCD2}) WHERE "__START_AT" <= {_MIDDLE} AND ("__END_AT" IS NULL OR "__END_AT" > {_MIDDLE})""")
 def scd2_as_of(spark, d) -> DataFrame:
-    return cdc.as_of(versions(spark, d), MIDDLE)
+    return cdc.as_of(versions(spark, d), middle(spark, d))
 
 
-@query("as_of_version", _LAST.format(where="WHERE event_id <= 5000"))
+@query("as_of_version", _LAST.format(where=f"WHERE event_id <= {_MIDDLE}"))
 def as_of_version(spark, d) -> DataFrame:
-    return cdc.as_of_version(feed(spark, d), KEY, SEQ, 5000)
+    return cdc.as_of_version(feed(spark, d), KEY, SEQ, middle(spark, d))
 
 
 # Orders seen twice: as first stored (before 1999), and as delivered later (from 1998 on, repriced).

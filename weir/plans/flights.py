@@ -67,15 +67,15 @@ def geo_stats(spark, d) -> DataFrame:
 
 @query("geo_dead_reckoning", f"""
   SELECT event_id, CAST(i AS INTEGER) AS point,
-    round(greatest(-85, least(85, latitude + cos(radians(heading)) * velocity * (i / 40.0 * 1500) / 1000 / 111)), 4) AS track_lat,
-    round(longitude + sin(radians(heading)) * velocity * (i / 40.0 * 1500) / 1000 / 111 / greatest(cos(radians(latitude)), 0.1), 4) AS track_lon,
+    round(greatest(-85, least(85, latitude + cos(radians(heading)) * velocity * (i / 40.0 * 1500) / 1000 / 111)), 7) AS track_lat,
+    round(longitude + sin(radians(heading)) * velocity * (i / 40.0 * 1500) / 1000 / 111 / greatest(cos(radians(latitude)), 0.1), 7) AS track_lon,
     round(greatest(0, altitude + vertical_rate * (i / 40.0 * 1500)), 4) AS track_alt
   FROM {_FLIGHTS}, range(41) r(i) WHERE NOT on_ground AND velocity > 10""")
 def geo_dead_reckoning(spark, d) -> DataFrame:
     flying = flights(spark, d).filter(geo.airborne())
     return geo.dead_reckon(flying).select(
-        "event_id", "point", F.round("track_lat", 4).alias("track_lat"),
-        F.round("track_lon", 4).alias("track_lon"), F.round("track_alt", 4).alias("track_alt"))
+        "event_id", "point", F.round("track_lat", 7).alias("track_lat"),
+        F.round("track_lon", 7).alias("track_lon"), F.round("track_alt", 4).alias("track_alt"))
 
 
 _HOME_SQL = "(VALUES " + ", ".join(

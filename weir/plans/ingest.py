@@ -77,13 +77,13 @@ def xml_rows(spark, d) -> DataFrame:
 
 
 @query("xml_stream_evolution", """
-  SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 1 THEN s_acctbal END AS balance FROM supplier""")
+  SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_acctbal > 4000 THEN s_acctbal END AS balance FROM supplier""")
 def xml_stream_evolution(spark, d) -> DataFrame:
     """XML files taken in by two runs; the second portion has an element the stored schema gains."""
     work, s = shared_dir(spark, "xml_stream"), load(spark, d, "supplier")
-    odd = F.col("s_suppkey") % 2 == 1
-    old = s.filter(~odd).select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"))
-    new = s.filter(odd).select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    rich = F.col("s_acctbal") > 4000
+    old = s.filter(~rich).select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"))
+    new = s.filter(rich).select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     for n, part in enumerate((old, new)):
         xml_source.write_xml(part, f"{work}/landing/run{n}", "supplier", "suppliers")
         stream = incremental_files(

@@ -10,7 +10,7 @@ from weir.plans import changes, loans, telemetry, wealth
 from weir.registry import ORACLES, query
 from weir.session import shared_dir
 from weir.streaming import latency, sinks
-from weir.streaming.monitor import monitor_stream
+from weir.streaming.monitor import monitor_stream, monitor_table
 from weir.streaming.tables import read_scd1, read_sums, stream_scd1, stream_sums, update_table
 from weir.streaming.windows import sliding_stats
 from weir.tables import load, with_instant
@@ -50,6 +50,17 @@ def stream_env_monitor(spark, d) -> DataFrame:
         F.col("temperature_trend").alias("trend"), "high_temp_count")
 
 
+@query("stream_env_monitor_table", ORACLES["env_monitor"])
+def stream_env_monitor_table(spark, d) -> DataFrame:
+    """The same with the state kept as a table, which lets a hot key be split."""
+    work = two_portions(
+        spark, telemetry.sensors(spark, d), F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"),
+        lambda s, w: monitor_table(s, f"{w}/table", "city", "ts", "event_id", f"{w}/checkpoint"))
+    return spark.read.parquet(f"{work}/table/rows").select(
+        "event_id", "city", F.col("hourly_avg_temp").alias("avg_temp"),
+        F.col("temperature_trend").alias("trend"), "high_temp_count")
+
+
 @query("stream_scd1", ORACLES["cdc_scd1_delete"])
 def streamed_scd1(spark, d) -> DataFrame:
     """Changes out of order across runs: the highest sequence wins, deletes included."""

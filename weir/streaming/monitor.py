@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from weir.functions.fixed_values import ALERT_LIMITS
-from weir.operators.ordered import HOT, SEG, segment
+from weir.operators.ordered import HOT, SEG, null_safe_left_join, segment
+from weir.streaming.sinks import to_batches
 
 _HOT = ALERT_LIMITS["temperature"]
 _UNITS = {"temperature": "°C", "humidity": "%", "co2_level": "ppm", "pm25_level": "µg/m³"}
@@ -30,44 +31,85 @@ def alerts() -> Column:
     return F.concat(*[one(n) for n in ALERT_LIMITS])
 
 
-def monitor_batch(df: DataFrame, key: str, at: str, unique: str, max_rows: int | None = None) -> DataFrame:
+def monitor_batch(
+    df: DataFrame, key: str, at: str, unique: str, max_rows: int | None = None, state: DataFrame | None = None,
+) -> DataFrame:
     """The monitor over a table, readings taken in order of ``(at, unique)`` per key.
 
-    A hot key is cut into time segments; count, sum and newest hot value are carried over.
+    A hot key is cut into time segments; count, sum and newest hot reading are carried over.
+    ``state`` (see ``next_state``) holds what earlier tables left behind.
     """
     s = segment(df, [key], [at, unique], max_rows)
     upto = s.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = s.window.rowsBetween(Window.unboundedPreceding, -1)
     temp = F.col("temperature")
     hot = temp > _HOT
-    hot_value = F.when(hot, temp)
+    hot_value, hot_reading = F.when(hot, temp), F.when(hot, F.struct(F.col(at).alias("at"), temp.alias("value")))
     rows = s.df.withColumns({
         "_cnt": F.count(hot_value).over(upto),
         "_sum": F.coalesce(F.sum(hot_value).over(upto), F.lit(0.0)),
-        "_last": F.last(hot_value, ignorenulls=True).over(before),
+        "_last": F.last(hot_reading, ignorenulls=True).over(before),
     })
     if s.split:
         earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
         rows = s.carry(
             rows, {"_n": F.count(hot_value), "_s": F.sum(hot_value),
-             "_l": F.max(F.when(hot, F.struct(F.col(at), F.col(unique), temp)))},
+             "_l": F.max(F.when(hot, F.struct(F.col(at), F.col(unique), hot_reading.alias("r"))))},
             {"_c0": lambda w: F.sum("_n").over(earlier(w)),
              "_s0": lambda w: F.sum("_s").over(earlier(w)),
-             "_l0": lambda w: F.last("_l.temperature", ignorenulls=True).over(earlier(w))},
+             "_l0": lambda w: F.last("_l.r", ignorenulls=True).over(earlier(w))},
         ).withColumns({
             "_cnt": F.col("_cnt") + F.coalesce("_c0", F.lit(0)),
             "_sum": F.col("_sum") + F.coalesce("_s0", F.lit(0.0)),
             "_last": F.coalesce("_last", "_l0")}).drop("_c0", "_s0", "_l0")
+    if state is not None:
+        kept = state.select(key, F.col("n").alias("_n0"), F.col("total").alias("_t0"),
+                            F.struct("last.at", "last.value").alias("_k0"), F.col("last").isNotNull().alias("_has"))
+        older = F.col("_has") & (F.col("_last").isNull() | (F.col("_k0.at") > F.col("_last.at")))
+        rows = null_safe_left_join(rows, kept, [key]).withColumns({
+            "_cnt": F.col("_cnt") + F.coalesce("_n0", F.lit(0)),
+            "_sum": F.col("_sum") + F.coalesce("_t0", F.lit(0.0)),
+            "_last": F.when(older, F.col("_k0")).otherwise(F.col("_last"))}).drop("_n0", "_t0", "_k0", "_has")
     avg = (F.col("_sum") + temp) / (F.col("_cnt") + 1)
+    is_newest = F.col("_last").isNull() | (hot & (F.col(at) >= F.col("_last.at")))
     trend = (
-        F.when(hot | F.col("_last").isNull() | (temp == F.col("_last")), "stable")
-        .when(temp > F.col("_last"), "rising").otherwise("falling"))
+        F.when(is_newest | (temp == F.col("_last.value")), "stable")
+        .when(temp > F.col("_last.value"), "rising").otherwise("falling"))
     return rows.withColumns({
         "hourly_avg_temp": avg, "daily_avg_temp": avg, "temperature_trend": trend,
         "high_temp_count": F.col("_cnt").cast("int"), "alerts": alerts(),
     }).drop("_cnt", "_sum", "_last", SEG, HOT)
 
 
+def next_state(df: DataFrame, key: str, at: str, unique: str, state: DataFrame | None = None) -> DataFrame:
+    """Per key the hot count, hot sum and newest hot reading after ``df`` (combined before the
+    shuffle; one row per key)."""
+    new = df.filter(F.col("temperature") > _HOT).select(
+        key, F.lit(1).cast("long").alias("n"), F.col("temperature").alias("total"),
+        F.struct(F.col(at).alias("at"), F.lit(1).alias("late"), F.col(unique).cast("long").alias("unique"),
+                 F.col("temperature").alias("value")).alias("last"))
+    if state is not None:
+        new = new.unionByName(state.withColumn("last", F.col("last").withField("late", F.lit(0))))
+    return new.groupBy(key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last").alias("last"))
+
+
+def monitor_table(stream: DataFrame, path: str, key: str, at: str, unique: str, checkpoint: str, max_rows=None) -> StreamingQuery:
+    """The monitor over a stream whose keys may be hot: every micro-batch is monitored as a
+    table, a hot key in parallel, with the state of the batch before.
+
+    Rows go to ``path/rows``, the state after each batch to ``path/state``; a repeated batch
+    reads the same earlier state and replaces its own output.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.parquet(f"{path}/state/{batch_id - 1}") if batch_id else None
+        rows = monitor_batch(batch, key, at, unique, max_rows, state)
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch_no={batch_id}")
+        next_state(batch, key, at, unique, state).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+
+    return to_batches(stream, write, checkpoint)
+
+
 def city_monitor(at: str, columns: list[str]) -> StatefulProcessor:
     """Processor with the state (hot count, hot sum, newest hot time, its value) per key.
 
@@ -112,7 +154,10 @@ def city_monitor(at: str, columns: list[str]) -> StatefulProcessor:
 
 
 def monitor_stream(df: DataFrame, key: str, at: str) -> DataFrame:
-    """The monitor over a stream (update mode; RocksDB state store)."""
+    """The monitor over a stream (update mode; RocksDB state store).
+
+    A key is handled by one task at a time: use ``monitor_table`` where keys may be hot.
+    """
     cols = df.columns
     added = "hourly_avg_temp DOUBLE, daily_avg_temp DOUBLE, temperature_trend STRING, high_temp_count INT"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
