@@ -13,7 +13,7 @@ def finite(col: Column) -> Column:
 
 def cents(col: Column) -> Column:
     """An amount in whole cents.  Sums of these are exact, whatever order tasks finish in."""
-    return F.round(col * 100).cast("long")
+    return F.rint(col * 100).cast("long")
 
 
 def mean_amount(col: Column) -> Column:

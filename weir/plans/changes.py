@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.numbers import cents
 from weir.operators import cdc
 from weir.registry import query
 from weir.tables import load
@@ -138,8 +139,8 @@ def unprocessed_keys(spark, d) -> DataFrame:
 def incremental_agg(spark, d) -> DataFrame:
     """Stored sums of the older orders, completed by partial sums of the newer ones."""
     orders, cut = load(spark, d, "orders"), F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ '1999-01-01'")
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    partial = lambda rows: rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents"))
+    partial = lambda rows: rows.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("o_totalprice"))).alias("cents"))
     return cdc.merge_partials([partial(orders.filter(cut)), partial(orders.filter(~cut))], ["o_custkey"], ["n", "cents"])
 
 

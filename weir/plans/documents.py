@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from weir.operators import documents as docs_ops
 from weir.operators.lexicon import SENTIMENT, lexicon_classify, lexicon_sentiment
 from weir.registry import query
-from weir.tables import load
+from weir.tables import load, spread
 
 FOLDER = "archive/"
 
@@ -31,7 +31,7 @@ _TOKENS = r"[x FOR x IN regexp_split_to_array(text, '[ \t\n\x0B\f\r]+') IF x <>
         FROM (SELECT *, unnest(range(n)) AS i FROM p))
   SELECT doc_id, lang, CAST(i AS INTEGER) AS chunk_no, chunked_text, md5(chunked_text) AS chunk_id FROM c""")
 def chunk_documents(spark, d) -> DataFrame:
-    return docs_ops.chunk(load(spark, d, "documents").select("doc_id", "lang", "text"), "text")
+    return docs_ops.chunk(spread(load(spark, d, "documents").select("doc_id", "lang", "text")), "text")
 
 
 @query("text_stats", f"""
@@ -39,7 +39,7 @@ def chunk_documents(spark, d) -> DataFrame:
     CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]')) AS INTEGER) AS n_tokens,
     CAST(length(text) AS INTEGER) AS n_characters FROM documents""")
 def text_stats(spark, d) -> DataFrame:
-    return docs_ops.text_stats(load(spark, d, "documents").select("doc_id", "text"), "text")
+    return docs_ops.text_stats(spread(load(spark, d, "documents").select("doc_id", "text")), "text")
 
 
 STOP_WORDS = {
@@ -56,7 +56,7 @@ _COUNT = lambda words: f"len([x FOR x IN {_SPLIT} IF x IN ({', '.join(repr(w) fo
   WITH s AS (SELECT doc_id, [{', '.join(_COUNT(w) for w in STOP_WORDS.values())}] AS n FROM documents)
   SELECT doc_id, CASE WHEN list_max(n) > 0 THEN {list(STOP_WORDS)}[list_position(n, list_max(n))] ELSE 'other' END AS event_class FROM s""")
 def lexicon_labels(spark, d) -> DataFrame:
-    rows = load(spark, d, "documents").select("doc_id", "text")
+    rows = spread(load(spark, d, "documents").select("doc_id", "text"))
     return lexicon_classify(rows, "text", STOP_WORDS).drop("text")
 
 
@@ -64,7 +64,7 @@ def lexicon_labels(spark, d) -> DataFrame:
   WITH s AS (SELECT conv_id, turn, CAST({_COUNT(SENTIMENT['positive'])} - {_COUNT(SENTIMENT['negative'])} AS INTEGER) AS sentiment_score FROM conversations)
   SELECT *, CASE WHEN sentiment_score > 0 THEN 'positive' WHEN sentiment_score < 0 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")
 def moods(spark, d) -> DataFrame:
-    rows = load(spark, d, "conversations").select("conv_id", "turn", "text")
+    rows = spread(load(spark, d, "conversations").select("conv_id", "turn", "text"))
     return lexicon_sentiment(rows, "text").drop("text")
 
 

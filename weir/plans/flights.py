@@ -9,7 +9,7 @@ from weir.operators import geo
 from weir.plans.telemetry import LAT, LON
 from weir.registry import query
 from weir.sources.state_vectors import parse_state_vectors
-from weir.tables import load
+from weir.tables import load, spread
 
 HOMES = [c for c, _, _ in country_centroids()]
 _GEO_ALT = "CASE WHEN event_type <> 'click' THEN value * 20 END"
@@ -72,7 +72,7 @@ def geo_stats(spark, d) -> DataFrame:
     round(greatest(0, altitude + vertical_rate * (i / 40.0 * 1500)), 4) AS track_alt
   FROM {_FLIGHTS}, range(41) r(i) WHERE NOT on_ground AND velocity > 10""")
 def geo_dead_reckoning(spark, d) -> DataFrame:
-    flying = flights(spark, d).filter(geo.airborne())
+    flying = spread(flights(spark, d).filter(geo.airborne()))
     return geo.dead_reckon(flying).select(
         "event_id", "point", F.round("track_lat", 7).alias("track_lat"),
         F.round("track_lon", 7).alias("track_lon"), F.round("track_alt", 4).alias("track_alt"))

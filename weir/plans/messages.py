@@ -11,14 +11,14 @@ from weir.registry import query
 from weir.session import shared_dir
 from weir.sources.envelope import circulars, envelope, sensor_results
 from weir.streaming.sinks import payload, with_headers
-from weir.tables import load
+from weir.tables import load, spread
 
 _START_MS = 1_700_000_000_000
 
 
 def circular_records(spark, d) -> DataFrame:
     """Documents as JSON circulars in message-bus records (a binary value, no ``format`` for English)."""
-    docs = load(spark, d, "documents")
+    docs = spread(load(spark, d, "documents"))
     body = F.struct(
         F.lit("urn:circular:1").alias("$schema"), F.concat(F.lit("E"), "doc_id").alias("eventId"),
         F.col("source").alias("submitter"), F.lit("web").alias("submittedHow"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.numbers import cents
 from weir.operators.cdc import latest_per_key
 from weir.plans import changes, loans, telemetry, wealth
 from weir.registry import ORACLES, query
@@ -29,7 +30,7 @@ def two_portions(spark, rows: DataFrame, first, run) -> str:
 def stream_sliding_windows(spark, d) -> DataFrame:
     """Update mode: every change of a window is stored, its last state read back."""
     e = with_instant(load(spark, d, "events").select("ts", "value", "event_type"), "ts").withColumn(
-        "value", F.round(F.col("value") * 100))
+        "value", F.rint(F.col("value") * 100))
     stats = lambda s: sliding_stats(s, "ts", "value", "1 hour", "10 minutes", watermark="60 days")
     work = two_portions(
         spark, e, F.col("event_type") == "view",
@@ -73,7 +74,7 @@ def streamed_scd1(spark, d) -> DataFrame:
 @query("stream_incremental_sums", ORACLES["incremental_agg"])
 def streamed_sums(spark, d) -> DataFrame:
     orders = load(spark, d, "orders").select(
-        "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+        "o_custkey", "o_orderstatus", cents(F.col("o_totalprice")).alias("cents"))
     work = two_portions(
         spark, orders, F.col("o_orderstatus") == "F",
         lambda s, w: stream_sums(s, f"{w}/table", ["o_custkey"], ["cents"], f"{w}/checkpoint"))

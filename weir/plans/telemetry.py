@@ -12,7 +12,7 @@ from weir.session import shared_dir
 from weir.sources.devices import normalize_device_messages
 from weir.streaming.monitor import alerts, monitor_batch
 from weir.streaming.windows import sliding_stats
-from weir.tables import load, with_instant
+from weir.tables import load, spread, with_instant
 
 LAT = "((user_id * 37 + event_id * 3) % 140 - 70)"
 LON = "((event_id * 13) % 360 - 180)"
@@ -96,7 +96,7 @@ def stream_tail(spark, d) -> DataFrame:
 
 def messages(spark, d) -> DataFrame:
     """Readings as nested JSON; errors carry no readable time, sign-ups no readable speed."""
-    r = readings(spark, d)
+    r = spread(readings(spark, d))
     at = F.when(F.col("event_type") == "error", "soon").otherwise(
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     speed = F.when(F.col("event_type") == "signup", "NaN").otherwise(F.col("speed").cast("string"))
@@ -163,7 +163,7 @@ def sensors(spark, d) -> DataFrame:
     min(value) AS min_value, max(value) AS max_value FROM s GROUP BY 1""")
 def sliding_window_stats(spark, d) -> DataFrame:
     """Over whole cents, whose sums are exact."""
-    rows = with_instant(load(spark, d, "events"), "ts").withColumn("value", F.round(F.col("value") * 100))
+    rows = with_instant(load(spark, d, "events"), "ts").withColumn("value", F.rint(F.col("value") * 100))
     return sliding_stats(rows, "ts", "value", "1 hour", "10 minutes")
 
 

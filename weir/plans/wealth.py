@@ -82,15 +82,20 @@ def investment_only(spark, d) -> DataFrame:
         F.round(F.col("total_net_worth") * 0.015, 0).alias("revenue_opportunity"), "campaign_name")
 
 
-CASH_HEAVY, CASH_POOR = 0.006, 0.004
+CASH_HEAVY, CASH_POOR = 0.006, 0.004      # cash to investments, fitted to the order prices
+
+# --- fixed values: advice texts ------------------------------------------------------------
+CASH_HEAVY_ADVICE = "Too Much Cash - Suggest Investment"
+CASH_POOR_ADVICE = "Cash Poor - Suggest Liquidity Products"
+BALANCED_ADVICE = "Balanced Portfolio"
 
 
 @query("rebalancing", f"""
   SELECT b.customer_id, sum(avg_amount) AS cash_position, round(sum(total_net_worth), 2) AS investment_position,
     round(sum(avg_amount) / (sum(avg_amount) + sum(total_net_worth)) * 100, 1) AS cash_percentage,
-    CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN 'Too Much Cash'
-         WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN 'Cash Poor'
-         ELSE 'Balanced' END AS recommendation,
+    CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN '{CASH_HEAVY_ADVICE}'
+         WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN '{CASH_POOR_ADVICE}'
+         ELSE '{BALANCED_ADVICE}' END AS recommendation,
     CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN sum(avg_amount) * CAST(0.3 AS DOUBLE)
          WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN round(sum(total_net_worth), 2) * CAST(0.1 AS DOUBLE)
          ELSE 0 END AS suggested_amount, c_mktsegment AS campaign_name
@@ -111,7 +116,7 @@ def rebalancing(spark, d) -> DataFrame:
     return per.select(
         "customer_id", F.col("_cash").alias("cash_position"), F.round("_inv", 2).alias("investment_position"),
         F.round(F.col("_cash") / (F.col("_cash") + F.col("_inv")) * 100, 1).alias("cash_percentage"),
-        F.when(heavy, "Too Much Cash").when(poor, "Cash Poor").otherwise("Balanced").alias("recommendation"),
+        F.when(heavy, CASH_HEAVY_ADVICE).when(poor, CASH_POOR_ADVICE).otherwise(BALANCED_ADVICE).alias("recommendation"),
         F.when(heavy, F.col("_cash") * 0.3).when(poor, F.round("_inv", 2) * 0.1).otherwise(0.0).alias("suggested_amount"),
         "campaign_name")
 

@@ -20,9 +20,13 @@ def parse_state_vectors(df: DataFrame, states: str = "state", taken: str = "time
 
     A value that cannot be read becomes NULL.  Runs in the JVM, no Python per row.
     """
-    at = lambda i: F.get(F.col(states), F.lit(i))
+    at = lambda i: F.get(F.col("_v"), F.lit(i))
     instant = lambda c: F.timestamp_seconds(c.try_cast("double"))
-    usable = (F.size(states) >= FIELDS) & at(0).isNotNull() & at(5).isNotNull() & at(6).isNotNull()
+
+    def usable(v: Column) -> Column:
+        entry = lambda i: F.get(v, F.lit(i))
+        return (F.size(v) >= FIELDS) & entry(0).isNotNull() & entry(5).isNotNull() & entry(6).isNotNull()
+
     columns: dict[str, Column] = {
         "time_ingest": F.timestamp_seconds(F.col(taken)),
         "icao24": at(0), "callsign": at(1), "origin_country": at(2),
@@ -33,7 +37,9 @@ def parse_state_vectors(df: DataFrame, states: str = "state", taken: str = "time
         "sensors": F.from_json(at(12), "array<int>"), "baro_altitude": finite(at(7)),
         "squawk": at(14), "spi": at(15).try_cast("boolean"), "category": at(17).try_cast("int"),
     }
-    return df.filter(usable).select(*[c.alias(n) for n, c in columns.items()])
+    # a list of at most one vector: an expression that makes it is evaluated once, not per test
+    kept = df.withColumn("_v", F.explode(F.filter(F.array(states), usable)))
+    return kept.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def _open(path: str):
