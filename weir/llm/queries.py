@@ -5,13 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import byte_bpe, token_counts
+from weir.llm import byte_bpe, packing, simhash, token_counts
 from weir.llm.common import read
 from weir.registry import query
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQUENCE = 2048
+SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
+
+
+@query("op1_simhash")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf, "documents"), shingle=SIMHASH_SHINGLE, max_bits=SIMHASH_BITS)
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf, "documents"), public_tokenizers.path(WORD_VOCABULARY), SEQUENCE)
 
 
 @query("op9_token_counts")
