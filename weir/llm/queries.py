@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import byte_bpe, packing, simhash, token_counts
+from weir.llm import byte_bpe, packing, simhash, suffixes, token_counts
 from weir.llm.common import read
 from weir.registry import query
 
@@ -13,6 +13,7 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQUENCE = 2048
 SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
+REPEAT_BYTES = 100
 
 
 @query("op1_simhash")
@@ -25,6 +26,38 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), public_tokenizers.path(WORD_VOCABULARY), SEQUENCE)
 
 
+#: covered bytes in hexadecimal, two letters a byte: a blob has no substring function
+_REPEATS_SQL = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (
+    SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS w
+    FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS s FROM d)),
+later AS (
+    SELECT doc_id, s FROM (
+        SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM starts) WHERE k > 1),
+marked AS (
+    SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM later),
+numbered AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+runs AS (
+    SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b, lag(max(s) + 100, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS before
+    FROM numbered GROUP BY doc_id, run),
+pieces AS (
+    SELECT r.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+           string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept
+    FROM runs r JOIN d ON d.doc_id = r.doc_id GROUP BY r.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN pieces p ON p.doc_id = d.doc_id
+"""
+
+
+@query("op6_suffix_dedup", _REPEATS_SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.removal_report(read(spark, sf, "documents"), length=REPEAT_BYTES)
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(
