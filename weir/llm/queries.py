@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import byte_bpe, packing, simhash, suffixes, token_counts
+from weir.llm import byte_bpe, order_minhash, packing, pages, simhash, suffixes, token_counts
 from weir.llm.common import read
 from weir.registry import query
 
@@ -58,6 +58,16 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.removal_report(read(spark, sf, "documents"), length=REPEAT_BYTES)
 
 
+@query("op7_order_minhash")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return order_minhash.edit_report(read(spark, sf, "documents"))
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(read(spark, sf, "pages"))
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(
