@@ -11,8 +11,9 @@ instead of a shared position table, and only as many bytes as the asked length a
    each other and share an anchor form a segment.
 2. A bucket is refined by the identifiers at the offsets of its segments' ends: q, 2q and so on are
    pointers, joined pair by pair (``_Block.string_ids``).  Segments of one refined bucket are equal
-   as a whole: all but the first are covered at once.
-3. Firsts of buckets that fell apart are refined string by string, by pointers reused the same way.
+   as a whole: all but the first are covered at once.  Of the firsts only those go on whose half of
+   the asked length before or behind the anchor has a companion in the bucket.
+3. They are refined string by string, by pointers reused the same way.
 
 Both refinements shuffle by bucket and read it in sorted order as a stream, so a bucket needs no
 memory; equal rows of one task are combined before the shuffle.
@@ -30,9 +31,12 @@ from pyspark.sql import DataFrame, functions as F
 from weir.llm.common import pinned
 
 Q = 32                          # bytes of the initial buckets
-BLOCK = 1 << 21                 # bytes hashed at a time
+BLOCK = 1 << 19                 # bytes hashed at a time
+HELD = 50_000                   # segments of one bucket that are looked at together
 _PLACE = 25                     # low bits of a place that hold the text's digest
 _INDEX = np.uint64((1 << 24) - 1)
+_SIZE = (1 << 7) - 1             # low bits of a size that hold the number of strings
+_BEHIND, _BEFORE = 1 << 7, 1 << 8   # sides on which a segment that goes on has a companion
 _ROW = "k1 long, k2 long, doc long, place long, size int"
 _NAMES = ["k1", "k2", "doc", "place", "size"]
 _U = np.uint64
@@ -142,9 +146,24 @@ class _Block:
         at = np.flatnonzero(fresh)
         low, size = starts[at], np.diff(np.append(at, len(starts)))
         k2 = _joined(_joined(self.string_ids(low), self.string_ids(low + size - 1)), size.astype(np.uint64))
-        return self.grams[anchor[at]], k2, part[at], low, size
-
-    def rows(self, k1, k2, part, low, size) -> pa.RecordBatch:
+        return self.grams[anchor[at]], k2, part[at], low, size, self._sides(anchor[at], part[at])
+
+    def _sides(self, anchor: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """12 bits of the identifiers behind and before an anchor, above the bits of a size.  Strings
+        that two segments share hold half of the bytes beside their anchor on one of its sides; a side
+        that the text cuts short has bits of its own."""
+        q = min(Q, self.length)
+        half = (self.length - q + 1) // 2
+        out = np.zeros(len(anchor), dtype=np.int64)
+        for shift, offset in ((7, half), (19, -half)):
+            other = anchor + offset
+            whole = (other >= self.first[part]) & (other + q <= self.ends[part])
+            side = _mixed(anchor.astype(np.uint64) + _U(offset % 977))
+            side[whole] = _joined(self.grams[anchor[whole]], self.grams[other[whole]])
+            out |= (side >> _U(52)).astype(np.int64) << shift
+        return out
+
+    def rows(self, k1, k2, part, low, size, sides=0) -> pa.RecordBatch:
         """Rows for the shuffle.  Of equal keys only the first place goes on; the others are covered
         already and go on as marks (negative size), those that touch as one."""
         doc, digest = self.doc[part], self.digest[part]
@@ -170,7 +189,7 @@ class _Block:
         columns = [
             np.concatenate([k1[kept], spread]).view(np.int64), np.concatenate([k2[kept], spread]).view(np.int64),
             np.concatenate([doc[kept], doc[heads]]), np.concatenate([place[kept], place[heads]]),
-            np.concatenate([size[kept], -spans]).astype(np.int32)]
+            np.concatenate([(size | sides)[kept], -spans]).astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
 
@@ -204,7 +223,9 @@ def _segmented(length: int, block_size: int) -> Callable:
 
 
 def _strings(length: int, block_size: int) -> Callable:
-    """Every string of the segments asked for, with a key of 128 bits."""
+    """The strings of the segments asked for, with a key of 128 bits."""
+    span = length - min(Q, length)
+    half = (span + 1) // 2
 
     def run(batches):
         for block, wanted in _blocks(batches, length, True, block_size):
@@ -213,7 +234,15 @@ def _strings(length: int, block_size: int) -> Callable:
                 room = block.ends[k] - block.first[k] - length + 1
                 for place, size in zip(asked.values.field("place").to_numpy(), asked.values.field("size").to_numpy()):
                     start = (place >> _PLACE) - block.base[k]
-                    low, high = max(0, start), min(room, start + size, block_size // 2)
+                    low, high = max(0, start), min(room, start + (size & _SIZE), block_size // 2)
+                    if low < high and not (size & _BEHIND and size & _BEFORE):
+                        # with a companion on one side only, strings hold at least half of that side
+                        first = block.first[k] + low
+                        anchor = low + int((block.grams[first:first + span + 1] & ~_INDEX).argmin())
+                        if size & _BEHIND:
+                            low = max(low, anchor - (span - half))
+                        else:
+                            high = min(high, anchor - half + 1)
                     if low < high:
                         lows.append(np.arange(low, high) + block.first[k])
                         owners.append(np.full(high - low, k))
@@ -228,12 +257,12 @@ def _strings(length: int, block_size: int) -> Callable:
 
 def _refined(split_on: bool) -> Callable:
     """Over rows sorted by (k1, k2, doc, place): marks pass through; of equal (k1, k2) all places but
-    the first become marks.  With ``split_on`` the firsts of a k1 that has several k2 go on."""
+    the first become marks.  With ``split_on`` the firsts that may share a string with another go on."""
 
     def run(batches):
-        held = None                 # last first place, not yet known to have a neighbour in its k1
-        held_pair = False
         last = None                 # keys and first place of the run that the batch before ended in
+        held = [np.zeros(0, dtype=np.int64)] * 5        # firsts of the bucket that may go on
+        loose = None                # a bucket too large to be held: all its firsts go on
         for batch in batches:
             k1, k2, doc, place, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             out = [(doc[size < 0], place[size < 0], size[size < 0])]
@@ -243,46 +272,54 @@ def _refined(split_on: bool) -> Callable:
                 start = place >> _PLACE
                 fresh = np.ones(len(rows), dtype=bool)
                 fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-                goes_on = last is not None and (k1[0], k2[0]) == last[:2]
-                if goes_on:
-                    fresh[0] = False
+                fresh[0] = last is None or (k1[0], k2[0]) != last[:2]
                 head = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), -1))
                 first_doc = np.where(head >= 0, doc[head], last[2] if last else 0)
                 first_start = np.where(head >= 0, start[head], last[3] if last else 0)
                 later = (doc != first_doc) | (start != first_start)
-                out.append((doc[later], place[later], -size[later]))
+                out.append((doc[later], place[later], -(size[later] & _SIZE)))
                 last = (k1[-1], k2[-1], first_doc[-1], first_start[-1])
                 if split_on:
-                    firsts = [x[~later] for x in (k1, k2, doc, place, size)]
-                    if held is not None:
-                        firsts = [np.concatenate([h, f]) for h, f in zip(held, firsts)]
-                    f1, f2 = firsts[0], firsts[1]
-                    if len(f1):
-                        # a k1 is split if two of its firsts differ in k2
-                        beside = np.zeros(len(f1), dtype=bool)
-                        near = f1[1:] == f1[:-1]
-                        differ = near & (f2[1:] != f2[:-1])
-                        beside[1:] |= differ
-                        beside[:-1] |= differ
-                        beside[0] |= held_pair and held is not None
-                        # firsts at one place in rows of one id share their k2
-                        for i in np.flatnonzero(near & ~differ) + 1:
-                            beside[i] |= beside[i - 1]
-                        for i in np.flatnonzero(near & ~differ)[::-1]:
-                            beside[i] |= beside[i + 1]
-                        tail = len(f1) - 1
-                        while tail and f1[tail - 1] == f1[-1] and f2[tail - 1] == f2[-1]:
-                            tail -= 1
-                        go = np.flatnonzero(beside[:tail])
-                        out.append((firsts[2][go], firsts[3][go], firsts[4][go]))
-                        held, held_pair = [x[tail:] for x in firsts], bool(beside[-1])
+                    held = [np.concatenate([h, x[~later]]) for h, x in zip(held, (k1, k2, doc, place, size))]
+                    ended = int(np.searchsorted(held[0], k1[-1]))
+                    done, held = [x[:ended] for x in held], [x[ended:] for x in held]
+                    out.append(_going_on(done, loose))
+                    if len(held[0]) > HELD:
+                        loose = k1[-1]
+                    if loose == k1[-1]:
+                        out.append(_going_on(held, loose))
+                        held = [x[:0] for x in held]
             yield _marks(out)
-        if held is not None and held_pair:
-            yield _marks([(held[2], held[3], held[4])])
+        if len(held[0]):
+            yield _marks([_going_on(held, loose)])
 
     return run
 
 
+def _going_on(firsts: list[np.ndarray], loose) -> tuple[np.ndarray, ...]:
+    """Firsts with another one in their bucket that has the same bytes behind or before the anchor."""
+    k1, k2, doc, place, size = firsts
+    behind, before = _several(k1, k2, size >> 7 & 0xFFF), _several(k1, k2, size >> 19)
+    if loose is not None:
+        behind |= k1 == loose
+        before |= k1 == loose
+    go = behind | before
+    return doc[go], place[go], ((size & _SIZE) + behind * _BEHIND + before * _BEFORE)[go]
+
+
+def _several(k1: np.ndarray, k2: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether a row's (k1, side) comes with more than one k2."""
+    if not len(k1):
+        return np.zeros(0, dtype=bool)
+    order = np.lexsort((k2, side, k1))
+    a, s, b = k1[order], side[order], k2[order]
+    starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
+    ends = np.append(starts[1:], len(a)) - 1
+    out = np.empty(len(a), dtype=bool)
+    out[order] = np.repeat(b[starts] != b[ends], ends - starts + 1)
+    return out
+
+
 def _marks(parts) -> pa.RecordBatch:
     doc, place, size = (np.concatenate(x) for x in zip(*parts))
     return pa.RecordBatch.from_arrays(
@@ -293,28 +330,38 @@ def _sorted_buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "place")
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _identified(docs: DataFrame, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
     """Texts with the order of their ids (NULL last) and a digest that tells texts of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << _PLACE) - 1)).alias("digest"), text.alias("body"))
+        F.xxhash64(text).bitwiseAND(F.lit((1 << _PLACE) - 1)).alias("digest"), text.alias("body"),
+        F.struct(F.col(text_col).isNull().alias("_null"), *columns).alias("kept"))
 
 
 def repeated_spans(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text",
-                   block_size: int = BLOCK) -> DataFrame:
-    """Per document with repeats: ``doc``, ``digest`` and ``spans``, an array of (start, size): strings
-    of ``length`` bytes that start at ``start`` and the ``size - 1`` bytes behind it also start earlier."""
-    texts = _identified(docs, id_col, text_col)
-    found = pinned(_sorted_buckets(texts.mapInArrow(_segmented(length, block_size), _ROW)).mapInArrow(
+                   columns: list[str] | None = None, block_size: int = BLOCK) -> DataFrame:
+    """``docs`` as (``doc``, ``digest``, ``body``, ``kept``: the named columns) with ``spans``, an array of
+    (start, size): strings of ``length`` bytes that start at ``start`` and the ``size - 1`` bytes behind
+    it also start earlier.  NULL where there are none.
+
+    Both joins with the texts read the same exchange, so texts move once.
+    """
+    if not 1 <= length < _SIZE + 2:
+        raise ValueError(f"strings of 1 to {_SIZE + 1} bytes")
+    texts = _identified(docs, id_col, text_col, columns or [])
+    plain = texts.select("doc", "digest", "body")
+    found = pinned(_sorted_buckets(plain.mapInArrow(_segmented(length, block_size), _ROW)).mapInArrow(
         _refined(True), "doc long, place long, size int"), "buckets")
     digest = F.col("place").bitwiseAND(F.lit((1 << _PLACE) - 1)).alias("digest")
     asked = found.filter("size > 0").groupBy("doc", digest).agg(F.collect_set(F.struct("place", "size")).alias("asked"))
-    strings = texts.join(asked, ["doc", "digest"]).select("doc", "digest", "body", "asked").mapInArrow(_strings(length, block_size), _ROW)
+    strings = texts.join(asked, ["doc", "digest"]).select("doc", "digest", "body", "asked", "kept").mapInArrow(
+        _strings(length, block_size), _ROW)
     split = _sorted_buckets(strings).mapInArrow(_refined(False), "doc long, place long, size int")
     marks = found.filter("size < 0").union(split)
     span = F.struct(F.shiftright("place", _PLACE).alias("start"), (-F.col("size")).alias("size"))
-    return marks.groupBy("doc", digest).agg(F.collect_set(span).alias("spans"))
+    spans = marks.groupBy("doc", digest).agg(F.collect_set(span).alias("spans"))
+    return texts.join(spans, ["doc", "digest"], "left")
 
 
 def _covered(spans, length: int, n: int) -> list[tuple[int, int]]:
@@ -329,16 +376,6 @@ def _covered(spans, length: int, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str, columns: list[str], block_size: int) -> DataFrame:
-    keyed = _identified(docs, id_col, text_col).columns
-    spans = repeated_spans(docs, length, id_col, text_col, block_size)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.struct(*columns).alias("kept"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias(keyed[0]),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << _PLACE) - 1)).alias(keyed[1]), text.alias(keyed[2]))
-    return rows.join(spans, keyed[:2], "left").select("kept", "body", "spans")
-
-
 def _cut(text: str, spans, length: int) -> tuple[bytes, bytes, list[tuple[int, int]]]:
     data = text.encode("utf-8")
     runs = _covered([(s["start"], s["size"]) for s in spans or ()], length, len(data))
@@ -372,8 +409,8 @@ def removal_report(docs: DataFrame, length: int, id_col: str = "doc_id", text_co
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()),
                  pa.array(sha, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs, length, id_col, text_col, [id_col], block_size).select(F.col(f"kept.{id_col}"), "body", "spans")
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = repeated_spans(docs, length, id_col, text_col, [id_col], block_size)
+    return rows.select(F.col(f"kept.`{id_col}`"), "body", "spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text",
@@ -383,12 +420,12 @@ def without_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_c
 
     def run(batches):
         for batch in batches:
-            texts = [_cut(t, s, length)[1].decode("utf-8", "ignore") if s else None
+            texts = [_cut(t, s, length)[1].decode("utf-8", "ignore") if s else t
                      for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["kept", "left"])
 
-    others = docs.columns
-    rows = _with_spans(docs, length, id_col, text_col, others, block_size)
+    others = [c for c in docs.columns if c != text_col]
+    rows = repeated_spans(docs, length, id_col, text_col, others, block_size).select("kept", "body", "spans")
     changed = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, left string")
     return changed.select(*[
-        F.coalesce("left", F.col(f"kept.`{c}`")).alias(c) if c == text_col else F.col(f"kept.`{c}`") for c in others])
+        F.when(~F.col("kept._null"), F.col("left")).alias(c) if c == text_col else F.col(f"kept.`{c}`") for c in docs.columns])
