@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import byte_bpe, order_minhash, packing, pages, simhash, suffixes, token_counts
+from weir.llm import byte_bpe, maxscore, order_minhash, packing, pages, simhash, suffixes, token_counts
 from weir.llm.common import read
 from weir.registry import query
 
@@ -26,6 +26,24 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), public_tokenizers.path(WORD_VOCABULARY), SEQUENCE)
 
 
+_TOP_SQL = """
+WITH e AS (
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op5_maxscore", _TOP_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return maxscore.nearest(read(spark, sf, "embeddings"), every=50, k=5, scale=256)
+
+
 #: covered bytes in hexadecimal, two letters a byte: a blob has no substring function
 _REPEATS_SQL = """
 WITH d AS (
