@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import byte_bpe, maxscore, order_minhash, packing, pages, simhash, suffixes, token_counts
+from weir.llm import byte_bpe, maxscore, order_minhash, packing, pages, quotations, simhash, suffixes, token_counts, toxicity
 from weir.llm.common import read
 from weir.registry import query
 
@@ -21,6 +21,17 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"), shingle=SIMHASH_SHINGLE, max_bits=SIMHASH_BITS)
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return toxicity.graded(docs, toxicity.train(docs, read(spark, sf, "labels")))
+
+
+@query("op3_quotation_linking")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return quotations.conversations(read(spark, sf, "conversations"))
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), public_tokenizers.path(WORD_VOCABULARY), SEQUENCE)
