@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from weir.llm.common import pinned
@@ -406,11 +407,12 @@ def removal_report(docs: DataFrame, length: int, id_col: str = "doc_id", text_co
                 out.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
             n, gone, runs, sha = zip(*out) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()),
+                [pc.struct_field(batch.column(0), [id_col]), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()),
                  pa.array(sha, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = repeated_spans(docs, length, id_col, text_col, [id_col], block_size)
-    return rows.select(F.col(f"kept.`{id_col}`"), "body", "spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # the whole struct: the exchange is shared only if both joins ask for the same columns
+    return rows.select("kept", "body", "spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text",
