@@ -102,6 +102,8 @@ def pack(pieces: DataFrame, size: int, order: list[str], rows_per_ranking: int =
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = F.broadcast(spark.createDataFrame(best_fit_plan(histogram, size), _PLAN))
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows_per_ranking = min(rows_per_ranking, max(500, sum(histogram.values()) // tasks))
     dealt = F.broadcast(spark.createDataFrame(
         [(n, math.ceil(c / rows_per_ranking)) for n, c in histogram.items()], "length long, shares long"))
     share = F.pmod(F.xxhash64(*order), F.col("shares")).alias("share")
