@@ -51,11 +51,11 @@ def _numbered(kmers: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str, k: int = K, size: int = TUPLE) -> np.ndarray:
-    """The hash of each tuple, 32 bits: per hash function the ``size`` k-mers with the least hashes, with
+    """The hash of each tuple, 16 bits: per hash function the ``size`` k-mers with the least hashes, with
     the number of their occurrence, in text order.  An empty text has all zeros."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     if not len(points):
-        return np.zeros(TUPLES, dtype=np.uint32)
+        return np.zeros(TUPLES, dtype=np.uint16)
     named = _numbered(_kmers(points, k))
     short = (named >> _U(32)).astype(np.uint32)
     best_hash = best_place = None
@@ -77,7 +77,7 @@ def fingerprint(text: str, k: int = K, size: int = TUPLE) -> np.ndarray:
     out = np.full(TUPLES, size, dtype=np.uint64)
     for column in np.sort(best_place, axis=1).T:
         out = _mixed(out * _U(0xBF58476D1CE4E5B9) + named[column])
-    return (out >> _U(32)).astype(np.uint32)
+    return (out >> _U(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -86,8 +86,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(values: np.ndarray) -> str:
-    """A fingerprint as text, 8 hexadecimal digits a tuple."""
-    return values.astype(">u4").tobytes().hex()
+    """A fingerprint as text, 4 hexadecimal digits a tuple."""
+    return values.astype(">u2").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -103,13 +103,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     lambda: lambda text: (len(text), written(fingerprint(text, k, size))))
 
 
-_REPORT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_REPORT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(text: str, own: np.ndarray, following: str, next_print: np.ndarray, k: int, size: int) -> tuple:
     changed = edited(text, following)
     other = fingerprint(changed, k, size)
-    return (len(text), hashlib.sha256(changed.encode("utf-8")).hexdigest(), written(own), written(other),
+    return (len(text), hashlib.sha256(changed.encode("utf-8")).digest(), bytes.fromhex(written(own)), bytes.fromhex(written(other)),
             likeness(own, other), likeness(own, next_print))
 
 
@@ -128,7 +128,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = dealt.repartitionByRange("place").sortWithinPartitions("place", "body")
     edge = "edge int, place long, body string"
     names = ["id", "edge", "place", "body", *[c.split()[0] for c in _REPORT.split(", ")]]
-    types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
     def batch_of(ids: list, id_type: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows))
@@ -172,4 +172,5 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     following = ends.select("place", F.coalesce(F.min("head").over(ahead), F.min("head").over(Window.partitionBy())).alias("next"))
     last = tails.join(following, "place").join(heads, "next").select("id", "body", "following")
     done = found.filter("edge = 0").select("id", *names[4:]).union(last.mapInArrow(finish, f"id {kind}, {_REPORT}"))
-    return done.withColumnRenamed("id", id_col)
+    return done.select(F.col("id").alias(id_col), *[
+        F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in map(str.split, _REPORT.split(", "))])
