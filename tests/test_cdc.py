@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 
 from weir.operators import cdc
+from weir.operators.cdc import scd1, scd2
 
 # out-of-order changes, a delete followed by a late older update, a re-insert after a delete, a tie
 CHANGES = [
@@ -77,3 +78,11 @@ def test_latest_row_with_a_map_column(spark):
     df = spark.createDataFrame([(1, 1, {"a": 1}), (1, 2, {"b": 2})], "k INT, seq INT, m MAP<STRING, INT>")
     assert cdc.scd1(df, ["k"], "seq").first().m == {"b": 2}
     assert cdc.scd2(df, ["k"], "seq").count() == 2
+
+
+def test_ties_pick_the_same_row_as_current_and_as_open_version(spark):
+    rows = [(k, 1, f"v{i}") for k in range(50) for i in range(3)]
+    changes = spark.createDataFrame(rows, "k int, seq int, v string").repartition(7)
+    current = {r.k: r.v for r in scd1(changes, ["k"], "seq").collect()}
+    open_ = {r.k: r.v for r in scd2(changes, ["k"], "seq").collect()}
+    assert current == open_ and len(current) == 50

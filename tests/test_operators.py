@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from weir.functions.fixed_values import country_centroids
+from weir.functions.fixed_values import COUNTRY_CENTROIDS
 from weir.functions.records import snake_case, snake_case_columns
 from weir.operators import aggregates, devices, features, geo, governance, sampling
 from weir.plans import lookups
@@ -46,7 +46,8 @@ def test_classification(spark):
 
 
 def test_snake_case(spark):
-    assert [snake_case(n) for n in ("userName", "id", "accountUserId")] == ["user_name", "id", "account_userid"]
+    assert [snake_case(n) for n in ("userName", "id", "accountUserId", "jobRunID", "HTTPPort2Use", "_x")] == [
+        "user_name", "id", "account_user_id", "job_run_id", "http_port2_use", "_x"]
     df = spark.createDataFrame([(1, [(2, "x")])], "userId INT, subItems ARRAY<STRUCT<itemId: INT, note: STRING>>")
     out = snake_case_columns(df)
     assert out.select("sub_items.item_id").first()[0] == [2] and out.columns == ["user_id", "sub_items"]
@@ -68,7 +69,7 @@ def test_dead_reckoning(spark):
 def test_unknown_country_has_no_distance(spark):
     df = spark.createDataFrame([("Malta", 35.9, 15.4), ("Nowhere", 0.0, 0.0)], "origin_country STRING, latitude DOUBLE, longitude DOUBLE")
     assert [(r.origin_country, round(r.distance_deg, 6)) for r in geo.origin_distance(df, geo.centroids(spark)).collect()] == [("Malta", 1.0)]
-    assert len({c for c, _, _ in country_centroids()}) == len(country_centroids())
+    assert len({c for c, _, _ in COUNTRY_CENTROIDS}) == len(COUNTRY_CENTROIDS)
 
 
 def test_altitude_and_airborne(spark):

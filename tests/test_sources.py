@@ -8,7 +8,7 @@ from weir.plans.ingest import put_text
 from weir.sources import xml as xs
 from weir.sources.devices import normalize_device_messages
 from weir.sources.envelope import envelope
-from weir.sources.files import export_files, incremental_files, resolve_schema, stored_schema
+from weir.sources.files import export_files, incremental_files, merged, resolve_schema, stored_schema
 from weir.sources.state_vectors import StateVectorDataSource, parse_state_vectors, read_state_vectors
 from weir.streaming.sinks import to_memory
 from weir.streaming.tables import append_new
@@ -152,3 +152,12 @@ def test_envelope_keeps_headers(spark):
     rec = spark.createDataFrame([("t", 1, b"v", [("k", b"x")])], "topic STRING, offset BIGINT, value BINARY, headers ARRAY<STRUCT<key: STRING, value: BINARY>>")
     out = envelope(rec.withColumn("timestamp", F.current_timestamp()))
     assert out.columns == ["topic", "offset", "timestamp", "msg", "headers"] and out.first().msg == "v"
+
+
+def test_merged_schemas_keep_nested_fields_and_widen():
+    from pyspark.sql.types import StructType
+
+    old = StructType.fromDDL("a STRUCT<x: INT>, b INT, c ARRAY<STRUCT<p: INT>>, d DATE, e INT, g STRING")
+    new = StructType.fromDDL("a STRUCT<x: BIGINT, y: STRING>, b DOUBLE, c ARRAY<STRUCT<q: INT>>, d TIMESTAMP, e BOOLEAN, f INT, g ARRAY<STRING>")
+    want = StructType.fromDDL("a STRUCT<x: BIGINT, y: STRING>, b DOUBLE, c ARRAY<STRUCT<p: INT, q: INT>>, d TIMESTAMP, e STRING, g ARRAY<STRING>, f INT")
+    assert merged(old, new).simpleString() == want.simpleString()

@@ -1,3 +1,6 @@
+import os
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -52,7 +55,7 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
 def test_monitor_stream_equals_the_batch(spark, data):
     s = with_instant(telemetry.sensors(spark, data), "ts").orderBy("ts")
     stream = as_stream(spark, s.coalesce(1).sortWithinPartitions("ts"), 1)
-    q = sinks.to_memory(monitor_stream(stream, "city", "ts"), "monitor", shared_dir(spark, "ck"))
+    q = sinks.to_memory(monitor_stream(stream, "city", "ts", "event_id"), "monitor", shared_dir(spark, "ck"))
     finish(q)
     cols = ["event_id", "city", F.round("hourly_avg_temp", 6), "high_temp_count", "alerts"]
     got, want = spark.table("monitor"), monitor_batch(s, "city", "ts", "event_id")
@@ -72,7 +75,7 @@ def test_monitor_state_carries_over_batches(spark, tmp_path):
             "city", F.timestamp_seconds("sec").alias("ts"), "temperature", F.lit(80.0).alias("humidity"),
             F.lit(1.0).alias("co2_level"), F.lit(36.0).alias("pm25_level"))
         df.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(folder)
-        out = monitor_stream(spark.readStream.schema(df.schema).parquet(folder), "city", "ts")
+        out = monitor_stream(spark.readStream.schema(df.schema).parquet(folder), "city", "ts", "temperature")
         finish(sinks.to_batches(out, lambda b, i: seen.extend(b.orderBy("ts").collect()), ck, "update"))
     run(first_hot)
     run([("x", 4, 27.0), ("x", 5, 10.0)])
@@ -202,3 +205,63 @@ def test_monitor_table_carries_its_state(spark, tmp_path, max_rows):
             want.append((r.id, mean, trend, len(hot)))
     got = spark.read.parquet(out + "/rows").select("id", "hourly_avg_temp", "temperature_trend", "high_temp_count")
     assert [(g[0], round(g[1], 9), *g[2:]) for g in rows(got)] == [(w[0], round(w[1], 9), *w[2:]) for w in sorted(want, key=repr)]
+
+
+@pytest.mark.parametrize("rows_per_batch", [7, 10_000])
+def test_monitor_stream_does_not_depend_on_the_arrow_batch(spark, rows_per_batch):
+    """300 rows of one city, out of order, in one micro-batch."""
+    rng = random.Random(3)
+    rows = [(i, 1, rng.randrange(200), float(rng.randrange(10, 40))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "event_id long, city long, s long, temperature double").select(
+        "event_id", "city", F.timestamp_seconds("s").alias("ts"), "temperature", F.lit(1.0).alias("humidity"),
+        F.lit(1.0).alias("co2_level"), F.lit(1.0).alias("pm25_level"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    try:
+        name = f"monitor_{rows_per_batch}"
+        sinks.to_memory(monitor_stream(as_stream(spark, frame.coalesce(1), 1), "city", "ts", "event_id"), name,
+                        shared_dir(spark, "ck")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    cols = ["event_id", "hourly_avg_temp", "temperature_trend", "high_temp_count"]
+    want = {r.event_id: tuple(r) for r in monitor_batch(frame, "city", "ts", "event_id").select(*cols).collect()}
+    got = {r.event_id: tuple(r) for r in spark.table(name).select(*cols).collect()}
+    assert got == want
+
+
+def test_snapshot_stream_takes_late_names_and_keeps_its_offset(tmp_path, monkeypatch):
+    from weir.sources import state_vectors as sv
+
+    def put(name, at):
+        (tmp_path / name).write_text("{}")
+        os.utime(tmp_path / name, ns=(at, at))
+
+    reader = sv.SnapshotStreamReader(str(tmp_path))
+    put("b.json", 1000)
+    first = reader.latestOffset()
+    put("a.json", 1000)
+    put("0.json", 2000)
+    second = reader.latestOffset()
+    taken = lambda start, end: sorted(os.path.basename(f) for p in reader.partitions(start, end) for f in p.files)
+    assert taken(reader.initialOffset(), first) == ["b.json"]
+    assert taken(first, second) == ["0.json", "a.json"] and taken(second, reader.latestOffset()) == []
+    monkeypatch.setattr(sv, "_listed", lambda path: (_ for _ in ()).throw(OSError("away")))
+    assert reader.latestOffset() == second
+    with pytest.raises(OSError):
+        sv.SnapshotStreamReader(str(tmp_path)).latestOffset()
+
+
+def test_slow_progress_is_an_error(spark):
+    q = sinks.to_memory(spark.readStream.format("rate").load(), "slow", shared_dir(spark, "ck"), "append",
+                        sinks.trigger_options("processing_time", "1 hour"))
+    with pytest.raises(TimeoutError):
+        latency.collect_progress(q, 50, timeout=1)
+
+
+def test_full_refresh_replaces(spark, tmp_path):
+    table, checkpoint, source = (str(tmp_path / n) for n in "tcs")
+    spark.range(5).write.parquet(source)
+    stream = lambda: spark.readStream.schema("id long").parquet(source)
+    append_new(stream(), table, checkpoint)
+    full_refresh(stream().filter("id > 2"), table, checkpoint)
+    assert sorted(r.id for r in spark.read.parquet(table).collect()) == [3, 4]

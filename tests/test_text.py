@@ -4,7 +4,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from weir.functions.fixed_values import EVENT_CLASSES, NOTICE_KEYS
-from weir.functions.numbers import MINUTES, SIGNED_DEGREES, finite, first_number
+from weir.functions.fixed_values import MINUTES, SIGNED_DEGREES
+from weir.functions.numbers import finite, first_number
 from weir.operators import documents, notices
 from weir.operators.lexicon import EVENT_LEXICON, lexicon_classify, lexicon_sentiment
 from weir.operators.vectors import cosine_topk, retrieval_context

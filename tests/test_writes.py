@@ -51,3 +51,22 @@ def test_sql_functions(spark, data):
 def test_xml_schema_of_a_sample(spark):
     text = "<a><b>1</b><c>x</c></a>"
     assert spark.range(1).select(F.schema_of_xml(F.lit(text))).first()[0] == "STRUCT<b: BIGINT, c: STRING>"
+
+
+def test_every_row_is_scored(spark):
+    from weir.operators import models
+
+    rows = spark.createDataFrame([(float(i % 7) if i % 4 else None, float(i % 2)) for i in range(200)], "x double, y double")
+    means = models.training_means(rows, ["x"])
+    model = models.fit_regressor(models.without_gaps(rows, ["x"], means), ["x"], "y", trees=2, depth=2)
+    assert models.score(model, models.without_gaps(rows, ["x"], means)).count() == 200
+
+
+def test_append_adds_columns(spark):
+    from weir.operators.writes import append_table, replace_table
+
+    replace_table(spark.createDataFrame([(1, "a")], "id int, name string"), "grown")
+    append_table(spark.createDataFrame([(True, 2)], "flag boolean, id int"), "grown")
+    got = sorted(map(tuple, spark.table("grown").collect()))
+    spark.sql("DROP TABLE grown")
+    assert got == [(1, "a", None), (2, None, True)]

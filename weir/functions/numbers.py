@@ -25,8 +25,3 @@ def first_number(text: Column, pattern: str, group: int = 1) -> Column:
     """The number captured by ``pattern``, or NULL."""
     return F.regexp_extract(text, pattern, group).try_cast("double")
 
-
-# numbers inside notice values: degrees with an optional sign, minutes in brackets
-UNSIGNED_DEGREES = r"([\d\.]+)d"
-SIGNED_DEGREES = r"([-\d\.]+)d"
-MINUTES = r"\(=(\d+\.\d+)\s+\[min\]\)"

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# --- fixed value: where a column name is split -------------------------------------------
-CAPITALISED_REST = r"[A-Z]\w+$"
-
 
 def json_fields(df: DataFrame, col: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """Add typed columns ``{alias: (path, type)}`` from JSON text; the text is parsed once."""
@@ -35,22 +32,39 @@ def header_array(values: dict[str, Column]) -> Column:
 
 
 def snake_case(name: str) -> str:
-    """Lower case, with an underscore before the last capitalised word."""
-    return re.sub(r"([A-Z]\w+)$", r"_\1", name).lower()
+    """Lower case with an underscore before every word; a run of capitals is one word, so
+    ``jobRunID`` becomes ``job_run_id``."""
+    out: list[str] = []
+    for i, c in enumerate(name):
+        after_small = i > 0 and (name[i - 1].islower() or name[i - 1].isdigit())
+        before_small = i > 0 and name[i - 1].isupper() and name[i + 1:i + 2].islower()
+        out.append("_" if c.isupper() and (after_small or before_small) else "")
+        out.append(c.lower())
+    return "".join(out)
+
+
+def _distinct(names: list[str]) -> list[str]:
+    made = [snake_case(n) for n in names]
+    twice = sorted(n for n, k in Counter(made).items() if k > 1)
+    if twice:
+        raise ValueError(f"several columns would be named {', '.join(twice)}")
+    return made
 
 
 def _renamed(t: T.DataType) -> T.DataType:
     if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(snake_case(f.name), _renamed(f.dataType), f.nullable) for f in t])
+        return T.StructType([
+            T.StructField(n, _renamed(f.dataType), f.nullable) for n, f in zip(_distinct(t.names), t)])
     if isinstance(t, T.ArrayType):
         return T.ArrayType(_renamed(t.elementType), t.containsNull)
     return t
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
-    """Rename all columns and all fields of nested records, by a cast (no data is rebuilt)."""
+    """Rename all columns and all fields of nested records, by a cast (no data is rebuilt).  Two
+    fields that would share a name are an error."""
     return df.select(*[
-        F.col(f"`{f.name}`").cast(_renamed(f.dataType)).alias(snake_case(f.name)) for f in df.schema])
+        F.col(f"`{f.name}`").cast(_renamed(f.dataType)).alias(n) for n, f in zip(_distinct(df.columns), df.schema)])
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:

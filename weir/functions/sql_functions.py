@@ -7,16 +7,18 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from weir.functions.fixed_values import MASK_FOR_ANALYSTS, MASK_LEAD
+
 
 def register_masks(spark: SparkSession) -> None:
-    spark.sql("""
+    spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION mask_value(
           clear STRING COMMENT 'the value to protect',
           role STRING DEFAULT 'other' COMMENT 'admin, analyst or anything else')
         RETURNS STRING
         COMMENT 'admin: clear, analyst: a constant, others: the last four characters'
-        RETURN CASE role WHEN 'admin' THEN clear WHEN 'analyst' THEN 'ANALYTICS_MASKED'
-               ELSE concat('***-**-', right(clear, 4)) END""")
+        RETURN CASE role WHEN 'admin' THEN clear WHEN 'analyst' THEN '{MASK_FOR_ANALYSTS}'
+               ELSE concat('{MASK_LEAD}', right(clear, 4)) END""")
 
 
 def register_shop(spark: SparkSession, franchises: str, sales: str) -> None:

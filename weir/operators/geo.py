@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weir.functions.fixed_values import (
-    FEET_PER_METRE, KM_PER_DEGREE, KNOTS_PER_MS, REGION_BOXES, country_centroids)
+    COUNTRY_CENTROIDS, FEET_PER_METRE, KM_PER_DEGREE, KNOTS_PER_MS, REGION_BOXES)
 from weir.tables import literal_table
 
 
@@ -61,7 +61,7 @@ def dead_reckon(df: DataFrame, minutes: int = 25, segments: int = 40) -> DataFra
 
 
 def centroids(spark) -> DataFrame:
-    return literal_table(spark, country_centroids(), "country STRING, home_lat DOUBLE, home_lon DOUBLE")
+    return literal_table(spark, COUNTRY_CENTROIDS, "country STRING, home_lat DOUBLE, home_lon DOUBLE")
 
 
 def origin_distance(df: DataFrame, homes: DataFrame, country: str = "origin_country") -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from weir.functions.fixed_values import MASK_FOR_ANALYSTS, MASK_LEAD
 from weir.operators.joins import one_to_many
 
 Mask = Callable[[Column, str], Column]
 
 
-def mask_tail(constant: str, lead: str = "***-**-", shown: int = 4) -> Mask:
+def mask_tail(constant: str = MASK_FOR_ANALYSTS, lead: str = MASK_LEAD, shown: int = 4) -> Mask:
     """admin sees the value, analyst a constant, everybody else only its last characters."""
     def apply(col: Column, role: str) -> Column:
         if role == "admin":
@@ -31,6 +32,16 @@ def mask_columns(df: DataFrame, masks: dict[str, Mask], role: str) -> DataFrame:
     return df.withColumns({c: m(F.col(c), role) for c, m in masks.items()})
 
 
+def views_by_role(df: DataFrame, masks: dict[str, Mask], roles: list[str], column: str = "role") -> DataFrame:
+    """What each role sees, one row per role and row of ``df``, in one scan."""
+    rows = df.withColumn(column, F.explode(F.array(*[F.lit(r) for r in roles])))
+
+    def seen(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col(column) == r, masks[name](F.col(name), r)) for r in roles])
+
+    return rows.withColumns({name: seen(name) for name in masks})
+
+
 def padded_id(key: str, prefix: str = "EMP_", width: int = 6) -> Column:
     """Readable pseudonym; the key stays visible in it, use ``salted_id`` to hide it.
 

@@ -7,13 +7,23 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 SEED = 42
 
 
+def without_gaps(df: DataFrame, numeric: list[str], means: dict[str, float]) -> DataFrame:
+    """Missing numbers take the training mean, so that every row can be scored."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(means[c]))) for c in numeric})
+
+
+def training_means(train: DataFrame, numeric: list[str]) -> dict[str, float]:
+    row = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first()
+    return {c: row[c] if row[c] is not None else 0.0 for c in numeric}
+
+
 def fit_regressor(train: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 4) -> PipelineModel:
-    assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     model = GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, seed=SEED)
     return Pipeline(stages=[assembled, model]).fit(train)
 
@@ -27,13 +37,13 @@ def fit_classifier(
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v"))
     stages.append(VectorAssembler(
-        inputCols=[*numeric, *[f"{c}_v" for c in categories]], outputCol="features", handleInvalid="skip"))
+        inputCols=[*numeric, *[f"{c}_v" for c in categories]], outputCol="features", handleInvalid="keep"))
     stages.append(GBTClassifier(labelCol=target, maxIter=trees, maxDepth=depth, seed=SEED))
     return Pipeline(stages=stages).fit(train)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Rows with the model's prediction."""
+    """Every row with the model's prediction; fill gaps first (``without_gaps``)."""
     return model.transform(rows).drop("features", "rawPrediction", "probability")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def replace_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 0) -> None:
@@ -13,6 +13,19 @@ def replace_table(df: DataFrame, name: str, bucket_by: str | None = None, bucket
     writer.saveAsTable(name)
 
 
+def append_table(df: DataFrame, name: str) -> None:
+    """Append to a catalog table; columns it does not have yet are added, those ``df`` lacks are NULL."""
+    spark = df.sparkSession
+    known = {f.name: f.dataType for f in spark.table(name).schema}
+    new = [f for f in df.schema if f.name not in known]
+    if new:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns})")
+    missing = {c: F.lit(None).cast(t) for c, t in known.items() if c not in df.columns}
+    order = [*known, *[f.name for f in new]]
+    df.withColumns(missing).select(*order).write.mode("append").insertInto(name)
+
+
 def fill_if_empty(spark: SparkSession, name: str, rows: DataFrame) -> bool:
     """Load a table once: nothing happens if it already holds rows."""
     if spark.catalog.tableExists(name) and not spark.table(name).isEmpty():

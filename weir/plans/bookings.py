@@ -9,8 +9,6 @@ from weir.operators.sampling import hash_bucket, hash_sample
 from weir.registry import query
 from weir.tables import load
 
-REASONS = ["velocity", "stolen card", "unusual place", "device changed", "odd pattern"]
-
 
 def with_fraud(spark, d) -> DataFrame:
     """Every booking with its optional flag (labels hold one row per document)."""
@@ -40,17 +38,14 @@ def fraud_rate(spark, d) -> DataFrame:
 
 
 _BUCKET = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4)) AS INTEGER)"
+REVIEWERS = 4
 
 
 @query("hash_sample_labels", f"""
-  SELECT doc_id, 'fraud' AS flag, list_extract(['{"','".join(REASONS)}'], {_BUCKET} % 5 + 1) AS reason,
-         round(CAST(0.7 AS DOUBLE) + {_BUCKET} % 3000 / CAST(10000 AS DOUBLE), 4) AS confidence
-  FROM (SELECT DISTINCT doc_id FROM documents) WHERE {_BUCKET} < 1966""")
+  SELECT lang, {_BUCKET} % {REVIEWERS} AS reviewer, count(*) AS bookings, min(doc_id) AS first_booking
+  FROM documents WHERE {_BUCKET} < 1966 GROUP BY 1, 2""")
 def hash_sample_labels(spark, d) -> DataFrame:
-    """A fixed 3 % of the distinct keys, with a reason and confidence picked by the same hash."""
-    keys = load(spark, d, "documents").select("doc_id").distinct()
-    bucket = hash_bucket(F.col("doc_id"))
-    return hash_sample(keys, "doc_id", 3.0).select(
-        "doc_id", F.lit("fraud").alias("flag"),
-        F.element_at(F.array(*[F.lit(r) for r in REASONS]), bucket % len(REASONS) + 1).alias("reason"),
-        F.round(F.lit(0.7) + bucket % 3000 / 10000, 4).alias("confidence"))
+    """A fixed 3 % of the bookings, dealt to reviewers by the same hash: the work list of each."""
+    chosen = hash_sample(load(spark, d, "documents").select("doc_id", "lang"), "doc_id", 3.0)
+    return chosen.groupBy("lang", (hash_bucket(F.col("doc_id")) % REVIEWERS).alias("reviewer")).agg(
+        F.count(F.lit(1)).alias("bookings"), F.min("doc_id").alias("first_booking"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from weir.functions.numbers import cents
 from weir.operators import cdc
+from weir.operators import writes
 from weir.registry import query
+from weir.session import pinned
 from weir.tables import load
 
 KEY, SEQ, DELETE = ["user_id"], "event_id", "event_type = 'error'"
@@ -148,3 +152,55 @@ def incremental_agg(spark, d) -> DataFrame:
 def dedup_events(spark, d) -> DataFrame:
     rows = load(spark, d, "events").select("user_id", "event_type", F.to_date("ts").cast("string").alias("day"))
     return rows.dropDuplicates()
+
+
+def _own_table(spark, name: str) -> str:
+    """A table name of this run; the table is dropped as soon as its rows are stored elsewhere."""
+    return f"weir_{name}_{uuid.uuid4().hex}"
+
+
+def _read_and_drop(spark, name: str) -> DataFrame:
+    rows = pinned(spark.table(name), "table")
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+@query("table_overwrite_append", """
+  SELECT c_custkey, c_name, CASE WHEN c_nationkey >= 12 THEN c_mktsegment END AS c_mktsegment FROM customer""")
+def table_overwrite_append(spark, d) -> DataFrame:
+    """A catalog table written twice, the second time with another schema, then appended to with one
+    more column, and scanned by name."""
+    customers, name = load(spark, d, "customer"), _own_table(spark, "customers")
+    writes.replace_table(customers.select("c_custkey"), name)
+    writes.replace_table(customers.filter("c_nationkey < 12").select("c_custkey", "c_name"), name)
+    writes.append_table(customers.filter("c_nationkey >= 12").select("c_custkey", "c_name", "c_mktsegment"), name)
+    return _read_and_drop(spark, name)
+
+
+@query("table_as_select", "SELECT o_orderkey, o_totalprice, o_totalprice > 100000 AS large FROM orders")
+def table_as_select(spark, d) -> DataFrame:
+    """CREATE TABLE AS SELECT with a derived column."""
+    name = _own_table(spark, "orders")
+    load(spark, d, "orders").createOrReplaceTempView("weir_orders")
+    spark.sql(f"CREATE TABLE {name} USING parquet AS SELECT o_orderkey, o_totalprice, o_totalprice > 100000 AS large FROM weir_orders")
+    return _read_and_drop(spark, name)
+
+
+@query("table_filled_once", "SELECT n_nationkey, n_name FROM nation")
+def table_filled_once(spark, d) -> DataFrame:
+    """A reference table loaded while it is empty, and left alone by the second load."""
+    name, rows = _own_table(spark, "nations"), load(spark, d, "nation").select("n_nationkey", "n_name")
+    writes.fill_if_empty(spark, name, rows)
+    writes.fill_if_empty(spark, name, rows.withColumn("n_name", F.lit("again")))
+    return _read_and_drop(spark, name)
+
+
+@query("cdc_ties", "SELECT count(DISTINCT user_id) AS keys, CAST(0 AS BIGINT) AS different FROM events")
+def cdc_ties(spark, d) -> DataFrame:
+    """Changes of one day share a sequence number: current rows and open versions pick the same one."""
+    feed_ = load(spark, d, "events").select("user_id", F.to_date("ts").cast("timestamp").alias("day"), "event_type", "value")
+    current = cdc.scd1(feed_, ["user_id"], "day").withColumnsRenamed({"event_type": "t", "value": "v"})
+    open_ = cdc.scd2(feed_, ["user_id"], "day").filter(F.col(cdc.END).isNull())
+    both = current.join(open_, "user_id", "full_outer")
+    same = F.col("t").eqNullSafe(F.col("event_type")) & F.col("v").eqNullSafe(F.col("value"))
+    return both.agg(F.count(F.lit(1)).alias("keys"), F.count_if(~same).alias("different"))

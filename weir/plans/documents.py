@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.fixed_values import EVENT_CLASSES
 from weir.operators import documents as docs_ops
-from weir.operators.lexicon import SENTIMENT, lexicon_classify, lexicon_sentiment
+from weir.operators.lexicon import EVENT_LEXICON, SENTIMENT, lexicon_classify, lexicon_sentiment
 from weir.registry import query
 from weir.tables import load, spread
 
@@ -60,6 +61,20 @@ def lexicon_labels(spark, d) -> DataFrame:
     return lexicon_classify(rows, "text", STOP_WORDS).drop("text")
 
 
+@query("event_classes", f"""
+  SELECT CASE o_orderkey % 8 WHEN 0 THEN 'gamma-ray burst' WHEN 1 THEN 'fast X-ray transient' WHEN 2 THEN 'gravitational wave' WHEN 3 THEN 'neutrino'
+    WHEN 4 THEN 'supernova' WHEN 5 THEN 'optical transient' WHEN 6 THEN 'other' ELSE 'neutrino' END AS event_class, count(*) AS n
+  FROM orders GROUP BY 1""")
+def event_classes(spark, d) -> DataFrame:
+    """Notices labelled with the seven published classes."""
+    orders = load(spark, d, "orders").select("o_orderkey")
+    said = ["GRB seen, a burst", "An X-ray transient", "LIGO merger", "A neutrino track event", "Supernova SN 2024",
+            "optical counterpart found", "nothing of note", "a burst of neutrinos, one neutrino"]
+    notice = F.concat(F.element_at(F.array(*[F.lit(t) for t in said]), (F.col("o_orderkey") % 8 + 1).cast("int")), F.lit(" no. "), "o_orderkey")
+    labelled = lexicon_classify(orders.withColumn("notice", notice), "notice", EVENT_LEXICON, default=EVENT_CLASSES[-1])
+    return labelled.groupBy("event_class").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("lexicon_sentiment", f"""
   WITH s AS (SELECT conv_id, turn, CAST({_COUNT(SENTIMENT['positive'])} - {_COUNT(SENTIMENT['negative'])} AS INTEGER) AS sentiment_score FROM conversations)
   SELECT *, CASE WHEN sentiment_score > 0 THEN 'positive' WHEN sentiment_score < 0 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")

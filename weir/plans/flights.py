@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weir.functions.fixed_values import country_centroids
+from weir.functions.fixed_values import COUNTRY_CENTROIDS
 from weir.operators import geo
 from weir.plans.telemetry import LAT, LON
 from weir.registry import query
 from weir.sources.state_vectors import parse_state_vectors
 from weir.tables import load, spread
 
-HOMES = [c for c, _, _ in country_centroids()]
+HOMES = [c for c, _, _ in COUNTRY_CENTROIDS]
 _GEO_ALT = "CASE WHEN event_type <> 'click' THEN value * 20 END"
 _BARO_ALT = "CASE WHEN event_type <> 'view' THEN value * 19 END"
 _FLIGHTS = f"""(SELECT event_id, user_id, ts, CAST({LAT} AS DOUBLE) AS latitude, CAST({LON} AS DOUBLE) AS longitude,
@@ -79,7 +79,7 @@ def geo_dead_reckoning(spark, d) -> DataFrame:
 
 
 _HOME_SQL = "(VALUES " + ", ".join(
-    f"('{c}', CAST({a} AS DOUBLE), CAST({o} AS DOUBLE))" for c, a, o in country_centroids()) + ") AS h(country, hlat, hlon)"
+    f"('{c}', CAST({a} AS DOUBLE), CAST({o} AS DOUBLE))" for c, a, o in COUNTRY_CENTROIDS) + ") AS h(country, hlat, hlon)"
 
 
 @query("geo_origin_distance", f"""

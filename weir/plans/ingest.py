@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from weir.plans.flights import _PARSED, PARSED_COLUMNS, vectors_of_events
 from weir.operators.writes import read_evolved
@@ -48,11 +48,13 @@ def ingest_csv(spark, d) -> DataFrame:
 
 @query("ingest_json_multiline", "SELECT s_suppkey, s_name, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def ingest_multiline(spark, d) -> DataFrame:
-    """One pretty-printed JSON document per file, read through a glob."""
+    """Pretty-printed JSON arrays of many documents a file, read through a glob."""
     work = shared_dir(spark, "multiline")
     s, n = load(spark, d, "supplier"), load(spark, d, "nation")
-    doc = F.to_json(F.struct("s_suppkey", "s_name", F.col("n_name").alias("nation")), {"pretty": "true"})
-    s.join(n, s.s_nationkey == n.n_nationkey).select(doc.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{work}/landing")
+    doc = F.struct("s_suppkey", "s_name", F.col("n_name").alias("nation"))
+    files = s.join(n, s.s_nationkey == n.n_nationkey).groupBy("s_nationkey").agg(
+        F.to_json(F.collect_list(doc), {"pretty": "true"}).alias("value"))
+    files.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{work}/landing")
     stream = incremental_files(
         spark, f"{work}/landing/*.txt", "json", "s_suppkey BIGINT, s_name STRING, nation STRING", options={"multiLine": "true"})
     append_new(stream, f"{work}/table", f"{work}/checkpoint")
@@ -129,6 +131,40 @@ def state_vector_source(spark, d) -> DataFrame:
     return read_state_vectors(spark, path, "GLOBAL").select(*PARSED_COLUMNS)
 
 
+@query("state_vector_stream", _PARSED)
+def state_vector_stream(spark, d) -> DataFrame:
+    """The same as a stream: two portions land, the second under names that sort before the first,
+    and two runs on one checkpoint take in every snapshot once."""
+    work = shared_dir(spark, "snapshot_stream")
+    vectors = vectors_of_events(spark, d).select(
+        F.to_json(F.struct("time", F.array("state").alias("states")), {"ignoreNullFields": "false"}).alias("value"))
+    for folder, part in (("b", F.xxhash64("value") % 2 == 0), ("a", F.xxhash64("value") % 2 != 0)):
+        vectors.filter(part).write.text(f"{work}/landing/{folder}")
+        append_new(read_state_vectors(spark, f"{work}/landing", "GLOBAL", stream=True), f"{work}/table", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/table").select(*PARSED_COLUMNS)
+
+
+@query("xml_rescued", """
+  SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_acctbal > 4000 THEN '{"balance":"' || CAST(s_acctbal AS DECIMAL(12,2)) || '"}' END AS rescued FROM supplier""")
+def xml_rescued(spark, d) -> DataFrame:
+    """Elements that the expected columns do not name are kept as JSON."""
+    work, s = shared_dir(spark, "xml_rescued"), load(spark, d, "supplier")
+    balance = F.when(F.col("s_acctbal") > 4000, F.col("s_acctbal").cast("decimal(12,2)").cast("string"))
+    xml_source.write_xml(s.select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"), balance.alias("balance")), work, "supplier", "suppliers")
+    read = xml_source.xml_rows(spark, work, "supplier", "_id BIGINT, name STRING, balance STRING")
+    return xml_source.rescue_unmatched(read, T.StructType.fromDDL("_id BIGINT, name STRING"), "rescued").withColumnRenamed("_id", "id")
+
+
+@query("xml_sql_table", "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_nationkey < 10")
+def xml_sql_table(spark, d) -> DataFrame:
+    """SQL straight over XML files."""
+    work = shared_dir(spark, "xml_table")
+    rows = load(spark, d, "supplier").select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    xml_source.write_xml(rows, work, "supplier", "suppliers")
+    xml_source.xml_view(spark, "weir_suppliers_xml", work, "supplier")
+    return spark.sql("SELECT _id AS id, name FROM weir_suppliers_xml WHERE nation < 10")
+
+
 @query("stream_table_passthrough", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_table_passthrough(spark, d) -> DataFrame:
     """A table read as a stream: two appends, two runs on one checkpoint, every row once."""

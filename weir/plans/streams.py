@@ -12,7 +12,7 @@ from weir.registry import ORACLES, query
 from weir.session import shared_dir
 from weir.streaming import latency, sinks
 from weir.streaming.monitor import monitor_stream, monitor_table
-from weir.streaming.tables import read_scd1, read_sums, stream_scd1, stream_sums, update_table
+from weir.streaming.tables import append_new, full_refresh, read_scd1, read_sums, stream_scd1, stream_sums, update_table
 from weir.streaming.windows import sliding_stats
 from weir.tables import load, with_instant
 
@@ -45,7 +45,7 @@ def stream_env_monitor(spark, d) -> DataFrame:
     rows = with_instant(telemetry.sensors(spark, d), "ts")
     work = two_portions(
         spark, rows, F.col("ts") < F.lit("2024-01-16").cast("timestamp"),
-        lambda s, w: update_table(monitor_stream(s, "city", "ts"), f"{w}/table", f"{w}/checkpoint"))
+        lambda s, w: update_table(monitor_stream(s, "city", "ts", "event_id"), f"{w}/table", f"{w}/checkpoint"))
     return spark.read.parquet(f"{work}/table").select(
         "event_id", "city", F.col("hourly_avg_temp").alias("avg_temp"),
         F.col("temperature_trend").alias("trend"), "high_temp_count")
@@ -118,6 +118,41 @@ def stream_payload_sink(spark, d) -> DataFrame:
     return spark.read.text(f"{work}/table")
 
 
+@query("stream_full_refresh", "SELECT event_id, event_type || '!' AS event_type FROM events")
+def stream_full_refresh(spark, d) -> DataFrame:
+    """A table appended to by two runs, then recomputed from its whole source under a new rule."""
+    rows = load(spark, d, "events").select("event_id", "event_type")
+    work = two_portions(spark, rows, F.col("event_type") == "view", lambda s, w: append_new(s, f"{w}/table", f"{w}/checkpoint"))
+    again = spark.readStream.schema(rows.schema).parquet(f"{work}/landing").withColumn("event_type", F.concat("event_type", F.lit("!")))
+    full_refresh(again, f"{work}/table", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/table")
+
+
+_LATE = """
+  WITH e AS (SELECT epoch_ms(ts) AS ms, CAST(round(value * 100) AS BIGINT) AS cents, event_type = 'view' AS early FROM events),
+  limits AS (SELECT max(ms) - 10000 AS w FROM e WHERE early),
+  hits AS (SELECT (ms // 2000 - k) * 2000 AS s, ms, cents, early FROM e, (SELECT unnest(range(0, 5)) AS k))
+  SELECT s // 1000 AS window_second, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents
+  FROM hits, limits WHERE early OR s + 10000 > w GROUP BY 1"""
+
+
+@query("stream_late_rows", _LATE)
+def stream_late_rows(spark, d) -> DataFrame:
+    """Windows of 10 s every 2 s under a watermark of 10 s: the second portion comes late, its rows
+    count only in windows that are still open, and closed windows leave the state."""
+    rows = with_instant(load(spark, d, "events").select("ts", "value", "event_type"), "ts").select(
+        "ts", F.rint(F.col("value") * 100).cast("long").alias("cents"), "event_type")
+
+    def counted(s):
+        return s.withWatermark("ts", "10 seconds").groupBy(F.window("ts", "10 seconds", "2 seconds").alias("w")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")).select(
+            F.unix_seconds("w.start").alias("window_second"), "n", "cents")
+
+    work = two_portions(
+        spark, rows, F.col("event_type") == "view", lambda s, w: update_table(counted(s), f"{w}/table", f"{w}/checkpoint"))
+    return latest_per_key(spark.read.parquet(f"{work}/table"), ["window_second"], ["batch_no"]).drop("batch_no")
+
+
 @query("progress_metrics", "SELECT count(*) AS rows_seen FROM events")
 def progress_metrics(spark, d) -> DataFrame:
     """Progress reports of a run as typed rows: the rows each batch took in, added up."""

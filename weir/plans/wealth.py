@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.fixed_values import WEALTH_OTHERS, WEALTH_SEGMENTS
 from weir.operators.joins import one_to_many
 from weir.operators.quality import Rule, clean
 from weir.registry import query
@@ -55,20 +56,16 @@ def banking_summary(spark, d) -> DataFrame:
     return bank_summary(spark, d)
 
 
-SEGMENTS = ((5_000_000, "Ultra High Net Worth"), (2_000_000, "High Net Worth"), (1_000_000, "Affluent"))
-
-
 def wealth_segment(worth):
     label = None
-    for least, name in SEGMENTS:
+    for least, name in WEALTH_SEGMENTS:
         label = F.when(worth > least, name) if label is None else label.when(worth > least, name)
-    return label.otherwise("Mass Affluent")
+    return label.otherwise(WEALTH_OTHERS)
 
 
 @query("net_worth_segments", f"""
   SELECT nw.customer_id, total_net_worth,
-    CASE WHEN total_net_worth > 5000000 THEN 'Ultra High Net Worth' WHEN total_net_worth > 2000000 THEN 'High Net Worth'
-         WHEN total_net_worth > 1000000 THEN 'Affluent' ELSE 'Mass Affluent' END AS wealth_segment,
+    CASE {' '.join(f"WHEN total_net_worth > {least} THEN '{label}'" for least, label in WEALTH_SEGMENTS)} ELSE '{WEALTH_OTHERS}' END AS wealth_segment,
     round(total_net_worth * CAST(0.015 AS DOUBLE), 0) AS revenue_opportunity, c.c_mktsegment AS campaign_name
   FROM ({_NW}) nw LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) b ON nw.customer_id = b.c_custkey
   LEFT JOIN customer c ON nw.customer_id = c.c_custkey

@@ -34,11 +34,14 @@ def build_session(app: str = "weir", master: str | None = None, **conf: str) ->
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere and give its Python workers
-    this package."""
-    for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
-    _ship_package(spark.sparkContext)
+    """Give a session made elsewhere the runtime settings it lacks, once, and its Python workers
+    this package.  What its owner sets later stays."""
+    if not getattr(spark, "_weir_configured", False):
+        for key, value in RUNTIME.items():
+            if spark.conf.get(key, None) != value:
+                spark.conf.set(key, value)
+        _ship_package(spark.sparkContext)
+        spark._weir_configured = True
     return spark
 
 
@@ -70,7 +73,33 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = os.path.join(tempfile.gettempdir(), "weir-local")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/weir/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark, base.rstrip('/'))}/{name}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, folder: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _own_folder(spark: SparkSession, base: str) -> str:
+    """The application's part of the shared folder.  It goes when the application ends, so no
+    intermediate table outlives its readers."""
+    sc = spark.sparkContext
+    folder = f"{base}/weir/{sc.applicationId}"
+    made = getattr(sc, "_weir_folders", set())
+    if folder not in made:
+        path, store = _path(spark, folder)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        sc._weir_folders = made | {folder}
+    return folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate folder that has no reader left."""
+    path, store = _path(spark, folder)
+    store.delete(path, True)
 
 
 def pinned(df, name: str = "pinned"):

@@ -29,10 +29,31 @@ def infer_schema(spark, path: str, fmt: str, options: dict | None = None) -> T.S
     return spark.read.format(fmt).options(**(options or {})).load(path).schema
 
 
-def merged(old: T.StructType, new: T.StructType) -> T.StructType:
-    """``old`` plus the fields only ``new`` has; existing fields keep their type and place."""
-    known = set(old.names)
-    return T.StructType(list(old) + [f for f in new if f.name not in known])
+def merged(old: T.DataType, new: T.DataType) -> T.DataType:
+    """A type that holds both: fields of records and elements at any depth are joined, numbers
+    widen, and types that have nothing in common become text."""
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        known = {f.name: f for f in new}
+        both = [T.StructField(f.name, merged(f.dataType, known[f.name].dataType) if f.name in known else f.dataType, True) for f in old]
+        return T.StructType(both + [T.StructField(f.name, f.dataType, True) for f in new if f.name not in set(old.names)])
+    if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        return T.ArrayType(merged(old.elementType, new.elementType), True)
+    if isinstance(old, T.ArrayType) or isinstance(new, T.ArrayType):
+        single, many = (new, old) if isinstance(old, T.ArrayType) else (old, new)
+        return T.ArrayType(merged(many.elementType, single), True)      # once alone, once repeated
+    if old == new or isinstance(new, T.NullType):
+        return old
+    if isinstance(old, T.NullType):
+        return new
+    for ladder in _WIDER:
+        if type(old) in ladder and type(new) in ladder:
+            return max(old, new, key=lambda t: ladder.index(type(t)))
+    return T.StringType()
+
+
+_WIDER = (
+    (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType), (T.FloatType, T.DoubleType),
+    (T.DateType, T.TimestampType))
 
 
 def resolve_schema(

@@ -50,12 +50,17 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def _snapshots(path: str) -> list[str]:
+def _listed(path: str) -> list[tuple[int, str]]:
+    """(time of change in ns, name) of every snapshot file, in that order."""
     from pyarrow import fs
 
     store, root = _open(path)
     found = store.get_file_info(fs.FileSelector(root, recursive=True))
-    return sorted(f.path for f in found if f.is_file and f.path.endswith((".json", ".txt")))
+    return sorted((f.mtime_ns or 0, f.path) for f in found if f.is_file and f.path.endswith((".json", ".txt")))
+
+
+def _snapshots(path: str) -> list[str]:
+    return sorted(name for _, name in _listed(path))
 
 
 def _vectors(path: str, file: str):
@@ -91,30 +96,37 @@ class SnapshotReader(DataSourceReader):
 
 
 class SnapshotStreamReader(DataSourceStreamReader):
-    """Stream: the offset is the name of the last snapshot taken in.
+    """Stream: the offset is the last time of change taken in, with the names that have it.
 
-    Snapshot names sort by time and files stay in place, so a batch can be replayed after a
-    failure.  A folder that cannot be listed just now means no new data; a broken file or a
-    missing option fails the query.
+    Files are taken by arrival, so a name that sorts before earlier ones is not lost, and files
+    stay in place, so a batch can be replayed after a failure.  A folder that cannot be listed
+    just now means no new data; right after a restart, when the stored offset is not known here,
+    it fails the query, which starts again from its checkpoint: nothing is taken in twice.
     """
 
     def __init__(self, path: str):
         self.path = path
-        self.last = ""
+        self.last = None
 
     def initialOffset(self):
-        return {"last_fetch": ""}
+        return {"at": -1, "names": []}
 
     def latestOffset(self):
         try:
-            names = _snapshots(self.path)
+            listed = _listed(self.path)
         except OSError:
-            return {"last_fetch": self.last}
-        self.last = max(names, default="")
-        return {"last_fetch": self.last}
+            if self.last is None:
+                raise
+            return self.last
+        at = max((t for t, _ in listed), default=-1)
+        self.last = {"at": at, "names": [n for t, n in listed if t == at]}
+        return self.last
 
     def partitions(self, start, end):
-        fresh = [f for f in _snapshots(self.path) if start["last_fetch"] < f <= end["last_fetch"]]
+        def upto(offset, t, name):
+            return t < offset["at"] or t == offset["at"] and name in offset["names"]
+
+        fresh = [n for t, n in _listed(self.path) if upto(end, t, n) and not upto(start, t, n)]
         return [_Files([f]) for f in fresh] or [_Files([])]
 
     def read(self, partition):
@@ -122,7 +134,7 @@ class SnapshotStreamReader(DataSourceStreamReader):
             yield from _vectors(self.path, file)
 
     def commit(self, end):
-        self.last = max(self.last, end["last_fetch"])
+        self.last = end
 
 
 class StateVectorDataSource(DataSource):

@@ -5,11 +5,9 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weir.operators.ordered import number_rows
-
 ACCURACY = 100_000
 
 _LAT = "STRUCT<P50: BIGINT, P90: BIGINT, P95: BIGINT, P99: BIGINT>"
@@ -40,26 +38,31 @@ def latency_percentiles(df: DataFrame, by: str = "triggertype", batch: str = "ba
     stats = df.groupBy(by, batch).agg(
         F.avg("latency").alias("mean_latency"), p(0.5).alias("p50_latency"),
         p(0.95).alias("p95_latency"), p(0.99).alias("p99_latency"))
-    return number_rows(stats, [by], [batch], "batchnumberfortriggertype")
+    # one row per finished batch: few enough for a plain window
+    number = F.row_number().over(Window.partitionBy(by).orderBy(batch)).cast("long")
+    return stats.withColumn("batchnumberfortriggertype", number)
 
 
-def compare_modes(one: DataFrame, other: DataFrame, skip: int = 2) -> DataFrame:
-    """Mean p99 per trigger type, without the first ``skip`` (warm-up) batches of each."""
-    cols = ["triggertype", "batchnumberfortriggertype", "p99_latency"]
-    both = one.select(*cols).union(other.select(*cols)).filter(F.col(cols[1]) > skip)
-    return both.groupBy("triggertype").agg(F.round(F.avg("p99_latency"), 2).alias("p99_latency"))
+def mean_after_warm_up(df: DataFrame, by: str, place: str, value: str, skip: int) -> DataFrame:
+    """Mean of ``value`` per ``by`` over the rows placed behind the first ``skip``."""
+    settled = df.filter(F.col(place) > skip)
+    return settled.groupBy(by).agg(F.round(F.avg(value), 2).alias(value))
 
 
 def collect_progress(query: StreamingQuery, max_batches: int, timeout: float = 120.0) -> list[str]:
-    """Let a query run for some batches, stop it, and return its progress reports as JSON."""
+    """Let a query run for some batches, stop it, and return its progress reports as JSON.  A query
+    that ends by itself may have run fewer; one that is too slow raises ``TimeoutError``."""
     seen: dict[int, str] = {}
     deadline = time.monotonic() + timeout
     while query.isActive and len(seen) < max_batches and time.monotonic() < deadline:
         for p in query.recentProgress:
             seen.setdefault(p.batchId, p.json)
         time.sleep(0.2)
+    late = query.isActive and len(seen) < max_batches
     if query.isActive:
         query.stop()
+    if late:
+        raise TimeoutError(f"{len(seen)} of {max_batches} batches in {timeout:g} s")
     return [seen[b] for b in sorted(seen)][:max_batches]
 
 

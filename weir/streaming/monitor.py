@@ -8,11 +8,13 @@ reading instead of the whole list; the results are the same and the state does n
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from weir.functions.fixed_values import ALERT_LIMITS
 from weir.operators.ordered import HOT, SEG, null_safe_left_join, segment
+from weir.session import remove_folder
 from weir.streaming.sinks import to_batches
 
 _HOT = ALERT_LIMITS["temperature"]
@@ -103,18 +105,22 @@ def monitor_table(stream: DataFrame, path: str, key: str, at: str, unique: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = spark.read.parquet(f"{path}/state/{batch_id - 1}") if batch_id else None
+        batch = batch.persist()                 # taken from the source once, used three times
         rows = monitor_batch(batch, key, at, unique, max_rows, state)
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch_no={batch_id}")
         next_state(batch, key, at, unique, state).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+        batch.unpersist()
+        if batch_id > 1:
+            remove_folder(spark, f"{path}/state/{batch_id - 2}")     # no batch reads it any more
 
     return to_batches(stream, write, checkpoint)
 
 
-def city_monitor(at: str, columns: list[str]) -> StatefulProcessor:
+def city_monitor(at: str, unique: str, columns: list[str]) -> StatefulProcessor:
     """Processor with the state (hot count, hot sum, newest hot time, its value) per key.
 
-    Rows are taken in arrival order, those of one Arrow batch in time order.  The class is
-    made here so that it travels with the job: the driver's helper process, which looks at
+    A key's rows of one micro-batch are taken in order of ``(at, unique)`` however many Arrow
+    batches they come in; the source's rate limits bound them.  The class is made here so that it travels with the job: the driver's helper process, which looks at
     the processor first, does not see the package.
     """
     never = -(2**62)
@@ -125,26 +131,25 @@ def city_monitor(at: str, columns: list[str]) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows, timerValues):
             n, total, newest, value = self.state.get() if self.state.exists() else (0, 0.0, never, float("nan"))
-            for pdf in rows:
-                pdf = pdf.sort_values(at, kind="stable")
-                out = pdf[columns].copy()
-                temp = pdf["temperature"].to_numpy(dtype="float64")
-                when = pdf[at].to_numpy().astype("datetime64[us]").astype("int64")
-                hot = temp > _HOT
-                counts, sums = n + np.cumsum(hot), total + np.cumsum(np.where(hot, temp, 0.0))
-                # newest hot reading so far: the state first, then every hot row that is not older
-                times = np.concatenate(([newest], np.where(hot, when, never)))
-                values = np.concatenate(([value], temp))
-                peak = np.maximum.accumulate(times)
-                is_peak = np.concatenate(([True], hot & (times[1:] >= peak[:-1])))
-                last = values[np.maximum.accumulate(np.where(is_peak, np.arange(len(values)), 0))][1:]
-                out["hourly_avg_temp"] = out["daily_avg_temp"] = (sums + temp) / (counts + 1)
-                out["temperature_trend"] = np.select([temp > last, temp < last], ["rising", "falling"], "stable")
-                out["high_temp_count"] = counts.astype("int32")
-                if len(temp):
-                    n, total = int(counts[-1]), float(sums[-1])
-                    newest, value = int(peak[-1]), float(last[-1])
-                yield out
+            pdf = pd.concat(list(rows)).sort_values([at, unique], kind="stable")
+            out = pdf[columns].copy()
+            temp = pdf["temperature"].to_numpy(dtype="float64")
+            when = pdf[at].to_numpy().astype("datetime64[us]").astype("int64")
+            hot = temp > _HOT
+            counts, sums = n + np.cumsum(hot), total + np.cumsum(np.where(hot, temp, 0.0))
+            # newest hot reading so far: the state first, then every hot row that is not older
+            times = np.concatenate(([newest], np.where(hot, when, never)))
+            values = np.concatenate(([value], temp))
+            peak = np.maximum.accumulate(times)
+            is_peak = np.concatenate(([True], hot & (times[1:] >= peak[:-1])))
+            last = values[np.maximum.accumulate(np.where(is_peak, np.arange(len(values)), 0))][1:]
+            out["hourly_avg_temp"] = out["daily_avg_temp"] = (sums + temp) / (counts + 1)
+            out["temperature_trend"] = np.select([temp > last, temp < last], ["rising", "falling"], "stable")
+            out["high_temp_count"] = counts.astype("int32")
+            if len(temp):
+                n, total = int(counts[-1]), float(sums[-1])
+                newest, value = int(peak[-1]), float(last[-1])
+            yield out
             self.state.update((n, total, newest, value))
 
         def close(self) -> None:
@@ -153,7 +158,7 @@ def city_monitor(at: str, columns: list[str]) -> StatefulProcessor:
     return CityMonitor()
 
 
-def monitor_stream(df: DataFrame, key: str, at: str) -> DataFrame:
+def monitor_stream(df: DataFrame, key: str, at: str, unique: str) -> DataFrame:
     """The monitor over a stream (update mode; RocksDB state store).
 
     A key is handled by one task at a time: use ``monitor_table`` where keys may be hot.
@@ -162,6 +167,6 @@ def monitor_stream(df: DataFrame, key: str, at: str) -> DataFrame:
     added = "hourly_avg_temp DOUBLE, daily_avg_temp DOUBLE, temperature_trend STRING, high_temp_count INT"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     rows = df.groupBy(key).transformWithStateInPandas(
-        city_monitor(at, cols), outputStructType=f"{fields}, {added}",
+        city_monitor(at, unique, cols), outputStructType=f"{fields}, {added}",
         outputMode="Update", timeMode="None")
     return rows.withColumn("alerts", alerts())

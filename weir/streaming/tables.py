@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weir.operators.cdc import delete_where, latest_per_key, merge_partials
+from weir.session import remove_folder
 from weir.streaming.sinks import start, to_batches
 
 _BATCH = "batch_no"
@@ -24,7 +25,10 @@ def append_new(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery
 
 
 def full_refresh(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Recompute a table from its whole source.  Give a table and checkpoint not used before."""
+    """Recompute a table from its whole source: what the table and its checkpoint held is removed first."""
+    spark = stream.sparkSession
+    remove_folder(spark, checkpoint)
+    remove_folder(spark, table)
     return append_new(stream, table, checkpoint)
 
 
