@@ -129,11 +129,11 @@ def stream_full_refresh(spark, d) -> DataFrame:
 
 
 _LATE = """
-  WITH e AS (SELECT epoch_ms(ts) AS ms, CAST(round(value * 100) AS BIGINT) AS cents, event_type = 'view' AS early FROM events),
-  limits AS (SELECT max(ms) - 10000 AS w FROM e WHERE early),
-  hits AS (SELECT (ms // 2000 - k) * 2000 AS s, ms, cents, early FROM e, (SELECT unnest(range(0, 5)) AS k))
-  SELECT s // 1000 AS window_second, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents
-  FROM hits, limits WHERE early OR s + 10000 > w GROUP BY 1"""
+  WITH e AS (SELECT epoch_us(ts) AS us, CAST(round(value * 100) AS BIGINT) AS cents, event_type = 'view' AS early FROM events),
+  limits AS (SELECT max(us) // 1000 - 10000 AS w FROM e WHERE early),
+  hits AS (SELECT (us // 2000000 - k) * 2 AS s, cents, early FROM e, (SELECT unnest(range(0, 5)) AS k))
+  SELECT s AS window_second, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents
+  FROM hits, limits WHERE early OR (s + 10) * 1000 > w GROUP BY 1"""
 
 
 @query("stream_late_rows", _LATE)
