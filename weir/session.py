@@ -19,6 +19,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join partition even if that costs one more exchange behind the join
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows hold whole texts: a Python worker is given few of them at a time
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # keyed state lives on disk with incremental checkpoints, not on the executor's heap
     "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
