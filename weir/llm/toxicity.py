@@ -166,7 +166,7 @@ def _counted(docs: DataFrame, names: list[str], ids: list[str], text_col: str) -
     number = {f: i for i, f in enumerate(names)}
 
     def make():
-        parts = Memo(lambda w: tuple(number[f] for f in features_of(w) if f in number), 200_000)
+        parts = Memo(lambda w: tuple(number[f] for f in features_of(w) if f in number), 100_000)
 
         def count(text: str):
             met = list(filter(None, map(parts.__getitem__, _words(text.lower()))))
@@ -188,7 +188,7 @@ def graded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     number = {f: i for i, f in enumerate(model.names)}
 
     def make():
-        parts = Memo(lambda w: tuple(number[f] for f in features_of(w) if f in number), 200_000)
+        parts = Memo(lambda w: tuple(number[f] for f in features_of(w) if f in number), 100_000)
 
         def score(text: str):
             met = list(filter(None, map(parts.__getitem__, _words(text.lower()))))
@@ -209,11 +209,11 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {f: i for i, f in enumerate(model.names)}
-        parts = Memo(lambda w: tuple(number[f] for f in features_of(w) if f in number), 200_000)
+        parts = Memo(lambda w: tuple(number[f] for f in features_of(w) if f in number), 100_000)
         for batch in batches:
             keep = []
-            for text in batch.column(at).to_pylist():
-                counts = Counter(i for w in _words((text or "").lower()) for i in parts[w])
+            for text in batch.column(at):
+                counts = Counter(i for w in _words((text.as_py() or "").lower()) for i in parts[w])
                 x = np.zeros(len(number))
                 x[list(counts)] = np.log1p(list(counts.values()))
                 keep.append(model.probabilities(x)[0] < rate)

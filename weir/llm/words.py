@@ -100,7 +100,7 @@ class WordBpe:
         self.near = near_pattern(splits[0])
         self.specials = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.far = re.compile("[İ̀-\U0010ffff]").search
-        self.word_ids = Memo(self._encode_word, 400_000)
+        self.word_ids = Memo(self._encode_word, 300_000)
         self.word_counts = Memo(self._count_word, 250_000)
         self._states: dict = {}
         self._fit_open: dict[int, bool] = {}
