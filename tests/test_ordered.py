@@ -85,3 +85,13 @@ def test_systematic_and_stride_sample(skewed):
     assert sorted(r.id for r in one.collect()) == [i for i in range(6000) if (i // 5 + 1) % 10 == 0]
     few = stride_sample(skewed.filter("k = 0"), ["k"], ["id"], 100, max_rows=90)
     assert few.count() == 100
+
+
+def test_rows_without_a_sort_value_are_cut_too(spark):
+    """Half of a key's times are missing, or all of them."""
+    df = spark.range(1_000).select("id", F.lit(1).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id") % 9).alias("t"))
+    for frame in (df, df.withColumn("t", F.lit(None).cast("long"))):
+        s = segment(frame, ["k"], ["t", "id"], 100)
+        assert s.split and max(r["count"] for r in s.df.groupBy("k", SEG).count().collect()) <= 250
+        want = frame.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")))
+        assert rows(number_rows(frame, ["k"], ["t", "id"], "rn", max_rows=100), "id", "rn") == rows(want, "id", "rn")

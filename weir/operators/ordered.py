@@ -77,7 +77,7 @@ def segment(df: DataFrame, keys: list[str], order: list[str], max_rows: int | No
         # one repeated sort value can outgrow a task too: cut such a segment by the next column
         if cuts.filter("_tied").isEmpty():
             break
-        cuts = _cut_points(out.filter(F.col(HOT) & (F.col(SEG) % 2 == 1)), [*keys, SEG], col, max_rows)
+        cuts = _cut_points(out.filter(F.col(HOT) & (F.pmod(SEG, F.lit(2)) == 1)), [*keys, SEG], col, max_rows)
         if cuts is None:
             break
         inner = _numbered(out, [*keys, SEG], col, cuts)
@@ -87,7 +87,7 @@ def segment(df: DataFrame, keys: list[str], order: list[str], max_rows: int | No
 
 def _cut_points(rows: DataFrame, keys: list[str], col: str, max_rows: int) -> DataFrame | None:
     """Quantiles of ``col`` for every key with more than ``max_rows`` rows, as many as its size
-    asks for; ``_tied`` marks keys in which one value takes up a whole step."""
+    asks for; ``_tied`` marks keys in which one value, or none, takes up a whole step."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= max_rows:
@@ -95,24 +95,26 @@ def _cut_points(rows: DataFrame, keys: list[str], col: str, max_rows: int) -> Da
     pieces = min(MAX_PIECES, math.ceil(largest / max_rows))
     probs = [i / pieces for i in range(1, pieces)]
     hot = pinned(sizes.filter(F.col("_n") > max_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys]), "hot")
+    kind = rows.schema[col].dataType.simpleString()
     hot_rows = rows.join(hot, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], "left_semi")
     found = hot_rows.groupBy(*keys).agg(
-        F.percentile_approx(col, probs, F.lit(10 * pieces)).alias("_q"), F.count(F.lit(1)).alias("_n"))
+        F.coalesce(F.percentile_approx(col, probs, F.lit(10 * pieces)), F.array().cast(f"array<{kind}>")).alias("_q"),
+        F.count_if(F.col(col).isNull()).alias("_nulls"), F.count(F.lit(1)).alias("_n"))
     step = F.greatest(F.lit(1), F.floor(F.lit(pieces) / F.ceil(F.col("_n") / max_rows)))
     thinned = found.withColumn("_q", F.filter("_q", lambda _, i: (i + 1) % step == 0))
     # sketches merge in arrival order: fix the cut points once, so that every use agrees
     return pinned(thinned.select(
         *keys, F.array_distinct("_q").alias("_cuts"),
-        (F.size(F.array_distinct("_q")) < F.size("_q")).alias("_tied")), "cuts")
+        ((F.size(F.array_distinct("_q")) < F.size("_q")) | (F.col("_nulls") > max_rows)).alias("_tied")), "cuts")
 
 
 def _numbered(df: DataFrame, keys: list[str], col: str, cuts: DataFrame) -> DataFrame:
-    """Adds ``_no``: the segment of each row, odd for rows equal to a cut point, NULL for keys
-    without cut points."""
+    """Adds ``_no``: the segment of each row, odd for rows equal to a cut point and -1 for rows
+    without a value, which sort first; NULL for keys without cut points."""
     joined = null_safe_left_join(df, cuts.drop("_tied"), keys)
     below = F.size(F.filter("_cuts", lambda c: c < F.col(col)))
     upto = F.size(F.filter("_cuts", lambda c: c <= F.col(col)))
-    number = F.when(F.col(col).isNull(), 0).otherwise(below + upto)
+    number = F.when(F.col(col).isNull(), -1).otherwise(below + upto)
     return joined.withColumn("_no", F.when(F.col("_cuts").isNotNull(), number).cast("long")).drop("_cuts")
 
 

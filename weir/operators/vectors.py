@@ -14,6 +14,7 @@ from weir.session import pinned
 
 MAX_QUERIES = 1_024            # query vectors shipped to every task at once
 ROWS_PER_CELL = 10_000         # corpus rows per cell of the query grid
+MERGES = 64                    # parts in which the results for one query are merged first
 
 _OUT = "query_id LONG, id LONG, score DOUBLE"
 
@@ -75,6 +76,9 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int, max_queries: int
         partial = _with_few(corpus, queries, k)
     else:
         partial = _on_grid(corpus, queries, k, max_queries)
+    # two steps: a query asked of many tasks gets k rows from each, which are thinned side by side first
+    some = Window.partitionBy("query_id", F.pmod(F.xxhash64("id"), F.lit(MERGES))).orderBy(F.desc("score"), "id")
+    partial = partial.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k).drop("rank")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return partial.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weir.functions.numbers import mean_amount
+from weir.functions.numbers import cents
 from weir.operators.aggregates import busiest, histogram, mean_of_group_sums, share_of_total
 from weir.operators.quality import Rule, clean
 from weir.registry import query
@@ -83,14 +83,20 @@ def sales_stats(spark, d) -> DataFrame:
     lines = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey")
     part = load(spark, d, "part").select("p_partkey", "p_name")
-    sold = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(part, lines.l_partkey == part.p_partkey)
-    stats = sold.groupBy(F.col("p_name").alias("product")).agg(
-        F.count(F.lit(1)).alias("txn_count"), F.sum("l_quantity").cast("long").alias("units_sold"),
-        F.round(F.sum("l_extendedprice"), 2).alias("gross_revenue"),
-        F.round(mean_amount(F.col("l_extendedprice")), 2).alias("avg_txn_value"),
-        F.countDistinct("o_custkey").alias("unique_customers"),
-        F.countDistinct("l_suppkey").alias("franchises_selling"))
-    return clean(stats, STATS_RULES)
+    sold = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    # a grouping per distinct count instead of one that triples the lines; names come last
+    by_customer = sold.groupBy("l_partkey", "o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("units"), F.sum(cents(F.col("l_extendedprice"))).alias("cents"))
+    by_shop = sold.select("l_partkey", "l_suppkey").distinct()
+    named = lambda rows: rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    customers = named(by_customer).groupBy("p_name", "o_custkey").agg(*[F.sum(c).alias(c) for c in ("n", "units", "cents")])
+    totals = customers.groupBy(F.col("p_name").alias("product")).agg(
+        F.sum("n").alias("txn_count"), F.sum("units").cast("long").alias("units_sold"),
+        (F.sum("cents") / 100).alias("gross_revenue"), F.round(F.sum("cents") / F.sum("n") / 100, 2).alias("avg_txn_value"),
+        F.count("o_custkey").alias("unique_customers"))
+    shops = named(by_shop).select("p_name", "l_suppkey").distinct().groupBy(F.col("p_name").alias("product")).agg(
+        F.count("l_suppkey").alias("franchises_selling"))
+    return clean(totals.join(shops, "product"), STATS_RULES)
 
 
 @query("weekly_units", """
