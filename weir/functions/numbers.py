@@ -16,6 +16,11 @@ def cents(col: Column) -> Column:
     return F.rint(col * 100).cast("long")
 
 
+def total_amount(col: Column) -> Column:
+    """Sum of a money column from exact cents, as an aggregate."""
+    return F.sum(cents(col)) / 100
+
+
 def mean_amount(col: Column) -> Column:
     """Mean of a money column from its exact sum, as an aggregate."""
     return F.sum(cents(col)) / F.count(col) / 100

@@ -32,5 +32,5 @@ def register_shop(spark: SparkSession, franchises: str, sales: str) -> None:
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION sales_of(wanted BIGINT COMMENT 'franchise')
         RETURNS TABLE (product STRING, total_sales DOUBLE, total_quantity BIGINT)
-        RETURN SELECT product, round(sum(price), 2), CAST(sum(quantity) AS BIGINT)
+        RETURN SELECT product, sum(CAST(rint(price * 100) AS BIGINT)) / 100, CAST(sum(quantity) AS BIGINT)
                FROM {sales} WHERE franchise_id = wanted GROUP BY product""")

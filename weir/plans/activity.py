@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from weir.operators import governance
 from weir.operators.aggregates import top_per_group
 from weir.registry import query
-from weir.session import shared_dir
+from weir.session import pinned, shared_dir
 from weir.tables import load
 
 AS_OF, DAYS = "2024-02-15", 30
@@ -79,5 +79,7 @@ def classification_report(spark, d) -> DataFrame:
         n = load(spark, d, t).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("_t", F.lit(names[t]))
         counts = n if counts is None else counts.unionAll(n)
     found = governance.classifications(spark, list(names.values()))
-    out = found.join(counts, found.table_name == counts._t).drop("_t")
+    out = pinned(found.join(counts, found.table_name == counts._t).drop("_t"), "classes")
+    for name in names.values():
+        spark.sql(f"DROP TABLE {name}")         # external: the files stay
     return out.withColumn("table_name", F.split_part("table_name", F.lit("_"), F.lit(2)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weir.functions.numbers import cents
+from weir.functions.numbers import cents, total_amount
 from weir.operators.aggregates import busiest, histogram, mean_of_group_sums, share_of_total
 from weir.operators.quality import Rule, clean
 from weir.registry import query
@@ -45,7 +45,7 @@ def flagship_sales(spark, d) -> DataFrame:
         F.sum("l_extendedprice").alias("total_sales"))
     f = franchises(spark, d)
     per_place = sales.join(f, sales.l_suppkey == f.franchise_id).groupBy(
-        "name", "city", "country", "supplier_id").agg(F.round(F.sum("total_sales"), 2).alias("total_sales"))
+        "name", "city", "country", "supplier_id").agg(total_amount(F.col("total_sales")).alias("total_sales"))
     return clean(per_place, FLAGSHIP_RULES)
 
 

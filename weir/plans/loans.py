@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.numbers import cents, total_amount
 from weir.operators.quality import Rule, clean
 from weir.registry import query
 from weir.tables import literal_table, load
@@ -61,13 +62,13 @@ def historical(spark, d) -> DataFrame:
   FROM lineitem JOIN {_TREATMENT_SQL} ON l_linenumber % 6 = ref.id GROUP BY 1""")
 def loan_historical_enrich(spark, d) -> DataFrame:
     return historical(spark, d).groupBy("accounting_treatment").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("bal"))
+        F.count(F.lit(1)).alias("n"), total_amount(F.col("l_extendedprice")).alias("bal"))
 
 
 @query("loan_gold_by_cost_center", f"""
   SELECT cost_center_code, round(sum(balance), 2) AS sum_balance FROM ({_CLEAN_SQL}) GROUP BY 1""")
 def by_cost_center(spark, d) -> DataFrame:
-    return cleaned(spark, d).groupBy("cost_center_code").agg(F.round(F.sum("balance"), 2).alias("sum_balance"))
+    return cleaned(spark, d).groupBy("cost_center_code").agg(total_amount(F.col("balance")).alias("sum_balance"))
 
 
 def customer_country(spark, d) -> DataFrame:
@@ -94,13 +95,13 @@ def by_country(spark, d) -> DataFrame:
   SELECT round(sum(balance), 2) AS bal, n_name AS location_code
   FROM ({_CLEAN_SQL}) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def balances_everywhere(spark, d) -> DataFrame:
-    per_branch = historical(spark, d).groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("b"))
+    per_branch = historical(spark, d).groupBy("l_suppkey").agg(F.sum(cents(F.col("l_extendedprice"))).alias("b"))
     s, n = load(spark, d, "supplier"), load(spark, d, "nation")
     branch = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", F.col("n_name").alias("location_code"))
     old = per_branch.join(branch, per_branch.l_suppkey == branch.s_suppkey).groupBy("location_code").agg(
-        F.round(F.sum("b"), 2).alias("bal"))
-    per_customer = cleaned(spark, d).groupBy("o_custkey").agg(F.sum("balance").alias("b"))
+        (F.sum("b") / 100).alias("bal"))
+    per_customer = cleaned(spark, d).groupBy("o_custkey").agg(F.sum(cents(F.col("balance"))).alias("b"))
     place = customer_country(spark, d)
     new = per_customer.join(place, per_customer.o_custkey == place.c_custkey).groupBy(
-        F.col("country_code").alias("location_code")).agg(F.round(F.sum("b"), 2).alias("bal"))
+        F.col("country_code").alias("location_code")).agg((F.sum("b") / 100).alias("bal"))
     return old.select("bal", "location_code").union(new.select("bal", "location_code")).distinct()

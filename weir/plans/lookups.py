@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.numbers import total_amount
 from weir.functions.sql_functions import register_shop
 from weir.operators.cdc import latest_per_key
 from weir.plans.documents import catalog
@@ -116,18 +117,20 @@ def franchise_sales(spark, d, franchise_id: int | None = None) -> DataFrame:
     if franchise_id is not None:
         lines = lines.filter(F.col("l_suppkey") == franchise_id)
     return lines.groupBy(F.col("l_suppkey").alias("franchise_id"), F.col("l_returnflag").alias("product")).agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("total_sales"), F.sum("l_quantity").cast("long").alias("total_quantity"))
+        total_amount(F.col("l_extendedprice")).alias("total_sales"), F.sum("l_quantity").cast("long").alias("total_quantity"))
 
 
 @query("sql_table_function", """
-  SELECT s_suppkey AS franchise_id, s_name AS name, CASE WHEN s_acctbal > 5000 THEN 'L' ELSE 'S' END AS size FROM supplier""")
+  SELECT s_suppkey AS franchise_id, s_name AS name, CASE WHEN s_acctbal > 5000 THEN 'L' ELSE 'S' END AS size, l_returnflag AS product,
+    round(sum(l_extendedprice), 2) AS total_sales, CAST(sum(l_quantity) AS BIGINT) AS total_quantity
+  FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY ALL""")
 def sql_table_function(spark, d) -> DataFrame:
     franchise_by_city(spark, d).createOrReplaceTempView("weir_franchises")
     load(spark, d, "lineitem").selectExpr(
         "l_suppkey AS franchise_id", "l_returnflag AS product", "l_extendedprice AS price", "l_quantity AS quantity",
     ).createOrReplaceTempView("weir_sales")
     register_shop(spark, "weir_franchises", "weir_sales")
-    return spark.sql("SELECT * FROM shops_in()")
+    return spark.sql("SELECT s.franchise_id, s.name, s.size, t.* FROM shops_in() s, LATERAL sales_of(s.franchise_id) t")
 
 
 @query("lookup_enrich", f"""

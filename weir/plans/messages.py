@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weir.functions.numbers import mean_amount
+from weir.functions.numbers import mean_amount, total_amount
 from weir.functions.records import drop_all_null_columns, snake_case_columns
 from weir.operators.aggregates import totals_and_breakdown
 from weir.registry import query
@@ -107,7 +107,7 @@ def nested_customers_tiers(spark, d) -> DataFrame:
     rows = docs.select(F.explode("customers").alias("c")).select("c.*", "c.address.*").drop("address")
     return rows.groupBy("loyalty_tier").agg(
         F.count(F.lit(1)).alias("n"), mean_amount(F.col("total_spent")).alias("avg_spent"),
-        F.round(F.sum("total_spent"), 2).alias("total_spent"), F.countDistinct("city").alias("cities"))
+        total_amount(F.col("total_spent")).alias("total_spent"), F.countDistinct("city").alias("cities"))
 
 
 @query("snake_case_schema", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from weir.functions.numbers import total_amount
 from weir.functions.fixed_values import WEALTH_OTHERS, WEALTH_SEGMENTS
 from weir.operators.joins import one_to_many
 from weir.operators.quality import Rule, clean
@@ -16,7 +17,7 @@ TX_PARTS = 20        # a bank transaction is this part of an order's price, in w
 def net_worth_of(portfolio: DataFrame) -> DataFrame:
     """Portfolio value per customer; also the streaming aggregate (update mode)."""
     kept = clean(portfolio, [Rule("customer_set", "customer_id IS NOT NULL", "drop")])
-    return kept.groupBy("customer_id").agg(F.round(F.sum("portfolio_value"), 2).alias("total_net_worth"))
+    return kept.groupBy("customer_id").agg(total_amount(F.col("portfolio_value")).alias("total_net_worth"))
 
 
 def portfolio(spark, d) -> DataFrame:
