@@ -13,7 +13,7 @@ from weir.llm.token_counts import token_counts, truncated
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [
     "", "  ", "Don't  you'RE 'll'dx they'r", "<|endoftext|>x <|endof <|startoftext|>", "ÉcOLE İstanbul ΣΑΣ éa á̧ ́x",
-    "漢字かな 한국 🤖🏽", "x_y__z 123 4.5\x1c\x1dq \x85b\xa0c", "ſßẞK" + "x" * 300 + "tionthe'", "ẛ̣ ﬁ ½ ²x", "\x00 \x01",
+    "漢字かな 한국 🤖🏽", "é" * 45 + " x", "x_y__z 123 4.5\x1c\x1dq \x85b\xa0c", "ſßẞK" + "x" * 300 + "tionthe'", "ẛ̣ ﬁ ½ ²x", "\x00 \x01",
     "<unk> ▁ a  \n\n\t b", "inhaedble thheouble De%%% êeux*** !!'s '''"]
 
 

@@ -8,6 +8,7 @@ import re
 import struct
 from itertools import chain
 
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -77,6 +78,8 @@ def load(path: str, pattern: str) -> "ByteBpe":
 
 
 class ByteBpe:
+    """Encoding and decoding under one rank file, with a bounded cache of pieces."""
+
     def __init__(self, path: str, pattern: str):
         tokens = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(tokens))
@@ -130,7 +133,6 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The bytes of each row's ids; NULL ids decode to no bytes."""
-    import pyarrow as pa
 
     def run(batches):
         bpe = load(ranks, pattern)

@@ -27,7 +27,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_co
     schema += ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, names = words.load(vocabulary), words.WordBpe._packed([end_id]), None
+        bpe, end = words.load(vocabulary), words.packed([end_id])
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_STEP):
                 part, rows = batch.slice(at, ROWS_PER_STEP), []

@@ -39,6 +39,6 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
 
 def truncated(counted: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` cut to what fits the limit of ``token_counts``; ids must be unique."""
-    cut = counted.select(id_col, "fit_chars")
-    return docs.join(cut, id_col).withColumn(
-        text_col, F.substring(F.col(text_col), F.lit(1), F.col("fit_chars").cast("int"))).drop("fit_chars")
+    cut = counted.select(F.col(id_col).alias("_cut_id"), F.col("fit_chars").cast("int").alias("_cut_chars"))
+    rows = docs.join(cut, F.col(id_col) == F.col("_cut_id"))
+    return rows.withColumn(text_col, F.substring(F.col(text_col), F.lit(1), F.col("_cut_chars"))).drop("_cut_id", "_cut_chars")

@@ -80,7 +80,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, id_col: str,
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(
         F.max(label_col).alias("_label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(bound).select(F.col(id_col).alias("_id"), "_label")
-    return pinned(docs.join(pinned(chosen, "labelled"), F.col(id_col) == F.col("_id")).select(
+    return pinned(docs.select(id_col, text_col).join(pinned(chosen, "labelled"), F.col(id_col) == F.col("_id")).select(
         F.col("_id").alias("id"), text_or_empty(text_col).alias("body"), (F.col("_label") > 0).cast("int").alias("toxic")), "sample")
 
 

@@ -60,10 +60,17 @@ BYTE_LETTERS = _byte_letters()
 
 
 def byte_mapped(text: str) -> str:
-    """UTF-8 bytes of ``text`` written with their stand-ins."""
+    """UTF-8 bytes of ``text`` written with their stand-ins; plain ASCII signs stand for themselves."""
+    if text.isascii() and text.isprintable() and " " not in text:
+        return text
     return text.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == kind)
 
@@ -78,6 +85,8 @@ def near_pattern(pattern: str) -> re.Pattern:
 
 
 class WordBpe:
+    """Ids and prefix counts of one vocabulary file, with bounded caches of words."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
@@ -116,14 +125,10 @@ class WordBpe:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if self._plain(text):
             return b"".join(map(self.word_ids.__getitem__, self.near.findall(text.lower())))
-        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def _encode_word(self, word: str) -> bytes:
-        return self._packed([t.id for t in self.whole.tokenize(word if word.isascii() else byte_mapped(word))])
+        return packed([t.id for t in self.whole.tokenize(byte_mapped(word))])
 
     # exact counts of every prefix
 
@@ -174,7 +179,7 @@ class WordBpe:
             sign = self.word_counts["'"][0]
             return [sign, sign + self.word_counts[word[1]][0], self._walk(word)[-1]]
         if word.isascii():
-            return self._walk(word)
+            return self._walk(byte_mapped(word))
         counts, ends = self._walk(byte_mapped(word)), accumulate(len(c.encode("utf-8")) for c in word)
         return type(counts)(counts[e - 1] for e in ends)
 
@@ -189,8 +194,8 @@ class WordBpe:
             memo = {}                          # by length, as the prefixes of a long piece add up
         elif len(memo) > 400_000:
             memo.clear()
-        at, state = n, None
-        while at and n <= 40:
+        at, state = n if n <= 40 else 0, None
+        while at:
             state = memo.get(s[:at])
             if state is not None:
                 break
