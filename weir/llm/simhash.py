@@ -135,11 +135,10 @@ def near_duplicates(docs: DataFrame, shingle: int, max_bits: int, id_col: str =
 def first_of_each(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that have a near-duplicate of smaller id, all columns kept.
 
-    The document with the group's smallest id stays; rows without an id stay only where the whole
-    group has none.  The ids to keep are stored first: texts are read again, not carried along.
+    The document with the group's smallest id stays; rows without an id cannot be named and stay.  The
+    ids that go are stored first: they are far fewer than those that stay, so a short list is sent to
+    the texts, and texts are shuffled only beyond that.
     """
     marked = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    kept = pinned(marked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-
+    gone = pinned(marked.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
