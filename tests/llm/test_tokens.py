@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -40,6 +41,48 @@ def test_every_prefix_has_its_exact_count(texts):
             assert bpe.fitting(t, limit) == max(p for p, n in enumerate(want) if n <= limit)
 
 
+def drawn(rng, signs, size):
+    return "".join(rng.choice(signs) for _ in range(size))
+
+
+@pytest.mark.parametrize("long", [4, 64])
+def test_prefixes_of_texts_that_normalising_moves(monkeypatch, long):
+    monkeypatch.setattr(words, "_LONG", long)
+    bpe, library, rng = words.WordBpe(WORDS), Tokenizer.from_file(WORDS), random.Random(long)
+    kinds = [["a", "e", "r", "'", "s", "\u0301", "\u0327", "l", "v", "!"], ["か", "\u3099", "は", "\u309a"],
+             ["\u1100", "\u1161", "\u11a8", "한", "가"], ["<|endoftext|>", "<|endof", "e", "\u0301", "漢", "<", "|>"],
+             ["İ", "Σ", "\u0345", "\u0958", "\u2028", "\x1c", " ", "7", "Å", "<", "\u0338", "”", "—"], ["the ", "is", "’s ", "漢字", "”"]]
+    for n in range(120):
+        text = drawn(rng, kinds[n % 6] if n < 90 else sum(kinds, []), rng.choice([3, 12, 60, 150]))
+        want = [len(library.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)]
+        assert bpe.prefix_counts(text).tolist() == want, repr(text)
+        assert bpe.count(text) == want[-1]
+        for limit in (0, 1, 2, 7, 30, rng.randrange(want[-1] + 2)):
+            assert bpe.fitting(text, limit) == max(p for p, c in enumerate(want) if c <= limit), (repr(text), limit)
+
+
+def test_long_texts_without_spaces_are_encoded_once():
+    class Counted:
+        def __init__(self, library):
+            self.library, self.letters = library, 0
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+        def encode(self, text, **kw):
+            self.letters += len(text)
+            return self.library.encode(text, **kw)
+
+    bpe = words.WordBpe(WORDS)
+    bpe.library = Counted(bpe.library)
+    rng = random.Random(3)
+    for text in (drawn(rng, "漢字文書日本語長", 20_000), drawn(rng, ["か", "か\u3099", "き"], 20_000)):
+        counts = bpe.prefix_counts(text)
+        assert bpe.count(text) == counts[-1] == len(bpe.library.library.encode(text, add_special_tokens=False).ids)
+        assert bpe.fitting(text, 2048) == max(p for p, n in enumerate(counts) if n <= 2048)
+    assert bpe.library.letters <= 100_000
+
+
 def test_counts_stay_right_when_memory_is_given_back():
     bpe, library = words.WordBpe(WORDS), Tokenizer.from_file(WORDS)
     bpe.word_counts.limit = 3
