@@ -29,6 +29,22 @@ def test_odd_pages():
     assert main_text("<div id='content'><p>kept</p></div><div class=sidebar>gone</div><form>gone</form>", set()) == "kept"
 
 
+def test_names_alone_do_not_take_the_article():
+    long = "own words of the page " * 10
+    text = long.strip()
+    for page in (f"<div class='layout no-sidebar'><p>{long}</p></div>", f"<div id='page' class='has-navbar'><article>{long}</article></div>",
+                 f"<article class='post category-promotion tag-social'>{long}</article>", f"<div class='sidebar'><article>{long}</article></div>",
+                 f"<div class=widget><p>{long}</p></div><div class=ad>buy</div>", f"<div title='class=ad' data-id='menu'>{long}</div>",
+                 f"<div class=widget><article>{long}</article></div><article>teaser</article>",
+                 f"<div class='main-menu'>a b</div><div><p>{long}</p></div><div class='cookie-notice'>gone</div>".replace("a b", "")):
+        assert main_text(f"<body>{page}</body>", set()) == text, page
+    page = (f"<article><h2 id='cookies-and-cream'>Ice</h2><p class='notice'>{long}</p><section id='related-work'>Others</section>"
+            "<section id=cookies>Jar</section><h3 id=share>Share</h3><div class='social-share'>gone</div></article>")
+    assert main_text(page, set()) == f"Ice\n{text}\nOthers\nJar\nShare"
+    page = f"<article>short</article><section class=comments><article>{long}</article><article>{long}</article></section>"
+    assert main_text(page, set()) == "short"
+
+
 def site(pages, host="a.example.org", copies=0):
     rng, rows, want = random.Random(host), [], {}
     for i in range(pages):

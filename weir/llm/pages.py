@@ -36,12 +36,20 @@ FURNITURE = set(
     "newsletter notice notices notification pagination pager popup promo promos promotion recommended related replies respond "
     "share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser teasers "
     "toolbar topbar widget widgets".split())
-CONTENT_NAMES = set("article articlebody content entry main post story".split())
+CONTENT_NAMES = set("article articlebody body content entry main post story text".split())
+#: never taken for furniture by their names, as those of a heading or paragraph tell what it is about
+OWN_TEXT = set("article html body main p h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAMING = {"class", "id", "role", "itemprop"}
+_WORD = re.compile(r"[a-z0-9]+")
+
+
+def called(names: set[str], kinds: set[str]) -> bool:
+    """Whether a whole name is one of ``kinds``, or made of nothing else (cookie-notice)."""
+    return any(words and kinds.issuperset(words) for words in map(_WORD.findall, names))
 
 
 class _Node:
@@ -49,12 +57,18 @@ class _Node:
 
     def __init__(self, tag: str, attributes: str, up: "_Node | None"):
         self.tag, self.up, self.items, self.size, self.hash, self.off = tag, up, [], 0, 0, False
-        self.names, self.role = set(), ""
+        self.names, self.role, seen = set(), "", set()
         for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+            name = name.lower()
+            if name not in _NAMING or name in seen:
+                continue
+            seen.add(name)
             value = next(filter(None, values), "").lower()
-            if name.lower() == "role":
+            if name == "role":
                 self.role = value
-            self.names |= set(_WORD.findall(value))
+            # the id of a section may be that of its heading
+            if name != "id" or tag != "section":
+                self.names |= set(value.split())
 
 
 def parse(page: str) -> _Node:
@@ -117,13 +131,18 @@ def _walk(root: _Node) -> list[_Node]:
 def measured(root: _Node) -> list[_Node]:
     """Marks what is never article text, and gives each subtree its hash and the size of its text."""
     nodes = _walk(root)
-    inside = {id(root): False}
+    inside, named = {id(root): False}, set()
     for node in nodes[1:]:
         inside[id(node)] = within = inside[id(node.up)] or node.up.tag in ("article", "main")
-        plain = node.tag not in ("html", "body", "main")
         node.off = (
-            node.tag in NEVER_TEXT or node.tag == "header" and not within or node.role in FURNITURE_ROLES
-            or plain and bool(node.names & FURNITURE) or plain and not within and "header" in node.names)
+            node.tag in NEVER_TEXT or node.tag == "header" and not within or node.role in FURNITURE_ROLES)
+        if node.names and node.tag not in OWN_TEXT and not node.off and (
+                called(node.names, FURNITURE) or not within and "header" in node.names):
+            named.add(id(node))
+    if named:
+        _keep_article(nodes, named)
+    for node in nodes:
+        node.off = node.off or id(node) in named
     for node in reversed(nodes):
         parts, size = [node.tag], 0
         for item in node.items:
@@ -140,6 +159,34 @@ def measured(root: _Node) -> list[_Node]:
     return nodes
 
 
+def _keep_article(nodes: list[_Node], named: set[int]) -> None:
+    """Takes out of ``named`` what holds the article, or most of the page's text where no article is left."""
+    sizes: dict[int, int] = {}
+    for node in reversed(nodes):
+        sizes[id(node)] = sum(
+            len(" ".join(x.split())) if isinstance(x, str) else 0 if x.off else sizes[id(x)] for x in node.items)
+    most = sizes[id(nodes[0])] / 2
+
+    def free(node: _Node | None) -> None:
+        while node is not None:
+            named.discard(id(node))
+            node = node.up
+
+    wide = [n for n in nodes if n.tag in ("article", "main") and sizes[id(n)] and _shown(n)]
+    for node in wide:
+        if sizes[id(node)] > most:
+            free(node)
+    gone: dict[int, bool] = {}
+    for node in nodes:
+        gone[id(node)] = node.off or id(node) in named or node.up is not None and gone[id(node.up)]
+    if any(not gone[id(n)] and sizes[id(n)] and any(fits(n) for fits in ARTICLES) for n in nodes):
+        return
+    if wide:
+        free(max(wide, key=lambda n: (n.tag == "article", sizes[id(n)])))
+    else:
+        named -= {id(n) for n in nodes if sizes[id(n)] > most}
+
+
 def _shown(node: _Node) -> bool:
     while node is not None:
         if node.off:
@@ -148,10 +195,13 @@ def _shown(node: _Node) -> bool:
     return True
 
 
+ARTICLES = (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main",
+            lambda n: n.tag in CONTAINERS and called(n.names, CONTENT_NAMES))
+
+
 def article(nodes: list[_Node]) -> _Node:
     """The element that holds the article: of the visible ones the one with most text."""
-    for fits in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main",
-                 lambda n: n.tag in CONTAINERS and n.names & CONTENT_NAMES, lambda n: n.tag == "body"):
+    for fits in (*ARTICLES, lambda n: n.tag == "body"):
         found = [n for n in nodes if fits(n) and n.size and _shown(n)]
         if found:
             return max(found, key=lambda n: n.size)
