@@ -77,6 +77,14 @@ def test_shared_paragraphs_of_articles_stay(spark):
     assert texts(spark, rows) == {i: f"Title {i}\nThe same passage in all of them\nown {i}" for i in range(30)}
 
 
+def test_rotating_notices_inside_articles_are_cut(spark):
+    page = ("<article><h1>Title {0}</h1><div>Notice number {1} of this site</div><p>own {0}</p>"
+            "<table><tr><td>Yes</td></tr><tr><td>{0}</td></tr></table></article>")
+    rows = [(i, "http://d.org/", page.format(i, i % 25).replace("Yes", "Yes" if i % 10 == 0 else f"No {i}")) for i in range(400)]
+    assert texts(spark, rows) == {
+        i: f"Title {i}\nown {i}\n{'Yes' if i % 10 == 0 else f'No {i}'}\n{i}" for i in range(400)}
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (None, "http://x/", None), (2, "nonsense", "")]
     got = extract(table(spark, rows)).collect()

@@ -14,7 +14,9 @@ from weir.llm.common import ROWS_PER_STEP, pinned
 
 MIN_PAGES = 5                  # distinct pages of a host from which a subtree can be a template
 OUTSIDE_SHARE = 0.01           # share of the host's distinct pages, for parts outside the article
-INSIDE_SHARE = 0.3             # and for containers inside it or whole paragraphs
+INSIDE_SHARE = 0.3             # and for containers inside it, whole paragraphs and table rows
+INSIDE_PAGES = 10              # or, for containers inside it, so many distinct pages
+INSIDE_FEW = 0.001             # that are this share of them
 
 # Element names of the published HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +38,7 @@ FURNITURE = set(
     "newsletter notice notices notification pagination pager popup promo promos promotion recommended related replies respond "
     "share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser teasers "
     "toolbar topbar widget widgets".split())
+ROWS = set("tr tbody thead tfoot".split())        # equal rows are data, not notices
 CONTENT_NAMES = set("article articlebody body content entry main post story text".split())
 #: never taken for furniture by their names, as those of a heading or paragraph tell what it is about
 OWN_TEXT = set("article html body main p h1 h2 h3 h4 h5 h6".split())
@@ -212,15 +215,16 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtrees(page: str) -> tuple[int, list[int], list[int]]:
-    """Hash of the article's element; of the subtrees that count as parts outside, and as parts inside."""
+def subtrees(page: str) -> tuple[int, list[int], list[int], list[int]]:
+    """Hash of the article's element; of the subtrees that count as parts outside, as containers inside,
+    and as whole paragraphs outside or table rows inside."""
     nodes = measured(parse(page))
     main = article(nodes)
     above, node = set(), main
     while node is not None:
         above.add(id(node))
         node = node.up
-    inside, outer, inner = {id(main)}, set(), set()
+    inside, outer, inner, plain = {id(main)}, set(), set(), set()
     for node in nodes[1:]:
         if id(node.up) in inside:
             inside.add(id(node))
@@ -228,10 +232,10 @@ def subtrees(page: str) -> tuple[int, list[int], list[int]]:
             continue
         if id(node) in inside and main.tag in ("article", "main"):
             if node.tag in CONTAINERS:
-                inner.add(_signed(node.hash))
+                (plain if node.tag in ROWS else inner).add(_signed(node.hash))
         else:
-            (outer if node.tag in CONTAINERS else inner).add(_signed(node.hash))
-    return _signed(main.hash), sorted(outer - inner), sorted(inner)
+            (outer if node.tag in CONTAINERS else plain).add(_signed(node.hash))
+    return _signed(main.hash), sorted(outer - inner - plain), sorted(inner), sorted(plain)
 
 
 def main_text(page: str, templates: set[int]) -> str:
@@ -277,11 +281,13 @@ def _host(url: str) -> Column:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, outside: float = OUTSIDE_SHARE,
-              inside: float = INSIDE_SHARE) -> DataFrame:
+              inside: float = INSIDE_SHARE, inside_pages: int = INSIDE_PAGES, inside_few: float = INSIDE_FEW) -> DataFrame:
     """``(key, subtrees)``: which subtrees of each of ``pages(key, host, body)`` are templates.
 
     A subtree counts once for every different article it stands beside, so copies of a page do not
-    make its article a template.  Counts combine before each shuffle; the key of a count holds the
+    make its article a template.  Outside the article ``outside`` of the host's articles make a template,
+    inside it ``inside`` of them or, for containers, ``inside_pages`` that are at least ``inside_few`` of
+    them; fewer than ``min_pages`` never do.  Counts combine before each shuffle; the key of a count holds the
     subtree, so a host with a third of all pages is spread.
     """
 
@@ -289,21 +295,25 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, outside: float = OUT
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_STEP):
                 part = batch.slice(at, ROWS_PER_STEP)
-                main, outer, inner = zip(*map(subtrees, part.column(2).to_pylist()))
+                main, outer, inner, plain = zip(*map(subtrees, part.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(main, pa.int64()), pa.array(outer, pa.list_(pa.int64())),
-                     pa.array(inner, pa.list_(pa.int64()))], names=["key", "host", "main", "outer", "inner"])
+                     pa.array(inner, pa.list_(pa.int64())), pa.array(plain, pa.list_(pa.int64()))],
+                    names=["key", "host", "main", "outer", "inner", "plain"])
 
-    found = pinned(pages.mapInArrow(run, "key long, host long, main long, outer array<long>, inner array<long>"), "subtrees")
-    each = lambda name, flag: found.select("key", "host", "main", F.explode(name).alias("subtree"), F.lit(flag).alias("inside"))
-    rows = each("outer", False).union(each("inner", True))
+    lists = "outer array<long>, inner array<long>, plain array<long>"
+    found = pinned(pages.mapInArrow(run, f"key long, host long, main long, {lists}"), "subtrees")
+    each = lambda name: found.select("key", "host", "main", F.explode(name).alias("subtree"), F.lit(name).alias("part"))
+    rows = each("outer").union(each("inner")).union(each("plain"))
     sizes = found.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
-    counts = rows.select("host", "subtree", "inside", "main").distinct().groupBy("host", "subtree", "inside").agg(
+    counts = rows.select("host", "subtree", "part", "main").distinct().groupBy("host", "subtree", "part").agg(
         F.count(F.lit(1)).alias("n"))
-    many = pinned(counts.filter(F.col("n") >= min_pages), "many").join(pinned(sizes, "hosts"), "host").filter(
-        F.col("n") >= F.col("articles") * F.when(F.col("inside"), inside).otherwise(outside))
-    often = pinned(many.select("host", "subtree", "inside"), "templates")
-    return rows.join(often, ["host", "subtree", "inside"], "left_semi").groupBy("key").agg(
+    least = F.when(F.col("part") == "outer", F.col("articles") * outside).when(F.col("part") == "inner", F.least(
+        F.col("articles") * inside, F.greatest(F.lit(float(inside_pages)), F.col("articles") * inside_few))).otherwise(
+        F.col("articles") * inside)
+    many = pinned(counts.filter(F.col("n") >= min_pages), "many").join(pinned(sizes, "hosts"), "host").filter(F.col("n") >= least)
+    often = pinned(many.select("host", "subtree", "part"), "templates")
+    return rows.join(often, ["host", "subtree", "part"], "left_semi").groupBy("key").agg(
         F.collect_set("subtree").alias("subtrees"))
 
 
