@@ -38,6 +38,20 @@ def test_branches_are_put_in_reply_order(spark):
     assert order[2, 3] == (0, "hi", None) and order[2, 9] == (1, "hello", 3)
 
 
+def test_short_quotations_find_their_message(spark):
+    rows = [
+        (1, 0, "u", "Hello all. Which version?"), (1, 1, "a", "Thank you!"), (1, 2, "b", "Something else was said here."),
+        (1, 3, "c", "> Which version?\n4.1"), (1, 4, "d", "Thank you!"), (1, 5, "e", "No more."), (1, 6, "f", "> Thank you!\nwelcome"),
+        (1, 7, "g", "> Thank you!\n> Something else was said here.\nok"), (1, 8, "h", "> > Something else was said here.\n> 4.1\nold"),
+        (1, 9, "i", "> Not said\nyes"), (2, 0, "u", "你好。請問這是哪個版本？謝謝。"), (2, 1, "a", "你好！"), (2, 2, "b", "> 請問這是\n> 哪個版本？\n四"),
+        (2, 3, "c", "> 謝謝\n不客氣"), (2, 4, "d", "> 你好\n早")]
+    rows += [(3, t, "u", "ok") for t in range(40)] + [(3, 100 + t, "u", f"> OK.\nn{t}") for t in range(3)]
+    reply = {(c, t): r for c, p, t, _, x, r in got(spark, rows)}
+    assert {t: reply[1, t] for t in range(3, 10)} == {3: 0, 4: 3, 5: 4, 6: 4, 7: 2, 8: 3, 9: 8}
+    assert {t: reply[2, t] for t in range(2, 5)} == {2: 0, 3: 0, 4: 1}
+    assert [reply[3, 100 + t] for t in range(3)] == [39, 39, 39]
+
+
 def brute(rows):
     """One message after the other; rows of (conv, turn) are distinct here."""
     words = lambda s: re.sub(r"[\W_]+", " ", s.lower()).strip()

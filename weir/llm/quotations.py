@@ -14,7 +14,10 @@ from weir.llm.common import pinned
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"            # the quote marks at the beginning of a line
 ANNOUNCES = r"^(?:On|Am|Le|El)\b.*(?:wrote|schrieb|écrit|escribió)[^:]*:[ \t]*$"
-MIN_WORDS = 3                             # shorter passages are too common to tell where they come from
+MIN_WORDS = 3                             # shorter passages are common: the latest message tells where they come from
+MIN_LETTERS = 16                          # unless they are long, as where words are not parted
+ENDS = r"(?<=[.!?])\s+|(?<=[。！？｡])\s*"   # between sentences
+_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 _NONE, _LAST = -(1 << 63), (1 << 61)      # stand for a missing conversation and a missing turn
 _KEYS = ["c", "t"]
 
@@ -30,7 +33,8 @@ def _lines(text: Column) -> Column:
 
 def parsed(messages: DataFrame) -> DataFrame:
     """``messages(c, t, body)`` with ``own``, the text without quotations and the lines that announce
-    them, and ``passages``, an array of (level, h1, h2) of each passage of ``MIN_WORDS`` words or more.
+    them, and ``passages``, an array of (level, h1, h2, size, short) of each passage that has a letter or
+    digit; ``short`` ones have less than ``MIN_WORDS`` words and ``MIN_LETTERS`` letters.
 
     Row-local.  Each array is laid down by ``explode`` of one element, so it is computed once and not
     again for every line that looks at its neighbour.
@@ -49,11 +53,12 @@ def parsed(messages: DataFrame) -> DataFrame:
         F.try_element_at("told", i + 1)["level"].alias("level"),
         F.array_join(F.transform(run(i, j), lambda x: x["body"]), " ").alias("text")))
     sentences = F.flatten(F.transform(runs, lambda r: F.transform(
-        F.split(r["text"], r"(?<=[.!?])\s+"), lambda s: F.struct(r["level"].alias("level"), F.trim(
-            F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")).alias("text")))))
-    long_ones = F.filter(sentences, lambda s: (s["level"] >= 0) & (F.size(F.split(s["text"], " ")) >= MIN_WORDS))
-    hashed = F.transform(long_ones, lambda s: F.struct(
-        s["level"].alias("level"), F.xxhash64(s["text"]).alias("h1"), F.hash(s["text"]).alias("h2")))
+        F.split(r["text"], ENDS), lambda s: F.struct(r["level"].alias("level"), F.regexp_replace(F.trim(
+            F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")), f"(?<={_CJK}) (?={_CJK})", "").alias("text")))))
+    worded = F.filter(sentences, lambda s: (s["level"] >= 0) & (s["text"] != ""))
+    hashed = F.transform(worded, lambda s: F.struct(
+        s["level"].alias("level"), F.xxhash64(s["text"]).alias("h1"), F.hash(s["text"]).alias("h2"), F.length(s["text"]).alias("size"),
+        ((F.size(F.split(s["text"], " ")) < MIN_WORDS) & (F.length(s["text"]) < MIN_LETTERS)).alias("short")))
     own = F.regexp_replace(F.array_join(F.transform(
         F.filter("told", lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
     quoting = F.exists("told", lambda x: x["level"] != 0)
@@ -63,20 +68,43 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 def reply_links(rows: DataFrame) -> DataFrame:
     """``(c, t, answered)`` from ``rows(c, t, passages)``: the message that a quotation comes from, the
-    first of the conversation to hold the passage as its own words.  Of several the one quoted at the
-    lowest level counts, then the one with more passages, then the later one.
+    first of the conversation to hold the passage as its own words, or the latest before the quotation
+    if the passage is short.  Of several the one quoted at the lowest level counts, then the one with
+    more passages that are not short, the longest passage, more passages, then the later one.
 
-    A passage has one origin per conversation, an aggregate with map-side combine, so passages that
-    many messages hold are never paired.
+    A passage has one origin per conversation, an aggregate with map-side combine, or per quotation,
+    off a sort by ranges, so passages that many messages hold are never paired.
     """
-    units = rows.select("c", "t", F.explode("passages").alias("p")).select(
-        "c", "t", F.col("p.level").alias("level"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"))
-    quoted = units.filter("level > 0").distinct()
-    origins = units.filter("level = 0").groupBy("c", "h1", "h2").agg(F.min("t").alias("answered"))
-    met = quoted.join(origins, ["c", "h1", "h2"]).filter("answered < t")
-    counts = met.groupBy("c", "t", "level", "answered").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct((-F.col("level")).alias("l"), "n", "answered"))
-    return counts.groupBy("c", "t").agg(best.alias("best")).select("c", "t", F.col("best.answered").alias("answered"))
+    units = rows.select("c", "t", F.explode("passages").alias("p")).select("c", "t", "p.*")
+    quoted = pinned(units.filter("level > 0").distinct(), "quoted")
+    own = units.filter("level = 0")
+    origins = own.filter("NOT short").groupBy("c", "h1", "h2").agg(F.min("t").alias("answered"))
+    columns = ["c", "t", "level", "size", "short", "answered"]
+    met = quoted.filter("NOT short").join(origins, ["c", "h1", "h2"]).filter("answered < t").select(*columns)
+    short = quoted.filter("short")
+    if not short.isEmpty():
+        met = met.union(_latest(short, own.filter("short")).select(*columns))
+    counts = met.groupBy("c", "t", "level", "answered").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("short"), 1)).alias("long"), F.max("size").alias("size"))
+    best = F.max(F.struct((-F.col("level")).alias("l"), "long", "size", "n", "answered"))
+    return counts.withColumn("size", F.when(F.col("long") == 0, F.col("size")).otherwise(0)).groupBy("c", "t").agg(
+        best.alias("best")).select("c", "t", F.col("best.answered").alias("answered"))
+
+
+def _latest(quoted: DataFrame, own: DataFrame) -> DataFrame:
+    """``quoted`` passages with ``answered``, the latest turn before theirs that holds the passage among
+    ``own``.  Sorted by ranges like ``_ranked``; each range hands on its last own passage."""
+    keys = ["c", "h1", "h2", "t"]
+    rows = quoted.withColumn("said", F.lit(0)).unionByName(
+        own.select(*keys).distinct().withColumn("said", F.lit(1)), allowMissingColumns=True)
+    dealt = pinned(rows.repartitionByRange(*keys, "said").withColumn("part", F.spark_partition_id()), "short")
+    said, before = F.when(F.col("said") == 1, F.struct(*keys)), (Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("part").agg(F.max(said).alias("end")).select(
+        "part", F.last("end", ignorenulls=True).over(Window.orderBy("part").rowsBetween(*before)).alias("carried"))
+    within = Window.partitionBy("part").orderBy(*keys, "said").rowsBetween(*before)
+    return dealt.select("*", F.last(said, ignorenulls=True).over(within).alias("near")).join(carried, "part").withColumn(
+        "origin", F.coalesce("near", "carried")).filter("said = 0 AND origin.c = c AND origin.h1 = h1 AND origin.h2 = h2").withColumn(
+        "answered", F.col("origin.t"))
 
 
 def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
