@@ -10,7 +10,7 @@ from weir.operators import cdc
 from weir.plans import loans, telemetry, wealth
 from weir.session import shared_dir
 from weir.streaming import latency, sinks
-from weir.streaming.monitor import monitor_batch, monitor_stream, monitor_table
+from weir.streaming.monitor import city_monitor, monitor_batch, monitor_stream, monitor_table
 from weir.streaming.tables import (
     append_new, compact, full_refresh, read_scd1, read_sums, stream_scd1, stream_sums)
 from weir.streaming.windows import sliding_stats
@@ -67,6 +67,41 @@ def test_monitor_stream_equals_the_batch(spark, data):
     assert len(cols) == 5
 
 
+@pytest.mark.parametrize("rows_in", [0, 7, 5_000])
+def test_monitor_of_a_hot_city_holds_a_few_rows(monkeypatch, rows_in):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(rows_in)
+    table = pd.DataFrame({
+        "city": "x", "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 900, rows_in), "s"),
+        "event_id": rng.permutation(rows_in), "temperature": rng.integers(10, 40, rows_in) * 1.0})
+
+    class State:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    def run(**sizes):
+        processor = city_monitor("ts", "event_id", list(table.columns), **sizes)
+        processor.state = State()
+        parts = [table.iloc[i:i + 50] for i in range(0, rows_in, 50)]
+        out = [p for half in (parts[:60], parts[60:]) if half for p in processor.handleInputRows(("x",), iter(half), None)]
+        return out, processor.state.kept
+
+    whole, state = run()
+    seen, concat = [], pd.concat
+    monkeypatch.setattr(pd, "concat", lambda frames, **kw: seen.append(sum(map(len, frames))) or concat(frames, **kw))
+    sliced, same = run(chunk=100, block=20, fan=4)
+    monkeypatch.undo()
+    assert state == same and max(seen, default=0) <= 20 * 20
+    if rows_in:
+        pd.testing.assert_frame_equal(concat(sliced).reset_index(drop=True), concat(whole).reset_index(drop=True))
+        assert len(concat(sliced)) == rows_in
+
+
 def test_monitor_state_carries_over_batches(spark, tmp_path):
     folder, ck, seen = str(tmp_path / "in"), str(tmp_path / "ck"), []
     first_hot = [("x", 1, 20.0), ("x", 2, 30.0), ("x", 3, 28.0)]

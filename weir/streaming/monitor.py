@@ -7,6 +7,9 @@ reading instead of the whole list; the results are the same and the state does n
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -116,14 +119,77 @@ def monitor_table(stream: DataFrame, path: str, key: str, at: str, unique: str,
     return to_batches(stream, write, checkpoint)
 
 
-def city_monitor(at: str, unique: str, columns: list[str]) -> StatefulProcessor:
+def city_monitor(at: str, unique: str, columns: list[str], chunk: int = 200_000, block: int = 10_000,
+                 fan: int = 16) -> StatefulProcessor:
     """Processor with the state (hot count, hot sum, newest hot time, its value) per key.
 
     A key's rows of one micro-batch are taken in order of ``(at, unique)`` however many Arrow
-    batches they come in; the source's rate limits bound them.  The class is made here so that it travels with the job: the driver's helper process, which looks at
-    the processor first, does not see the package.
+    batches they come in.  More than ``chunk`` rows are sorted through temporary files and worked on
+    slice by slice, with the four numbers carried over: a task holds ``chunk`` rows, or ``fan`` blocks
+    of ``block`` rows from each of the levels that merge ``fan`` files.  The class is made here so that
+    it travels with the job: the driver's helper process, which looks at the processor first, does not
+    see the package.
     """
     never = -(2**62)
+    order = [at, unique, "_nth"]
+
+    def stored(frames):
+        """A sorted run in a file of its own, in blocks, and the way to read it once."""
+        file = tempfile.TemporaryFile()
+        for pdf in frames:
+            for i in range(0, len(pdf), block):
+                pickle.dump(pdf.iloc[i:i + block], file)
+        end = file.tell()
+        file.seek(0)
+        while_left = lambda: file.tell() < end
+
+        def read():
+            with file:
+                while while_left():
+                    part = pickle.load(file)
+                    yield part, while_left()
+
+        return read()
+
+    def merged(runs):
+        """The rows of sorted runs in order, in slices: up to where the first run needs its next block."""
+        pool, wanted = [], range(len(runs))
+        while True:
+            for r in wanted:
+                part, more = next(runs[r])
+                ends = np.full(len(part), -1)
+                ends[-1] = r if more else -1
+                pool.append(part.assign(_end=ends))
+            rows = pd.concat(pool).sort_values(order, kind="stable")
+            ends = rows["_end"].to_numpy()
+            places = np.flatnonzero(ends >= 0)
+            upto = places[0] + 1 if len(places) else len(rows)
+            yield rows.iloc[:upto].drop(columns="_end")
+            if not len(places):
+                return
+            pool, wanted = [rows.iloc[upto:]], [ends[places[0]]]
+
+    def in_order(frames):
+        """All rows sorted, in slices; every ``fan`` runs of a level become one of the next."""
+        levels, held, size, nth = [[]], [], 0, 0
+        for pdf in frames:
+            held.append(pdf.assign(_nth=np.arange(nth, nth + len(pdf))))
+            nth, size = nth + len(pdf), size + len(pdf)
+            if size >= chunk:
+                levels[0].append(stored([pd.concat(held).sort_values(order, kind="stable")]))
+                held, size = [], 0
+                for i, level in enumerate(levels):
+                    if len(level) == fan:
+                        if i + 1 == len(levels):
+                            levels.append([])
+                        levels[i + 1].append(stored(merged(level)))
+                        level.clear()
+        runs = [run for level in levels for run in level]
+        last = [pd.concat(held).sort_values(order, kind="stable")] if size else []
+        if not runs:
+            yield from last
+        else:
+            yield from merged(runs + ([stored(last)] if last else []))
 
     class CityMonitor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -131,25 +197,24 @@ def city_monitor(at: str, unique: str, columns: list[str]) -> StatefulProcessor:
 
         def handleInputRows(self, key, rows, timerValues):
             n, total, newest, value = self.state.get() if self.state.exists() else (0, 0.0, never, float("nan"))
-            pdf = pd.concat(list(rows)).sort_values([at, unique], kind="stable")
-            out = pdf[columns].copy()
-            temp = pdf["temperature"].to_numpy(dtype="float64")
-            when = pdf[at].to_numpy().astype("datetime64[us]").astype("int64")
-            hot = temp > _HOT
-            counts, sums = n + np.cumsum(hot), total + np.cumsum(np.where(hot, temp, 0.0))
-            # newest hot reading so far: the state first, then every hot row that is not older
-            times = np.concatenate(([newest], np.where(hot, when, never)))
-            values = np.concatenate(([value], temp))
-            peak = np.maximum.accumulate(times)
-            is_peak = np.concatenate(([True], hot & (times[1:] >= peak[:-1])))
-            last = values[np.maximum.accumulate(np.where(is_peak, np.arange(len(values)), 0))][1:]
-            out["hourly_avg_temp"] = out["daily_avg_temp"] = (sums + temp) / (counts + 1)
-            out["temperature_trend"] = np.select([temp > last, temp < last], ["rising", "falling"], "stable")
-            out["high_temp_count"] = counts.astype("int32")
-            if len(temp):
+            for pdf in in_order(rows):
+                out = pdf[columns].copy()
+                temp = pdf["temperature"].to_numpy(dtype="float64")
+                when = pdf[at].to_numpy().astype("datetime64[us]").astype("int64")
+                hot = temp > _HOT
+                counts, sums = n + np.cumsum(hot), total + np.cumsum(np.where(hot, temp, 0.0))
+                # newest hot reading so far: the state first, then every hot row that is not older
+                times = np.concatenate(([newest], np.where(hot, when, never)))
+                values = np.concatenate(([value], temp))
+                peak = np.maximum.accumulate(times)
+                is_peak = np.concatenate(([True], hot & (times[1:] >= peak[:-1])))
+                last = values[np.maximum.accumulate(np.where(is_peak, np.arange(len(values)), 0))][1:]
+                out["hourly_avg_temp"] = out["daily_avg_temp"] = (sums + temp) / (counts + 1)
+                out["temperature_trend"] = np.select([temp > last, temp < last], ["rising", "falling"], "stable")
+                out["high_temp_count"] = counts.astype("int32")
                 n, total = int(counts[-1]), float(sums[-1])
                 newest, value = int(peak[-1]), float(last[-1])
-            yield out
+                yield out
             self.state.update((n, total, newest, value))
 
         def close(self) -> None:
@@ -161,7 +226,7 @@ def city_monitor(at: str, unique: str, columns: list[str]) -> StatefulProcessor:
 def monitor_stream(df: DataFrame, key: str, at: str, unique: str) -> DataFrame:
     """The monitor over a stream (update mode; RocksDB state store).
 
-    A key is handled by one task at a time: use ``monitor_table`` where keys may be hot.
+    A key is handled by one task at a time, in bounded memory: use ``monitor_table`` where keys may be hot.
     """
     cols = df.columns
     added = "hourly_avg_temp DOUBLE, daily_avg_temp DOUBLE, temperature_trend STRING, high_temp_count INT"
