@@ -10,6 +10,7 @@ from weir.functions.fixed_values import COUNTRY_CENTROIDS
 from weir.functions.records import snake_case, snake_case_columns
 from weir.operators import aggregates, devices, features, geo, governance, sampling
 from weir.plans import lookups
+from weir.plans.models import class_report, scored_documents
 from weir.session import shared_dir
 
 
@@ -171,3 +172,13 @@ def test_shared_dir_needs_a_cluster_setting(monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared_dir(Session(), "x")
+
+
+def test_classes_are_compared_on_held_out_rows(spark, data):
+    told = [("train", 1.0, 1.0), ("train", 1.0, 1.0), ("train", 0.0, 0.0), ("test", 1.0, 0.0), ("validation", 0.0, 0.0), ("unlabelled", None, 1.0)]
+    report = class_report(spark.createDataFrame(told, "split string, quality double, prediction double"))
+    assert {r.split: (r.rows, r.scored, r.no_worse_than_constant) for r in report.collect()} == {
+        "train": (3, 3, True), "test": (1, 1, False), "validation": (1, 1, True), "unlabelled": (1, 1, True)}
+    scored = scored_documents(spark, data)
+    assert scored.columns == ["doc_id", "split", "quality", "prediction"]
+    assert scored.filter("prediction IS NULL").count() == 0 and scored.count() == spark.read.parquet(f"{data}/documents.parquet").count()

@@ -44,13 +44,9 @@ def forecast(spark, d) -> DataFrame:
     return _report(scored, "split", "target_units_sold", base, "units").select("model", "split", "rows", "scored", "holds")
 
 
-@query("gbt_classify", f"""
-  SELECT 'quality' AS model, split, count(*) AS rows, count(*) AS scored, true AS no_worse_than_constant FROM (
-    SELECT CASE WHEN quality IS NULL THEN 'unlabelled' ELSE {_SPLIT} END AS split FROM (
-      SELECT quality, {_MD5.format("CAST(d.doc_id AS VARCHAR)")} AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)) GROUP BY split""")
-def classify(spark, d) -> DataFrame:
-    """Document quality from length, word counts and source: fitted on the training part, its scaling
-    too, then every document scored once.  Compared with the commoner class on the training part."""
+def scored_documents(spark, d) -> DataFrame:
+    """``doc_id, split, quality, prediction`` of every document, from length, word counts and source:
+    fitted on the training part, its scaling too."""
     docs = load(spark, d, "documents").select(
         "doc_id", "lang", F.col("n_chars").alias("chars"),
         F.size(F.split("text", r"\s+")).alias("words"), F.size(F.split("text", "\n")).alias("lines"))
@@ -60,10 +56,26 @@ def classify(spark, d) -> DataFrame:
     numeric, train = ["chars", "words", "lines"], F.col("split") == "train"
     scaling = ft.fit_scaling(parts.filter(train), numeric)
     model = models.fit_classifier(scaling.transform(parts.filter(train)), numeric, ["lang"], "quality")
-    scored = models.score(model, scaling.transform(parts))
-    base = parts.filter(train).agg(F.round(F.avg("quality")).alias("base"))
+    return models.score(model, scaling.transform(parts)).select("doc_id", "split", "quality", "prediction")
+
+
+def class_report(scored: DataFrame) -> DataFrame:
+    """Per part of ``scored(split, quality, prediction)``: rows, scored rows, and whether the model is
+    right at least as often as the commoner class of the training part.  A part without labels holds nothing
+    against it."""
+    base = scored.filter("split = 'train'").agg(F.round(F.avg("quality")).alias("base"))
     right = lambda guess: F.avg((F.col("quality") == F.col(guess)).cast("double"))
-    report = scored.crossJoin(F.broadcast(base)).groupBy("split").agg(
+    return scored.crossJoin(F.broadcast(base)).groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("scored"),
-        ((right("prediction") >= right("base")) | (F.max("split") != "train")).alias("no_worse_than_constant"))
-    return report.select(F.lit("quality").alias("model"), "split", "rows", "scored", "no_worse_than_constant")
+        F.coalesce(right("prediction") >= right("base"), F.count("quality") == 0).alias("no_worse_than_constant"))
+
+
+@query("gbt_classify", f"""
+  SELECT 'quality' AS model, split, count(*) AS rows, count(*) AS scored, true AS no_worse_than_constant FROM (
+    SELECT CASE WHEN quality IS NULL THEN 'unlabelled' ELSE {_SPLIT} END AS split FROM (
+      SELECT quality, {_MD5.format("CAST(d.doc_id AS VARCHAR)")} AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)) GROUP BY split""")
+def classify(spark, d) -> DataFrame:
+    """Document quality: every document scored once (``scored_documents``), compared with the commoner
+    class of the training part on every part that has labels."""
+    scored = pinned(scored_documents(spark, d), "scored")
+    return class_report(scored).select(F.lit("quality").alias("model"), "split", "rows", "scored", "no_worse_than_constant")
