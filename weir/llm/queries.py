@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import byte_bpe, maxscore, order_minhash, packing, pages, quotations, simhash, suffixes, token_counts, toxicity
+from weir.llm import byte_bpe, maxscore, merkle, order_minhash, packing, pages, quotations, simhash, suffixes, token_counts, toxicity
 from weir.llm.common import read
 from weir.registry import query
 
@@ -107,3 +107,59 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.encode_texts(
         read(spark, sf, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN, digests=True)
+
+
+#: crc32 of the decimal id, bit by bit: a digit is mixed in, then eight shifts (-1)
+_MANIFEST_SQL = """
+WITH RECURSIVE fields AS (
+    SELECT doc_id, source, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+           list_reduce([4294967295] || flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+                                                FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+               lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc
+    FROM documents),
+hashed AS (
+    SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           sha256(head || coalesce(strlen(small) || ':' || small, '-')) AS changed,
+           doc_id IS NOT NULL AND xor(crc, 4294967295) % 5 = 0 AS hit FROM fields),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+           count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+lower_levels(tree, level, idx, n, digest) AS (
+    SELECT tree, 0, idx, n, leaf FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM lower_levels WHERE n > 1 GROUP BY tree, level, idx // 16, n),
+subroots AS (SELECT tree, digest, count(*) OVER () AS n FROM lower_levels WHERE n = 1),
+upper_levels(level, idx, n, digest) AS (
+    SELECT 0, tree, n, digest FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM upper_levels WHERE n > 1 GROUP BY level, idx // 16, n),
+lower_runs AS (SELECT tree, level, idx // 16 AS up, list(digest ORDER BY idx) AS kids FROM lower_levels WHERE n > 1 GROUP BY ALL),
+upper_runs AS (SELECT level, idx // 16 AS up, list(digest ORDER BY idx) AS kids FROM upper_levels WHERE n > 1 GROUP BY ALL),
+climb(doc_id, leaf, tree, level, idx, n, folded, proof) AS (
+    SELECT doc_id, leaf, tree, 0, idx, n, CASE WHEN hit THEN changed ELSE leaf END, '' FROM leaves
+    UNION ALL
+    SELECT c.doc_id, c.leaf, c.tree, c.level + 1, r.up, (c.n + 15) // 16,
+           sha256(array_to_string(kids[:c.idx % 16] || [c.folded] || kids[c.idx % 16 + 2:], '')),
+           c.proof || array_to_string(kids[:c.idx % 16] || kids[c.idx % 16 + 2:], '')
+    FROM climb c JOIN lower_runs r ON r.tree = c.tree AND r.level = c.level AND r.up = c.idx // 16),
+higher(doc_id, leaf, tree, level, idx, n, folded, proof) AS (
+    SELECT c.doc_id, c.leaf, c.tree, 0, c.tree, s.n, c.folded, c.proof FROM climb c JOIN subroots s ON s.tree = c.tree WHERE c.n = 1
+    UNION ALL
+    SELECT c.doc_id, c.leaf, c.tree, c.level + 1, r.up, (c.n + 15) // 16,
+           sha256(array_to_string(kids[:c.idx % 16] || [c.folded] || kids[c.idx % 16 + 2:], '')),
+           c.proof || array_to_string(kids[:c.idx % 16] || kids[c.idx % 16 + 2:], '')
+    FROM higher c JOIN upper_runs r ON r.level = c.level AND r.up = c.idx // 16)
+SELECT h.doc_id, h.leaf, s.digest AS subroot, r.digest AS root, sha256(h.proof) AS proof_sha256, h.folded AS folded_root,
+       h.folded = r.digest AS verified
+FROM higher h JOIN subroots s ON s.tree = h.tree JOIN upper_levels r ON r.n = 1 WHERE h.n = 1
+"""
+
+
+@query("op13_merkle_manifest", _MANIFEST_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf, "documents"), ["doc_id", "source", "lang", "n_chars", "text"])
