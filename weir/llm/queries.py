@@ -5,13 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import byte_bpe, maxscore, merkle, order_minhash, packing, pages, quotations, simhash, suffixes, token_counts, toxicity
+from weir.llm import (
+    byte_bpe, maxscore, merkle, order_minhash, packing, pages, quotations, retrieval_packing, simhash, structure, suffixes,
+    token_counts, toxicity)
 from weir.llm.common import read
 from weir.registry import query
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQUENCE = 2048
+WINDOW, WINDOW_END = 4096, 2
 SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
 REPEAT_BYTES = 100
 
@@ -163,3 +166,80 @@ FROM higher h JOIN subroots s ON s.tree = h.tree JOIN upper_levels r ON r.n = 1
 @query("op13_merkle_manifest", _MANIFEST_SQL)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(read(spark, sf, "documents"), ["doc_id", "source", "lang", "n_chars", "text"])
+
+
+#: c: cost vectors from the last row back, by state (nothing, system, user, assistant); w: the walk forward, a letter a round
+_REPAIR_SQL = """
+WITH RECURSIVE coded AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (
+    SELECT *, xor(list_reduce([4294967295] || flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(key, '')]),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 20 AS kind
+    FROM coded),
+after AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) - 1 AS i,
+           count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS a,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM after),
+faults AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(a) OVER (PARTITION BY conv_id ORDER BY i) || a AS pair FROM placed),
+r AS (SELECT conv_id, i, n, role, text, a, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS x FROM faults),
+c(conv_id, i, v) AS (
+    SELECT DISTINCT conv_id, n, [0, 6, 3, 0] FROM r
+    UNION ALL
+    SELECT conv_id, i, [least(b[1], 3 + b[3], 6 + b[4]), least(b[2], 3 + b[3], 6 + b[4]), least(b[3], 3 + b[4]), least(b[4], 3 + b[3])] FROM (
+        SELECT r.conv_id, r.i, CASE WHEN gone THEN [4 + v[1], 4 + v[2], 4 + v[3], 4 + v[4]] ELSE [
+            least(4 + v[1], x + 3 + v[3], CASE a WHEN 's' THEN x + v[2] WHEN 'u' THEN x + v[3] ELSE 1000000000 END),
+            least(4 + v[2], x + 3 + v[3], CASE a WHEN 'u' THEN x + v[3] ELSE 1000000000 END),
+            least(4 + v[3], x + 3 + v[4], CASE a WHEN 'a' THEN x + v[4] ELSE 1000000000 END),
+            least(4 + v[4], x + 3 + v[3], CASE a WHEN 'u' THEN x + v[3] ELSE 1000000000 END)] END AS b
+        FROM c JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.i - 1)),
+steps AS (
+    SELECT c.conv_id, c.i, c.v, d.v AS later, r.role, r.text, r.a, r.gone, r.x
+    FROM c LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.i
+    LEFT JOIN c d ON d.conv_id IS NOT DISTINCT FROM c.conv_id AND d.i = c.i + 1),
+w(conv_id, i, s, audit, said) AS (
+    SELECT conv_id, CAST(0 AS BIGINT), 1, '', CAST([] AS VARCHAR[]) FROM c WHERE i = 0
+    UNION ALL
+    SELECT conv_id, i + CAST(letter <> 'I' AS BIGINT), CASE letter WHEN 'D' THEN s WHEN 'K' THEN CASE a WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END
+               ELSE CASE s WHEN 3 THEN 4 ELSE 3 END END,
+           audit || letter, CASE letter WHEN 'D' THEN said WHEN 'K' THEN said || [role || ':' || text]
+               ELSE said || [CASE s WHEN 3 THEN 'assistant' ELSE 'user' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END] END
+    FROM (
+        SELECT w.*, t.role, t.text, t.a, CASE
+            WHEN t.later IS NOT NULL AND 4 + t.later[s] = v[s] THEN 'D'
+            WHEN 3 + v[CASE s WHEN 3 THEN 4 ELSE 3 END] = v[s] THEN 'I'
+            WHEN t.later IS NULL THEN NULL
+            WHEN (s = 1 AND a = 's' AND x + t.later[2] = v[s]) OR (s IN (1, 2, 4) AND a = 'u' AND x + t.later[3] = v[s])
+                OR (s = 3 AND a = 'a' AND x + t.later[4] = v[s]) THEN 'K'
+            ELSE 'R' END AS letter
+        FROM w JOIN steps t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i) WHERE letter IS NOT NULL),
+ends AS (
+    SELECT conv_id, arg_max(audit, len(audit)) AS audit, sha256(array_to_string(arg_max(said, len(audit)), chr(10))) AS repaired
+    FROM w GROUP BY conv_id),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (i > 0 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(c.v[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       coalesce(repaired, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM k.conv_id AND c.i = 0
+"""
+
+@query("op12_structure_repair", _REPAIR_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.repaired(read(spark, sf, "conversations"))
+
+
+@query("op11_retrieval_packing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval_packing.pack_neighbours(
+        read(spark, sf, "documents"), public_tokenizers.path(WORD_VOCABULARY), WINDOW, WINDOW_END)
