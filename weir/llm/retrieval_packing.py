@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: each sequence holds a seed document and its nearest unused neighbours.
 
 Document frequencies are counted over all documents; they are one number per entry of the vocabulary,
-so every task can hold them.  Documents are dealt by ranges of their two most telling terms to tasks
+so every task can hold them.  Documents are dealt by ranges of their two rarest terms to tasks
 of some two million tokens; a task builds one shard of the inverted index after the other.  A seed's
 terms are looked up in the shard's postings, BM25 scores are summed, and the neighbours not used yet
 fill the seed's window, best first.  The one that does not fit is cut there, and its rest is the next
@@ -26,22 +26,48 @@ from weir.llm.common import ROWS_PER_STEP, pinned, text_or_empty
 
 K1, B = 1.2, 0.75
 TASK_TOKENS = 1 << 21           # tokens that one task packs
-SHARD_DOCS = 2048               # documents of one shard of the index
+SHARD_DOCS = 1024               # documents of one shard of the index
 _OTHER_SPACES = "\x1c\x1d\x1e\x1f"
 _DOCS, _TOKENS = -1, -2         # rows of the counts that are not terms
 
 
+class _Chunks(dict):
+    """The ids of chunks between white space.  When full it becomes the older half, whose chunks come back
+    when they are asked for; so frequent ones stay and memory is bounded."""
+
+    def __init__(self, bpe: words.WordBpe, limit: int = 300_000):
+        super().__init__()
+        self.bpe, self.limit, self.older = bpe, limit, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            word_ids = self.bpe.word_ids
+            if chunk.isalpha():
+                ids = word_ids[chunk]
+            elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                ids = word_ids[chunk[:-1]] + word_ids[chunk[-1]]
+            else:
+                ids = b"".join(map(word_ids.__getitem__, self.bpe.near.findall(chunk)))
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        if len(chunk) <= 200:
+            self[chunk] = ids
+        return ids
+
+
 class _Encoder:
     """Ids by way of chunks between white space, which the vocabulary never joins."""
 
     def __init__(self, vocabulary: str):
         self.bpe = words.load(vocabulary)
-        self.chunks = words.Memo(self.bpe.encode, 200_000)
+        self.chunk_ids = _Chunks(self.bpe).__getitem__
 
     def encode(self, text: str) -> bytes:
-        if self.bpe._plain(text) and not any(c in text for c in _OTHER_SPACES):
-            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
-        return self.bpe.encode(text)
+        if not self.bpe._plain(text) or any(c in text for c in _OTHER_SPACES):
+            return self.bpe.encode(text)
+        return b"".join(map(self.chunk_ids, text.lower().split()))
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -75,6 +101,15 @@ def _ids(tokens: bytes, width: int) -> np.ndarray:
     return np.frombuffer(tokens, f"<u{width}")
 
 
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and how often each stands."""
+    if not len(ids):
+        return ids, np.zeros(0, dtype=np.int64)
+    ordered = np.sort(ids, kind="stable")          # by radix for two bytes
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
 def _document_counts(stored: DataFrame) -> DataFrame:
     """In how many documents each term stands, and how many documents and tokens there are: every task
     adds up its own, a row per term goes to the shuffle."""
@@ -86,7 +121,7 @@ def _document_counts(stored: DataFrame) -> DataFrame:
             for tokens, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = _ids(tokens, width)[:-1]
                 docs, total = docs + 1, total + len(ids)
-                terms = np.unique(ids)
+                terms, _ = _terms(ids)
                 if len(terms) and terms[-1] >= len(seen):
                     seen = np.concatenate([seen, np.zeros(int(terms[-1]) + 1, dtype=np.int64)])
                 seen[terms] += 1
@@ -114,30 +149,32 @@ class Statistics:
 
     def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a document and their BM25 weights in it."""
-        terms, times = np.unique(ids, return_counts=True)
+        terms, times = _terms(ids)
         damped = times * (K1 + 1) / (times + K1 * (1 - B + B * len(ids) / self.mean))
         return terms, (self.rarity[terms] * damped).astype(np.float32)
 
 
 def _with_leads(stored: DataFrame, statistics: Statistics) -> DataFrame:
-    """The two terms of greatest weight that other documents hold too; -1 where there are none."""
+    """The two rarest terms that other documents hold too; -1 where there are none."""
     kind = stored.schema["id"].dataType.simpleString()
     schema = f"id {kind}, tokens binary, width int, lead int, second int"
+    worth = np.where(statistics.seen > 1, statistics.rarity, np.float32(-1.0))
+
+    def rarest(ids: np.ndarray) -> tuple[int, int]:
+        values, found = worth[ids], []
+        for _ in range(2):
+            at = int(values.argmax()) if len(values) else -1
+            if at < 0 or values[at] < 0:
+                return (*found, -1, -1)[:2]
+            found.append(int(ids[at]))
+            values[ids == ids[at]] = -1.0
+        return tuple(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = statistics.seen > 1
         for batch in batches:
-            leads = []
-            for tokens, width in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                terms, weights = statistics.weights(_ids(tokens, width)[:-1])
-                kept = shared[terms]
-                terms, weights = terms[kept], weights[kept]
-                top = np.argsort(-weights, kind="stable")[:2] if len(terms) else ()
-                first = [int(t) for t in terms[list(top)]] if len(terms) else []
-                leads.append((first + [-1, -1])[:2])
-            lead, second = zip(*leads) if leads else ((), ())
+            leads = [rarest(_ids(t, w)[:-1]) for t, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lead, pa.int32()), pa.array(second, pa.int32())],
+                [*batch.columns, pa.array([a for a, _ in leads], pa.int32()), pa.array([b for _, b in leads], pa.int32())],
                 names=["id", "tokens", "width", "lead", "second"])
 
     return stored.mapInArrow(run, schema)
@@ -260,7 +297,8 @@ def pack_neighbours(docs: DataFrame, vocabulary: str, size: int, end_id: int, id
     stored = pinned(encoded(docs, vocabulary, end_id, id_col, text_col), "encoded")
     statistics = Statistics({r["term"]: r["docs"] for r in _document_counts(stored).collect()})
     tasks = max(1, math.ceil(statistics.total / task_tokens))
-    order = [F.col(c).asc_nulls_first() for c in ("lead", "second", "id", "tokens")]
+    # places in the order are sampled: a digest stands for the ids
+    order = [F.col(c).asc_nulls_first() for c in ("lead", "second", "id")] + [F.xxhash64("tokens")]
     dealt = _with_leads(stored, statistics).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     kind = docs.schema[id_col].dataType.simpleString()
     out = (f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
