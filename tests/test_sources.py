@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from conftest import rows
@@ -102,7 +103,9 @@ def test_state_vector_options():
 
 
 def snapshot(folder, time, *vectors):
-    (folder / f"states_{time}.json").write_text(json.dumps({"time": time, "states": list(vectors)}))
+    file = folder / f"states_{time}.json"
+    file.write_text(json.dumps({"time": time, "states": list(vectors)}))
+    return file
 
 
 def test_state_vector_batch_and_region(spark, tmp_path):
@@ -120,9 +123,10 @@ def test_state_vector_stream_takes_each_snapshot_once(spark, tmp_path):
     one = lambda icao: [icao, "C", "Malta", None, 10, 14.4, 35.9, None, False, 1, 2, 3, None, 4, None, True, 0]
     snapshot(land, 100, one("a"))
     run = lambda: append_new(
-        read_state_vectors(spark, str(land), "EUROPE", stream=True).select("icao24"), str(tmp_path / "t"), ck)
+        read_state_vectors(spark, str(land), "EUROPE", stream=True, manifest=str(tmp_path / "taken")).select("icao24"), str(tmp_path / "t"), ck)
     run()
-    snapshot(land, 200, one("b"), one("c"))
+    late = snapshot(land, 200, one("b"), one("c"))
+    os.utime(late, (1, 1))                         # a file whose time lies before all that was taken
     run()
     run()
     assert rows(spark.read.parquet(str(tmp_path / "t"))) == [("a",), ("b",), ("c",)]

@@ -271,19 +271,27 @@ def test_snapshot_stream_takes_late_names_and_keeps_its_offset(tmp_path, monkeyp
         (tmp_path / name).write_text("{}")
         os.utime(tmp_path / name, ns=(at, at))
 
-    reader = sv.SnapshotStreamReader(str(tmp_path))
+    manifest = str(tmp_path / "taken")
+    reader = sv.SnapshotStreamReader(str(tmp_path), manifest)
     put("b.json", 1000)
     first = reader.latestOffset()
     put("a.json", 1000)
     put("0.json", 2000)
+    put("old.json", 1)                             # copied with its time: earlier than all that was taken
     second = reader.latestOffset()
     taken = lambda start, end: sorted(os.path.basename(f) for p in reader.partitions(start, end) for f in p.files)
     assert taken(reader.initialOffset(), first) == ["b.json"]
-    assert taken(first, second) == ["0.json", "a.json"] and taken(second, reader.latestOffset()) == []
-    monkeypatch.setattr(sv, "_listed", lambda path: (_ for _ in ()).throw(OSError("away")))
-    assert reader.latestOffset() == second
+    assert taken(first, second) == ["0.json", "a.json", "old.json"] and taken(second, reader.latestOffset()) == []
+    # another start: what was given out is the same, what comes in between is taken once
+    put("c.json", 5)
+    again = sv.SnapshotStreamReader(str(tmp_path), manifest)
+    third = again.latestOffset()
+    assert taken(second, third) == ["c.json"] and taken(first, third) == ["0.json", "a.json", "c.json", "old.json"]
+    assert reader.latestOffset() == third
+    monkeypatch.setattr(sv, "_snapshots", lambda path: (_ for _ in ()).throw(OSError("away")))
+    assert reader.latestOffset() == third
     with pytest.raises(OSError):
-        sv.SnapshotStreamReader(str(tmp_path)).latestOffset()
+        sv.SnapshotStreamReader(str(tmp_path), manifest).latestOffset()
 
 
 def test_slow_progress_is_an_error(spark):
@@ -300,3 +308,40 @@ def test_full_refresh_replaces(spark, tmp_path):
     append_new(stream(), table, checkpoint)
     full_refresh(stream().filter("id > 2"), table, checkpoint)
     assert sorted(r.id for r in spark.read.parquet(table).collect()) == [3, 4]
+
+
+def test_joined_streams_let_go_of_what_is_over(spark, tmp_path):
+    from weir.streaming.pairs import bounded_join
+
+    at = lambda day: F.timestamp_seconds(F.lit(day * 86_400))
+    sizes = []
+    for run in range(3):
+        days = spark.range(run * 20, run * 20 + 20).withColumn("t", F.timestamp_seconds(F.col("id") * 86_400))
+        days.select(F.col("id").alias("k"), "t").write.mode("append").parquet(str(tmp_path / "l"))
+        days.filter("id % 2 = 0").select(F.col("id").alias("k"), "t", F.lit(1).alias("x")).write.mode("append").parquet(str(tmp_path / "r"))
+        left = spark.readStream.schema("k long, t timestamp").parquet(str(tmp_path / "l"))
+        right = spark.readStream.schema("k long, t timestamp, x int").parquet(str(tmp_path / "r"))
+        joined = bounded_join(left.withColumnRenamed("t", "a"), right.withColumnRenamed("t", "b"), ["k"], "a", "b", "2 DAYS", "0 seconds")
+        q = sinks.start(joined.select("k", "x"), "parquet", str(tmp_path / "c"), path=str(tmp_path / "out"))
+        q.awaitTermination()
+        sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+    got = {r.k: r.x for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # 60 days: rows without a partner come out once two days have passed
+    assert all(got[k] == 1 for k in range(0, 60, 2)) and all(got[k] is None for k in range(1, 55, 2)) and 59 not in got
+    assert max(sizes) < 20
+
+
+def test_copies_are_taken_once_and_leave_the_state(spark, tmp_path):
+    from weir.streaming.pairs import first_of_copies
+
+    sizes = []
+    for run in range(3):
+        days = spark.range(run * 20, run * 20 + 20).withColumn("t", F.timestamp_seconds(F.col("id") * 86_400))
+        copies = days.unionAll(spark.range(max(0, run * 20 - 5), run * 20).withColumn("t", F.timestamp_seconds(F.col("id") * 86_400)))
+        copies.unionAll(copies).write.mode("append").parquet(str(tmp_path / "l"))
+        stream = spark.readStream.schema("id long, t timestamp").parquet(str(tmp_path / "l"))
+        q = sinks.start(first_of_copies(stream, ["id"], "t", "10 days"), "parquet", str(tmp_path / "c"), path=str(tmp_path / "out"))
+        q.awaitTermination()
+        sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(60))
+    assert max(sizes) <= 25

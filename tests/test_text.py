@@ -8,6 +8,7 @@ from weir.functions.fixed_values import MINUTES, SIGNED_DEGREES
 from weir.functions.numbers import finite, first_number
 from weir.operators import documents, notices
 from weir.operators.lexicon import EVENT_LEXICON, lexicon_classify, lexicon_sentiment
+from weir.operators import vectors
 from weir.operators.vectors import cosine_topk, retrieval_context
 
 NOTICE = "TITLE: N\nOBS_TIME: 1080.00 [sec]   (=18.0 [min])\n\n   \nWHEN: 21:12:43 UT\nCOMMENTS: one\nCOMMENTS: two: b\nMERIT: 69.00"
@@ -82,25 +83,46 @@ def test_contradicting_terms(spark):
     assert rows(documents.contradicting_terms(df)) == [("return", 30, 365, 2)]
 
 
-@pytest.mark.parametrize("max_queries", [100, 3])
-def test_top_k_is_exact(spark, max_queries):
+@pytest.mark.parametrize("pivots, rows_per_block, queries_per_block", [(None, 10_000, 1_000), (1, 20, 3), (60, 7, 4)])
+def test_top_k_is_exact(spark, monkeypatch, pivots, rows_per_block, queries_per_block):
+    monkeypatch.setattr(vectors, "ROWS_PER_BLOCK", rows_per_block)
+    monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", queries_per_block)
     rng = np.random.default_rng(1)
     corpus, asked = rng.normal(size=(300, 8)), rng.normal(size=(11, 8))
+    corpus[100:200] = corpus[100] + rng.normal(size=(100, 8)) * .01      # a third of all rows in one place
+    asked[3], asked[4] = corpus[150] * 2, 0.0
     corpus[5] = 0.0
     corpus[7] = corpus[9]                       # a tie, won by the smaller id
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)] + [(999, None)], "id LONG, embedding ARRAY<FLOAT>").repartition(5)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id LONG, embedding ARRAY<DOUBLE>")
     got = {}
-    for r in cosine_topk(c, q, 6, max_queries).collect():
+    for r in cosine_topk(c, q, 6, vectors.in_cells(c, pivots)).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.id))
     m = corpus.astype("float32").astype("float64")
     norm = np.linalg.norm(m, axis=1)
-    scores = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (m / np.where(norm == 0, 1, norm)[:, None]).T
+    own = np.linalg.norm(asked, axis=1, keepdims=True)
+    scores = np.round((asked / np.where(own == 0, 1, own)) @ (m / np.where(norm == 0, 1, norm)[:, None]).T, 12)
     for i in range(len(asked)):
         best = sorted(range(300), key=lambda j: (-scores[i, j], j))[:6]
         assert [x for _, x in sorted(got[i])] == best
 
 
+def test_fewer_rows_than_asked_for(spark):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id LONG, embedding ARRAY<DOUBLE>")
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], "query_id LONG, embedding ARRAY<DOUBLE>")
+    assert rows(cosine_topk(c, q, 5), "query_id", "id", "rank") == [(1, 1, 1), (1, 2, 2)]
+    assert cosine_topk(c.limit(0), q, 5).count() == 0 and cosine_topk(c, q.limit(0), 5).count() == 0
+
+
+def test_far_cells_are_skipped(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    points = [(i, (centres[i % 20] + rng.normal(size=16) * .05).tolist()) for i in range(2000)]
+    c = spark.createDataFrame(points, "id LONG, embedding ARRAY<DOUBLE>")
+    q = c.filter("id < 40").withColumnRenamed("id", "query_id")
+    assert vectors.compared_share(c, q, 5) < .2
+
+
 def test_context_follows_the_ranks(spark):
     top = spark.createDataFrame([(1, 10, 2), (1, 11, 1)], "query_id LONG, id LONG, rank INT")
     texts = spark.createDataFrame([(10, "second"), (11, "first")], "id LONG, text STRING")

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
+from weir.operators.latest import latest_rows, tie_number
 from weir.operators.ordered import next_in_order
 
 START, END = "__START_AT", "__END_AT"
 
 
-def _sortable(t: T.DataType) -> bool:
-    return not any(k in t.simpleString() for k in ("map<", "variant"))
-
-
-def _tie(df: DataFrame, keys: list[str], order: list[str]) -> Column:
-    """Which of several rows with one sequence number counts: the one with the greatest hash of the
-    other columns, for current rows and for versions alike."""
-    rest = [c for c in df.columns if c not in keys and c not in order and _sortable(df.schema[c].dataType)]
-    return F.xxhash64(*rest) if rest else F.lit(0).cast("long")
-
-
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row per key by ``order``, then in tie order (``_tie``).
-
-    One aggregate with map-side combine: a hot key is reduced before the shuffle.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order, _tie(df, keys, order))).alias("_last")
-    return df.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*df.columns)
+    """The last row per key by ``order``, then the one with the greatest hash of the other columns, for
+    current rows and for versions alike."""
+    return latest_rows(df, keys, order)
 
 
 def scd1(changes, keys, seq, delete_when: str | None = None, except_cols=()) -> DataFrame:
@@ -43,7 +29,7 @@ def scd2(changes, keys, seq, delete_when: str | None = None, except_cols=(), max
 
     Of several changes with one sequence number the last in tie order is kept.
     """
-    tied = changes.withColumn("_tie", _tie(changes, keys, [seq]))
+    tied = changes.withColumn("_tie", tie_number(changes, [*keys, seq]))
     versions = next_in_order(tied, keys, [seq, "_tie"], END, max_rows=max_rows).drop("_tie")
     versions = versions.filter(F.col(END).isNull() | (F.col(END) > F.col(seq)))
     if delete_when:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weir.functions.fixed_values import BYTES_PER_READING
 from weir.operators.cdc import latest_per_key
+from weir.operators.ordered import null_safe_left_join
 
 HAS_PLACE = "latitude IS NOT NULL AND longitude IS NOT NULL AND latitude <> 0 AND longitude <> 0"
 
@@ -23,19 +24,18 @@ def latest_location(readings: DataFrame, key: str = "client_id") -> DataFrame:
 def client_stats(readings: DataFrame, as_of: Column, active_seconds: int = 300) -> DataFrame:
     """Per client: readings, first and last seen, last usable position, active or not.
 
-    One aggregate serves all columns, so the readings are scanned and shuffled once.
+    Counts and times go through one hash aggregate; the last position is fetched by one row per client.
     """
-    usable = F.expr(HAS_PLACE)
-    place = F.when(usable, F.struct("timestamp", "latitude", "longitude"))
     stats = readings.groupBy("client_id").agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        F.max(place).alias("_place"))
+        F.max("timestamp").alias("last_seen"))
+    places = latest_per_key(located(readings).select("client_id", "timestamp", "latitude", "longitude"), ["client_id"], ["timestamp"])
+    both = null_safe_left_join(
+        stats, places.select("client_id", F.col("latitude").alias("last_lat"), F.col("longitude").alias("last_lon")), ["client_id"])
     age = F.unix_micros(as_of) - F.unix_micros(F.col("last_seen").cast("timestamp"))
-    return stats.select(
-        "client_id", "event_count", "first_seen", "last_seen",
-        F.col("_place.latitude").alias("last_lat"), F.col("_place.longitude").alias("last_lon"),
+    return both.select(
+        "client_id", "event_count", "first_seen", "last_seen", "last_lat", "last_lon",
         (age < active_seconds * 1_000_000).alias("is_active"))
 
 

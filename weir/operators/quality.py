@@ -52,11 +52,15 @@ def clean(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.filter(keep)
 
 
+def broken_rules(rules: list[Rule]) -> Column:
+    """The names of the rules that a row breaks."""
+    return F.array_compact(F.array(*[F.when(~r.holds, F.lit(r.name)) for r in rules]).cast("array<string>"))
+
+
 def quarantine(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rows that break at least one ``drop`` rule, with the names of all rules they break."""
     drops = [r for r in rules if r.action == "drop"]
-    broken = F.array_compact(F.array(*[F.when(~r.holds, F.lit(r.name)) for r in rules]))
-    return df.filter(~_all(r.holds for r in drops)).withColumn("failed_rules", broken)
+    return df.filter(~_all(r.holds for r in drops)).withColumn("failed_rules", broken_rules(rules))
 
 
 def metrics(df: DataFrame, rules: list[Rule]) -> DataFrame:

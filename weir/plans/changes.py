@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from weir.functions.numbers import cents
 from weir.operators import cdc
 from weir.operators import writes
+from weir.operators.partitioned import PartitionedTable
+from weir.operators.timeline import Timeline
 from weir.registry import query
-from weir.session import pinned
+from weir.session import pinned, shared_dir
 from weir.tables import load
 
 KEY, SEQ, DELETE = ["user_id"], "event_id", "event_type = 'error'"
@@ -204,3 +206,53 @@ def cdc_ties(spark, d) -> DataFrame:
     both = current.join(open_, "user_id", "full_outer")
     same = F.col("t").eqNullSafe(F.col("event_type")) & F.col("v").eqNullSafe(F.col("value"))
     return both.agg(F.count(F.lit(1)).alias("keys"), F.count_if(~same).alias("different"))
+
+
+COMMITS = ["2024-01-06", "2024-01-11", "2024-01-16", "2024-01-21", "2024-01-26", "2024-02-01"]
+ASKED = "2024-01-18 12:00:00"
+
+
+def timeline_of_users(spark, d) -> Timeline:
+    """What each user did last, committed every five days; an error deletes the user."""
+    rows = load(spark, d, "events").select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    columns = ["user_id", "event_type", "value"]
+    table = Timeline(shared_dir(spark, "timeline"), rows.select(*columns).schema, ["user_id"], every=2)
+    before = "1970-01-01"
+    for day in COMMITS:
+        part = rows.filter((F.col("ts") >= F.lit(before).cast("timestamp")) & (F.col("ts") < F.lit(day).cast("timestamp")))
+        table.commit(cdc.latest_per_key(part, ["user_id"], ["event_id"]).select(*columns), day, DELETE)
+        before = day
+    return table
+
+
+_AS_OF_TIME = """SELECT user_id, event_type, value FROM (
+    SELECT * FROM events WHERE ts < TIMESTAMP '{}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+  WHERE event_type <> 'error'"""
+
+
+@query("as_of_timestamp", f"""
+  SELECT 'at ' || '{ASKED}' AS asked, * FROM ({_AS_OF_TIME.format('2024-01-16')}) UNION ALL
+  SELECT 'version 5', * FROM ({_AS_OF_TIME.format('2024-01-26')})""")
+def as_of_timestamp(spark, d) -> DataFrame:
+    """A table as of a time between two commits, and as of a version, from snapshots and later changes."""
+    table = timeline_of_users(spark, d)
+    by_time = table.read(spark, timestamp=ASKED).select(F.lit(f"at {ASKED}").alias("asked"), "*")
+    return by_time.unionByName(table.read(spark, version=5).select(F.lit("version 5").alias("asked"), "*"))
+
+
+@query("partition_rewrites", """
+  SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1998 AND o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+         CASE WHEN year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, year(o_orderdate) AS year
+  FROM orders WHERE NOT (year(o_orderdate) = 1996 AND o_orderkey % 3 = 0) AND year(o_orderdate) <> 1995""")
+def partition_rewrites(spark, d) -> DataFrame:
+    """A stored table partitioned by year: upsert into one year, update in another, deletes in a third,
+    and a fourth emptied; only these years' files are written again."""
+    rows = load(spark, d, "orders").select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").cast("long").alias("year"))
+    table = PartitionedTable(spark, shared_dir(spark, "orders"), rows.schema, "year")
+    table.create(rows)
+    newer = rows.filter("year = 1998 AND o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    table.upsert(newer, ["o_orderkey"])
+    table.update("year = 1997 AND o_orderpriority = '1-URGENT'", {"o_orderstatus": "'X'"})
+    table.delete("year = 1996 AND o_orderkey % 3 = 0 OR year = 1995")
+    return table.read().drop("o_orderpriority")

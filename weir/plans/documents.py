@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from weir.functions.fixed_values import EVENT_CLASSES
-from weir.operators import documents as docs_ops
+from weir.operators import bayes, documents as docs_ops
 from weir.operators.lexicon import EVENT_LEXICON, SENTIMENT, lexicon_classify, lexicon_sentiment
+from weir.operators.sampling import hash_split
 from weir.registry import query
+from weir.session import pinned
 from weir.tables import load, spread
 
 FOLDER = "archive/"
@@ -83,6 +85,77 @@ def moods(spark, d) -> DataFrame:
     return lexicon_sentiment(rows, "text").drop("text")
 
 
+# labels learnt from labelled rows
+
+_WORDS = r"[x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+') IF x <> '']"
+_PART = "CASE WHEN CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4)) AS INTEGER) < 52428 THEN 'train' ELSE 'test' END"
+
+
+def _bayes_sql(rows: str) -> str:
+    """Naive Bayes in SQL over ``rows`` (doc_id, text, label, split), fitted on the labelled rows to train on."""
+    return f"""
+  WITH rows AS ({rows}),
+  w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS word FROM rows) GROUP BY ALL),
+  t AS (SELECT w.*, label FROM w JOIN rows USING (doc_id) WHERE split = 'train' AND label IS NOT NULL),
+  known AS (SELECT label, word, sum(n) AS n FROM t GROUP BY ALL),
+  size AS (SELECT count(DISTINCT word) AS v FROM known),
+  prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM rows WHERE split = 'train' AND label IS NOT NULL)) AS p
+            FROM rows WHERE split = 'train' AND label IS NOT NULL GROUP BY label),
+  total AS (SELECT p.label, p.p, coalesce(sum(k.n), 0) AS n FROM prior p LEFT JOIN known k ON k.label = p.label GROUP BY ALL),
+  scores AS (
+    SELECT w.doc_id, total.label, sum(w.n * (coalesce(ln(k.n + 1), 0) - ln(total.n + v + 1))) AS s
+    FROM w CROSS JOIN total CROSS JOIN size LEFT JOIN known k ON k.word = w.word AND k.label = total.label GROUP BY ALL),
+  best AS (
+    SELECT rows.doc_id, split, rows.label, total.label AS predicted FROM rows CROSS JOIN total
+    LEFT JOIN scores ON scores.doc_id = rows.doc_id AND scores.label = total.label
+    QUALIFY row_number() OVER (PARTITION BY rows.doc_id ORDER BY round(coalesce(s, 0) + p, 6) DESC, total.label) = 1)"""
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    return hash_split(docs, "doc_id", {"train": 0.8, "test": 0.2})
+
+
+def learnt_labels(rows: DataFrame) -> DataFrame:
+    """``doc_id, split, label, predicted`` of every row, fitted on the labelled rows to train on."""
+    model = bayes.fit(rows.filter("split = 'train'"), "doc_id", "text", "label")
+    named = rows.select(F.col("doc_id").alias("_id"), "split", "label")
+    found = model.classify(rows, "doc_id", "text", "predicted")
+    return found.join(named, found["doc_id"] == named["_id"]).select("doc_id", "split", "label", "predicted")
+
+
+@query("learnt_language", _bayes_sql(f"SELECT doc_id, text, lang AS label, {_PART} AS split FROM documents") + """
+  SELECT doc_id, split, label, predicted FROM best""")
+def learnt_language(spark, d) -> DataFrame:
+    """The language of every document, learnt from four fifths of them; no word list."""
+    docs = load(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    return learnt_labels(pinned(_split(docs), "texts"))
+
+
+_MOOD = "CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' WHEN quality = 0 THEN 'neutral' END"
+
+
+@query("learnt_sentiment", _bayes_sql(f"SELECT d.doc_id, text, {_MOOD} AS label, {_PART.replace('doc_id', 'd.doc_id')} AS split FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id") + """
+  SELECT doc_id, split, label, predicted FROM best""")
+def learnt_sentiment(spark, d) -> DataFrame:
+    """The mood of every document, learnt from the labelled ones: toxic texts are negative, good ones positive."""
+    moods = load(spark, d, "labels").select("doc_id", F.expr(_MOOD).alias("label"))
+    docs = load(spark, d, "documents").select("doc_id", "text").join(moods, "doc_id", "left")
+    return learnt_labels(pinned(_split(docs), "texts"))
+
+
+@query("learnt_label_report", _bayes_sql(f"SELECT doc_id, text, lang AS label, {_PART} AS split FROM documents") + """,
+  commonest AS (SELECT label AS c FROM rows WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
+  SELECT split, label, count(*) AS n, count(*) FILTER (predicted = label) AS correct, count(*) FILTER (label = c) AS correct_by_commonest
+  FROM best, commonest WHERE label IS NOT NULL GROUP BY split, label""")
+def learnt_label_report(spark, d) -> DataFrame:
+    """Per part and language: texts, right labels, and right ones if all had the commonest label."""
+    scored = pinned(learnt_language(spark, d), "scored")
+    common = scored.filter("split = 'train'").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").first()
+    return scored.filter("label IS NOT NULL").groupBy("split", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("correct"),
+        F.count_if(F.col("label") == common["label"]).alias("correct_by_commonest"))
+
+
 def catalog(spark, d) -> DataFrame:
     """Parts as shop products."""
     return load(spark, d, "part").select(

@@ -46,13 +46,17 @@ def ingest_csv(spark, d) -> DataFrame:
     return _two_runs(spark, d, "csv", header="true")
 
 
+DOCUMENTS_PER_FILE = 500        # suppliers, numbered without gaps, in one pretty-printed array
+
+
 @query("ingest_json_multiline", "SELECT s_suppkey, s_name, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def ingest_multiline(spark, d) -> DataFrame:
     """Pretty-printed JSON arrays of many documents a file, read through a glob."""
     work = shared_dir(spark, "multiline")
     s, n = load(spark, d, "supplier"), load(spark, d, "nation")
     doc = F.struct("s_suppkey", "s_name", F.col("n_name").alias("nation"))
-    files = s.join(n, s.s_nationkey == n.n_nationkey).groupBy("s_nationkey").agg(
+    block = (F.col("s_suppkey") / DOCUMENTS_PER_FILE).cast("long").alias("block")
+    files = s.join(n, s.s_nationkey == n.n_nationkey).groupBy(block).agg(
         F.to_json(F.collect_list(doc), {"pretty": "true"}).alias("value"))
     files.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{work}/landing")
     stream = incremental_files(
@@ -140,7 +144,8 @@ def state_vector_stream(spark, d) -> DataFrame:
         F.to_json(F.struct("time", F.array("state").alias("states")), {"ignoreNullFields": "false"}).alias("value"))
     for folder, part in (("b", F.xxhash64("value") % 2 == 0), ("a", F.xxhash64("value") % 2 != 0)):
         vectors.filter(part).write.text(f"{work}/landing/{folder}")
-        append_new(read_state_vectors(spark, f"{work}/landing", "GLOBAL", stream=True), f"{work}/table", f"{work}/checkpoint")
+        stream = read_state_vectors(spark, f"{work}/landing", "GLOBAL", stream=True, manifest=f"{work}/taken")
+        append_new(stream, f"{work}/table", f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/table").select(*PARSED_COLUMNS)
 
 

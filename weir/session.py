@@ -98,6 +98,11 @@ def _own_folder(spark: SparkSession, base: str) -> str:
     return folder
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path, store = _path(spark, folder)
+    return store.exists(path)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete an intermediate folder that has no reader left."""
     path, store = _path(spark, folder)

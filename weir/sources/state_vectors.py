@@ -50,17 +50,44 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def _listed(path: str) -> list[tuple[int, str]]:
-    """(time of change in ns, name) of every snapshot file, in that order."""
+def _snapshots(path: str) -> list[str]:
+    """The names of all snapshot files."""
     from pyarrow import fs
 
     store, root = _open(path)
     found = store.get_file_info(fs.FileSelector(root, recursive=True))
-    return sorted((f.mtime_ns or 0, f.path) for f in found if f.is_file and f.path.endswith((".json", ".txt")))
+    return sorted(f.path for f in found if f.is_file and f.path.endswith((".json", ".txt")))
 
 
-def _snapshots(path: str) -> list[str]:
-    return sorted(name for _, name in _listed(path))
+class TakenNames:
+    """Which names each batch of a stream took in: one small file per batch, in a shared folder."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _place(self, batch: int) -> str:
+        return f"{_open(self.path)[1].rstrip('/')}/{batch:012d}.names"
+
+    def batches(self) -> list[int]:
+        from pyarrow import fs
+
+        store, root = _open(self.path)
+        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        return sorted(int(f.base_name.split(".")[0]) for f in found if f.base_name.endswith(".names"))
+
+    def names(self, batch: int) -> list[str]:
+        store, _ = _open(self.path)
+        with store.open_input_stream(self._place(batch)) as stream:
+            return json.loads(stream.read())
+
+    def add(self, batch: int, names: list[str]) -> None:
+        """Written beside its place first, so that a batch's file is whole or not there."""
+        store, root = _open(self.path)
+        store.create_dir(root, recursive=True)
+        beside = f"{self._place(batch)}.part"
+        with store.open_output_stream(beside) as stream:
+            stream.write(json.dumps(names).encode())
+        store.move(beside, self._place(batch))
 
 
 def _vectors(path: str, file: str):
@@ -96,46 +123,53 @@ class SnapshotReader(DataSourceReader):
 
 
 class SnapshotStreamReader(DataSourceStreamReader):
-    """Stream: the offset is the last time of change taken in, with the names that have it.
-
-    Files are taken by arrival, so a name that sorts before earlier ones is not lost, and files
-    stay in place, so a batch can be replayed after a failure.  A folder that cannot be listed
-    just now means no new data; right after a restart, when the stored offset is not known here,
-    it fails the query, which starts again from its checkpoint: nothing is taken in twice.
+    """Stream: the offset is the number of the last batch of names that the manifest holds.
+
+    A file is new if no batch has taken its name, whatever its time of change: copies that keep their
+    time, late uploads and clocks that differ lose nothing.  A batch of names is stored before its
+    number is given out and never changes, so it can be replayed after a failure; one whose number was
+    not yet known to the query when it stopped comes with the next run.  The manifest belongs to one
+    checkpoint.  A folder that cannot be listed just now means no new data; right after a start it fails
+    the query, which starts again from its checkpoint.
     """
 
-    def __init__(self, path: str):
-        self.path = path
-        self.last = None
+    def __init__(self, path: str, manifest: str):
+        self.path, self.manifest = path, TakenNames(manifest)
+        self.batch: int | None = None
+        self.taken: set[str] = set()
 
     def initialOffset(self):
-        return {"at": -1, "names": []}
+        return {"batch": 0}
+
+    def _catch_up(self) -> None:
+        for batch in self.manifest.batches():
+            if batch > (self.batch or 0):
+                self.taken.update(self.manifest.names(batch))
+                self.batch = batch
+        self.batch = self.batch or 0
 
     def latestOffset(self):
         try:
-            listed = _listed(self.path)
+            names = _snapshots(self.path)
         except OSError:
-            if self.last is None:
+            if self.batch is None:
                 raise
-            return self.last
-        at = max((t for t, _ in listed), default=-1)
-        self.last = {"at": at, "names": [n for t, n in listed if t == at]}
-        return self.last
+            return {"batch": self.batch}
+        self._catch_up()
+        fresh = [n for n in names if n not in self.taken]
+        if fresh:
+            self.manifest.add(self.batch + 1, fresh)
+            self._catch_up()
+        return {"batch": self.batch}
 
     def partitions(self, start, end):
-        def upto(offset, t, name):
-            return t < offset["at"] or t == offset["at"] and name in offset["names"]
-
-        fresh = [n for t, n in _listed(self.path) if upto(end, t, n) and not upto(start, t, n)]
-        return [_Files([f]) for f in fresh] or [_Files([])]
+        found = [n for b in range(start["batch"] + 1, end["batch"] + 1) for n in self.manifest.names(b)]
+        return [_Files([f]) for f in found] or [_Files([])]
 
     def read(self, partition):
         for file in partition.files:
             yield from _vectors(self.path, file)
 
-    def commit(self, end):
-        self.last = end
-
 
 class StateVectorDataSource(DataSource):
     """``spark.read.format("state_vectors").option("path", …)`` and the same for streams."""
@@ -159,7 +193,9 @@ class StateVectorDataSource(DataSource):
         return SnapshotReader(self.options["path"])
 
     def streamReader(self, schema):
-        return SnapshotStreamReader(self.options["path"])
+        if not self.options.get("manifest"):
+            raise ValueError("option 'manifest', a shared folder of the stream's own, is required")
+        return SnapshotStreamReader(self.options["path"], self.options["manifest"])
 
 
 def region_option(region: str | None) -> str:
@@ -169,10 +205,14 @@ def region_option(region: str | None) -> str:
     return name
 
 
-def read_state_vectors(spark: SparkSession, path: str, region: str | None = None, stream: bool = False) -> DataFrame:
-    """Typed state vectors inside a region's box, as a batch or a stream."""
+def read_state_vectors(
+    spark: SparkSession, path: str, region: str | None = None, stream: bool = False, manifest: str | None = None,
+) -> DataFrame:
+    """Typed state vectors inside a region's box, as a batch or a stream.  A stream keeps the names it has
+    taken in the folder ``manifest``, one per checkpoint."""
     spark.dataSource.register(StateVectorDataSource)
     reader = spark.readStream if stream else spark.read
     name = region_option(region)
-    raw = reader.format("state_vectors").option("path", path).option("region", name).load()
+    reader = reader.format("state_vectors").option("path", path).option("region", name)
+    raw = (reader.option("manifest", manifest) if manifest else reader).load()
     return region_filter(parse_state_vectors(raw), name)
