@@ -45,6 +45,65 @@ def test_names_alone_do_not_take_the_article():
     assert main_text(page, set()) == "short"
 
 
+def test_forms_and_roles_do_not_take_the_page():
+    long = "own words of the page " * 10
+    text = long.strip()
+    for page in (f"<form action=x><div><p>{long}</p></div><input></form>", f"<form><nav>m</nav><article>{long}</article></form>",
+                 f"<div role=search><article>{long}</article></div>", f"<div role=complementary><p>{long}</p></div>",
+                 f"<article>{long}<form>mail us <input></form><div role=navigation>next</div></article>"):
+        assert main_text(f"<body>{page}</body>", set()) == text, page
+
+
+def test_several_articles_beside_each_other():
+    page = "<main><article><h2>A</h2>first text</article><article>second longer text</article></main><aside><article>teaser</article></aside>"
+    assert main_text(page, set()) == "A\nfirst text\nsecond longer text"
+    assert main_text("<article>the whole of it <div class=comments><article>me too</article></div></article>", set()) == "the whole of it"
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    n = 20_000
+    for page, want in (("<span>" * n + "<hr>" * n + "x", "x"), ("<div>" * n + "</b>" * n + "x", "x"), ('<a b="' * n, None),
+                       ("<article>" * n + "x", "x"), ("<b" * n, None), ("<!--" * n, ""), ("<p><i>" * n + "x", "x"), ("<dt>" * n + "<hr>" * n + "x", "x"),
+                       ('<a b="' * n + ">x", None), ("<li><p>" * n + "</ul>" * n + "x", "x")):
+        start = time.process_time()
+        got = main_text(page, set())
+        assert time.process_time() - start < 2.5, page[:20]
+        assert want is None or got == want, page[:20]
+
+
+def brute_templates(rows, want_host):
+    """Subtrees of one host that stand beside enough different articles, counted one page after the other."""
+    from collections import defaultdict
+
+    from weir.llm.pages import INSIDE_FEW, INSIDE_PAGES, INSIDE_SHARE, MIN_PAGES, OUTSIDE_SHARE, subtrees
+
+    beside, mains = defaultdict(set), set()
+    for _, url, page in rows:
+        if url.split("/")[2] == want_host:
+            main, *parts = subtrees(page)
+            mains.add(main)
+            for kind, hashes in zip(("outer", "inner", "plain"), parts):
+                for h in hashes:
+                    beside[kind, h].add(main)
+    least = {"outer": len(mains) * OUTSIDE_SHARE, "plain": len(mains) * INSIDE_SHARE,
+             "inner": min(len(mains) * INSIDE_SHARE, max(INSIDE_PAGES, len(mains) * INSIDE_FEW))}
+    return {h for (kind, h), pages in beside.items() if len(pages) >= max(MIN_PAGES, least[kind])}
+
+
+def test_templates_equal_a_count_page_by_page(spark):
+    rng, rows = random.Random(9), []
+    for i in range(120):
+        parts = [f"<div>{rng.choice(WORDS)} box {rng.randrange(6)}</div>", f"<ul><li>{rng.choice(WORDS)}</li></ul>", f"<p>{rng.choice(WORDS)} said</p>",
+                 f"<table><tr><td>{rng.choice(WORDS)}</td></tr></table>"]
+        inside = "".join(rng.sample(parts, 2))
+        rows.append((i, f"http://{rng.choice('ab')}/{i}", f"<body>{rng.choice(parts)}<article><p>own {i % 90}</p>{inside}</article>{rng.choice(parts)}</body>"))
+    want = {i: main_text(page, brute_templates(rows, url.split("/")[2])) for i, url, page in rows}
+    assert texts(spark, rows) == want
+    assert any(want[i] != main_text(page, set()) for i, _, page in rows)
+
+
 def site(pages, host="a.example.org", copies=0):
     rng, rows, want = random.Random(host), [], {}
     for i in range(pages):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ BLOCKS = PARAGRAPHS | CONTAINERS | set("html head body article main hr option".s
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}}
-NEVER_TEXT = RAW | set("head nav footer aside form button select option menu dialog template svg canvas audio video "
+NEVER_TEXT = RAW | set("head nav footer aside button select option menu dialog template svg canvas audio video "
                        "object applet map".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                       "toolbar".split())
@@ -43,6 +44,9 @@ CONTENT_NAMES = set("article articlebody body content entry main post story text
 #: never taken for furniture by their names, as those of a heading or paragraph tell what it is about
 OWN_TEXT = set("article html body main p h1 h2 h3 h4 h5 h6".split())
 
+_STOPS = CONTAINERS | set("article main body html td th li dd blockquote".split())
+_DECIDING = _STOPS | set(CLOSES) | {"p"}
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -56,10 +60,12 @@ def called(names: set[str], kinds: set[str]) -> bool:
 
 
 class _Node:
-    __slots__ = ("tag", "names", "role", "up", "items", "size", "hash", "off")
+    __slots__ = ("tag", "names", "role", "up", "near", "items", "size", "hash", "off")
 
     def __init__(self, tag: str, attributes: str, up: "_Node | None"):
         self.tag, self.up, self.items, self.size, self.hash, self.off = tag, up, [], 0, 0, False
+        #: the innermost element, itself included, that decides where a block goes
+        self.near = self if tag in _DECIDING or up is None else up.near
         self.names, self.role, seen = set(), "", set()
         for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             name = name.lower()
@@ -75,12 +81,24 @@ class _Node:
 
 
 def parse(page: str) -> _Node:
-    """The element tree; elements that were left open end where their parent does."""
+    """The element tree; elements that were left open end where their parent does.  Every step moves on
+    in the page or closes elements, so the work grows with the page's length."""
     root = node = _Node("", "", None)
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
+    open_ = Counter()              # how many elements of a name are open
+
+    def closed(upto: _Node) -> _Node:
+        """Closes the open elements up to this one."""
+        other = node
+        while True:
+            open_[other.tag] -= 1
+            if other is upto:
+                return other.up
+            other = other.up
+
     while at < end:
-        found = _TOKEN.search(page, at)
-        stop = found.start() if found else end
+        found = _TOKEN.search(page, at) if at <= last else None
+        stop = found.start() if found else _open_comment(page, at)
         if stop > at:
             node.items.append(page[at:stop])
         if not found:
@@ -91,34 +109,43 @@ def parse(page: str) -> _Node:
             continue
         tag = tag.lower()
         if closing:
-            other = node
-            while other is not root and other.tag != tag:
-                other = other.up
-            if other is not root:
-                node = other.up
+            if open_[tag]:
+                other = node
+                while other.tag != tag:
+                    other = other.up
+                node = closed(other)
             continue
         if tag in BLOCKS:
-            node = _closed(node, tag, root)
+            ended = _ended(node, tag)
+            if ended is not None:
+                node = closed(ended)
         child = _Node(tag, attributes, node)
         node.items.append(child)
         if tag in RAW:
-            last = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = last.end() if last else end
+            raw_end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = raw_end.end() if raw_end else end
         elif tag not in VOID and not attributes.endswith("/"):
             node = child
+            open_[tag] += 1
     return root
 
 
-def _closed(node: _Node, tag: str, root: _Node) -> _Node:
-    """Where a new block goes: an open paragraph ends before it, as does an open item of its kind."""
-    ends, other = CLOSES.get(tag, ()), node
-    while other is not root:
+def _open_comment(page: str, at: int) -> int:
+    """Where text without further tags ends: a comment that is never closed takes the rest."""
+    start = page.find("<!--", at)
+    return len(page) if start < 0 else start
+
+
+def _ended(node: _Node, tag: str) -> _Node | None:
+    """The open element that ends before a new block: a paragraph, or an item of its kind."""
+    ends, other = CLOSES.get(tag, ()), node.near
+    while other.up is not None:
         if other.tag == "p" or other.tag in ends:
-            return other.up
-        if other.tag in CONTAINERS or other.tag in ("article", "main", "body", "html", "td", "th", "li", "dd", "blockquote"):
-            return node
-        other = other.up
-    return node
+            return other
+        if other.tag in _STOPS:
+            return None
+        other = other.up.near
+    return None
 
 
 def _walk(root: _Node) -> list[_Node]:
@@ -137,9 +164,11 @@ def measured(root: _Node) -> list[_Node]:
     inside, named = {id(root): False}, set()
     for node in nodes[1:]:
         inside[id(node)] = within = inside[id(node.up)] or node.up.tag in ("article", "main")
-        node.off = (
-            node.tag in NEVER_TEXT or node.tag == "header" and not within or node.role in FURNITURE_ROLES)
-        if node.names and node.tag not in OWN_TEXT and not node.off and (
+        node.off = node.tag in NEVER_TEXT or node.tag == "header" and not within
+        if node.off or node.tag in OWN_TEXT:
+            continue
+        # whole pages are wrapped in forms, and roles are given like names
+        if node.tag == "form" or node.role in FURNITURE_ROLES or node.names and (
                 called(node.names, FURNITURE) or not within and "header" in node.names):
             named.add(id(node))
     if named:
@@ -175,14 +204,13 @@ def _keep_article(nodes: list[_Node], named: set[int]) -> None:
             named.discard(id(node))
             node = node.up
 
-    wide = [n for n in nodes if n.tag in ("article", "main") and sizes[id(n)] and _shown(n)]
+    off = _hidden(nodes)
+    wide = [n for n in nodes if n.tag in ("article", "main") and sizes[id(n)] and id(n) not in off]
     for node in wide:
         if sizes[id(node)] > most:
             free(node)
-    gone: dict[int, bool] = {}
-    for node in nodes:
-        gone[id(node)] = node.off or id(node) in named or node.up is not None and gone[id(node.up)]
-    if any(not gone[id(n)] and sizes[id(n)] and any(fits(n) for fits in ARTICLES) for n in nodes):
+    gone = _hidden(nodes, named)
+    if any(id(n) not in gone and sizes[id(n)] and any(fits(n) for fits in ARTICLES) for n in nodes):
         return
     if wide:
         free(max(wide, key=lambda n: (n.tag == "article", sizes[id(n)])))
@@ -190,25 +218,39 @@ def _keep_article(nodes: list[_Node], named: set[int]) -> None:
         named -= {id(n) for n in nodes if sizes[id(n)] > most}
 
 
-def _shown(node: _Node) -> bool:
-    while node is not None:
-        if node.off:
-            return False
-        node = node.up
-    return True
+def _hidden(nodes: list[_Node], named: set[int] = frozenset()) -> set[int]:
+    """The elements that are off or named, and those inside them; ``nodes`` has parents first."""
+    out: set[int] = set()
+    for node in nodes:
+        if node.off or id(node) in named or id(node.up) in out:
+            out.add(id(node))
+    return out
 
 
 ARTICLES = (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main",
             lambda n: n.tag in CONTAINERS and called(n.names, CONTENT_NAMES))
 
 
-def article(nodes: list[_Node]) -> _Node:
-    """The element that holds the article: of the visible ones the one with most text."""
+def articles(nodes: list[_Node]) -> list[_Node]:
+    """The element that holds the article: of the visible ones the one with most text.  Article elements
+    beside it, under the same parent, belong to it: a page may hold its text in several."""
+    off = _hidden(nodes)
     for fits in (*ARTICLES, lambda n: n.tag == "body"):
-        found = [n for n in nodes if fits(n) and n.size and _shown(n)]
+        found = [n for n in nodes if fits(n) and n.size and id(n) not in off]
         if found:
-            return max(found, key=lambda n: n.size)
-    return nodes[0]
+            main = max(found, key=lambda n: n.size)
+            return [n for n in found if n.up is main.up] if main.tag == "article" else [main]
+    return nodes[:1]
+
+
+def _above(mains: list[_Node]) -> set[int]:
+    """The article's elements and those around them, which are never cut."""
+    out: set[int] = set()
+    for node in mains:
+        while node is not None and id(node) not in out:
+            out.add(id(node))
+            node = node.up
+    return out
 
 
 def _signed(h: int) -> int:
@@ -219,33 +261,27 @@ def subtrees(page: str) -> tuple[int, list[int], list[int], list[int]]:
     """Hash of the article's element; of the subtrees that count as parts outside, as containers inside,
     and as whole paragraphs outside or table rows inside."""
     nodes = measured(parse(page))
-    main = article(nodes)
-    above, node = set(), main
-    while node is not None:
-        above.add(id(node))
-        node = node.up
-    inside, outer, inner, plain = {id(main)}, set(), set(), set()
+    mains = articles(nodes)
+    above = _above(mains)
+    inside, outer, inner, plain = {id(n) for n in mains}, set(), set(), set()
     for node in nodes[1:]:
         if id(node.up) in inside:
             inside.add(id(node))
         if id(node) in above or not node.size or node.tag not in CONTAINERS | PARAGRAPHS:
             continue
-        if id(node) in inside and main.tag in ("article", "main"):
+        if id(node) in inside and mains[0].tag in ("article", "main"):
             if node.tag in CONTAINERS:
                 (plain if node.tag in ROWS else inner).add(_signed(node.hash))
         else:
             (outer if node.tag in CONTAINERS else plain).add(_signed(node.hash))
-    return _signed(main.hash), sorted(outer - inner - plain), sorted(inner), sorted(plain)
+    whole = mains[0].hash if len(mains) == 1 else xxhash.xxh64_intdigest("".join(f"{n.hash:x}\x01" for n in mains))
+    return _signed(whole), sorted(outer - inner - plain), sorted(inner), sorted(plain)
 
 
 def main_text(page: str, templates: set[int]) -> str:
     """The article's blocks without furniture and without the given subtrees, one to a line."""
-    nodes = measured(parse(page))
-    main = article(nodes)
-    above, node = set(), main
-    while node is not None:
-        above.add(id(node))
-        node = node.up
+    mains = articles(measured(parse(page)))
+    above = _above(mains)
     blocks: list[str] = []
     current: list[str] = []
 
@@ -255,7 +291,7 @@ def main_text(page: str, templates: set[int]) -> str:
         if text:
             blocks.append(text)
 
-    left: list = [main]
+    left: list = mains[::-1]
     while left:
         item = left.pop()
         if item is None:
