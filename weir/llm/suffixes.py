@@ -28,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from weir.llm.common import pinned
+from weir.llm.workers import give_back, make_room
 
 Q = 32                          # bytes of the initial buckets
-BLOCK = 1 << 19                 # bytes hashed at a time
+BLOCK = 1 << 17                 # bytes hashed at a time
 HELD = 50_000                   # segments of one bucket that are looked at together
 _PLACE = 25                     # low bits of a place that hold the text's digest
 _INDEX = np.uint64((1 << 24) - 1)
@@ -215,10 +217,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int, extra: bool, size: i
 
 def _segmented(length: int, block_size: int) -> Callable:
     def run(batches):
+        make_room()
         for block, _ in _blocks(batches, length, False, block_size):
             found = block.segments()
             if found is not None:
                 yield block.rows(*found)
+        give_back()
 
     return run
 
@@ -229,6 +233,7 @@ def _strings(length: int, block_size: int) -> Callable:
     half = (span + 1) // 2
 
     def run(batches):
+        make_room()
         for block, wanted in _blocks(batches, length, True, block_size):
             lows, owners = [], []
             for k, asked in enumerate(wanted):
@@ -252,6 +257,7 @@ def _strings(length: int, block_size: int) -> Callable:
                 other = _hash(2).grams(block.data, min(Q, length))
                 ones = np.ones(len(at), dtype=np.int64)
                 yield block.rows(block.string_ids(at), block.string_ids(at, other), part, at, ones)
+        give_back()
 
     return run
 
@@ -418,7 +424,9 @@ def removal_report(docs: DataFrame, length: int, id_col: str = "doc_id", text_co
 def without_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text",
                     block_size: int = BLOCK) -> DataFrame:
     """``docs`` with the covered bytes cut out of the text, all columns kept.  A cut can fall inside a
-    letter; the letter's remaining bytes go too.  Texts without repeats, NULL among them, stay as they are."""
+    letter; the letter's remaining bytes go too.  Texts without repeats, NULL among them, stay as they are,
+    and so do empty ones.  Of rows that are alike the strings of one are cut out of none: they are one
+    document.  Columns may have any names.  An empty table gives no rows."""
 
     def run(batches):
         for batch in batches:
@@ -426,8 +434,11 @@ def without_repeats(docs: DataFrame, length: int, id_col: str = "doc_id", text_c
                      for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["kept", "left"])
 
-    others = [c for c in docs.columns if c != text_col]
-    rows = repeated_spans(docs, length, id_col, text_col, others, block_size).select("kept", "body", "spans")
-    changed = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, left string")
+    # columns go by number, so that no name can clash or need quotes
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    others = [c for c in plain.columns if c != text]
+    rows = repeated_spans(plain, length, own, text, others, block_size).select("kept", "body", "spans")
+    changed = rows.mapInArrow(run, StructType([rows.schema["kept"]]).add("left", "string"))
     return changed.select(*[
-        F.when(~F.col("kept._null"), F.col("left")).alias(c) if c == text_col else F.col(f"kept.`{c}`") for c in docs.columns])
+        F.when(~F.col("kept._null"), F.col("left")).alias(c) if c == text else F.col(f"kept.{c}") for c in plain.columns]).toDF(*docs.columns)

@@ -205,7 +205,8 @@ def graded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` without the texts that the model rejects, all columns kept.  Row-local: the decision is
-    made beside the row, so rows of one id with different texts are decided each."""
+    made beside the row, so rows of one id with different texts are decided each.  NULL and empty texts hold
+    no feature and are decided as such.  Columns may have any names.  An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {f: i for i, f in enumerate(model.names)}
@@ -220,4 +221,5 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
