@@ -7,6 +7,7 @@ import sys
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from test_packing import check_layout
@@ -45,9 +46,11 @@ def test_stages_do_what_they_say(spark, data):
 
     packed = stages["packing"](spark, cut, data).collect()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    sizes = {}
-    for r in packed:
+    sizes, ids = {}, {}
+    for r in sorted(packed, key=lambda r: (r.doc_id, r.start)):
         sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.length
+        ids[r.doc_id] = ids.get(r.doc_id, []) + r.ids
+    assert ids == {d: library.encode(t, add_special_tokens=False).ids + [0] for d, t in want.items()}
     assert sizes == {d: len(library.encode(t, add_special_tokens=False).ids) + 1 for d, t in want.items()}
     assert check_layout(packed, 2048) <= 1.1 * sum(sizes.values()) / 2048 + 1
 
@@ -64,6 +67,21 @@ def test_stages_on_an_empty_table(spark, data):
         assert docs.count() == 0, name
 
 
+def test_stages_bear_any_rows_and_column_names(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 40")
+    odd = spark.createDataFrame([(None, None), (900, None), (901, ""), (902, "\u00e9"), (903, "word " * 30_000), (3, None)], "doc_id long, text string")
+    rows = docs.unionByName(odd, allowMissingColumns=True).unionByName(docs.limit(3)).withColumns({
+        "_null": F.lit(1), "two words": F.lit("x"), "a.b": F.lit(2.0), "kept": F.lit("k"), "c0": F.lit(None).cast("int"), "`q`": F.lit(True)})
+    n = rows.count()
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        rows = corpus_pipeline.pinned(stage(spark, rows, data))
+        assert rows.columns[-6:] == ["_null", "two words", "a.b", "kept", "c0", "`q`"] and 0 < rows.count() <= n
+        values = {tuple(r)[-6:] for r in rows.collect()}
+        assert values == {(1, "x", 2.0, "k", None, True)}, name
+    assert {900, 901} & {r.doc_id for r in rows.collect()} and None in {r.doc_id for r in rows.collect()}
+    assert corpus_pipeline.STAGES[3][1](spark, rows, data).count() >= rows.count()
+
+
 def test_the_rest_works_without_these_operators(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q)"

@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -41,7 +42,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_co
                           pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = [id_col, "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    arrays.append(pa.array([memoryview(c).cast("I").tolist() for c in cuts], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(c) // 4 for c in cuts)])
+                    arrays.append(pa.ListArray.from_arrays(
+                        pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(cuts), "<i4"), pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
