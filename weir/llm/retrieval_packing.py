@@ -26,7 +26,7 @@ from weir.llm.common import ROWS_PER_STEP, pinned, text_or_empty
 
 K1, B = 1.2, 0.75
 TASK_TOKENS = 1 << 21           # tokens that one task packs
-SHARD_DOCS = 1024               # documents of one shard of the index
+SHARD_DOCS = 512                # documents of one shard of the index
 _OTHER_SPACES = "\x1c\x1d\x1e\x1f"
 _DOCS, _TOKENS = -1, -2         # rows of the counts that are not terms
 
@@ -42,13 +42,12 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            word_ids = self.bpe.word_ids
             if chunk.isalpha():
-                ids = word_ids[chunk]
+                ids = self.bpe._encode_word(chunk)
             elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-                ids = word_ids[chunk[:-1]] + word_ids[chunk[-1]]
+                ids = self[chunk[:-1]] + self[chunk[-1]]
             else:
-                ids = b"".join(map(word_ids.__getitem__, self.bpe.near.findall(chunk)))
+                ids = b"".join(map(self.bpe._encode_word, self.bpe.near.findall(chunk)))
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -106,8 +105,8 @@ def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(ids):
         return ids, np.zeros(0, dtype=np.int64)
     ordered = np.sort(ids, kind="stable")          # by radix for two bytes
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[first], np.diff(np.append(first, len(ordered)))
+    bounds = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
+    return ordered[bounds[:-1]], bounds[1:] - bounds[:-1]
 
 
 def _document_counts(stored: DataFrame) -> DataFrame:
@@ -145,20 +144,20 @@ class Statistics:
         for term, n in counts.items():
             if term >= 0:
                 self.seen[term] = n
-        self.rarity = np.log1p((self.docs - self.seen + 0.5) / (self.seen + 0.5)).astype(np.float32)
+        self.rarity = np.log1p((self.docs - self.seen + 0.5) / (self.seen + 0.5))
 
     def weights(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a document and their BM25 weights in it."""
         terms, times = _terms(ids)
         damped = times * (K1 + 1) / (times + K1 * (1 - B + B * len(ids) / self.mean))
-        return terms, (self.rarity[terms] * damped).astype(np.float32)
+        return terms, self.rarity[terms] * damped
 
 
 def _with_leads(stored: DataFrame, statistics: Statistics) -> DataFrame:
     """The two rarest terms that other documents hold too; -1 where there are none."""
     kind = stored.schema["id"].dataType.simpleString()
     schema = f"id {kind}, tokens binary, width int, lead int, second int"
-    worth = np.where(statistics.seen > 1, statistics.rarity, np.float32(-1.0))
+    worth = np.where(statistics.seen > 1, statistics.rarity, -1.0)
 
     def rarest(ids: np.ndarray) -> tuple[int, int]:
         values, found = worth[ids], []
@@ -190,7 +189,7 @@ class Shard:
         every = np.concatenate(self.terms) if found else np.zeros(0, dtype=np.int64)
         order = np.argsort(every, kind="stable")
         self.doc = np.repeat(np.arange(len(found)), sizes)[order]
-        self.weight = np.concatenate([w for _, w in found])[order] if found else np.zeros(0, dtype=np.float32)
+        self.weight = np.concatenate([w for _, w in found])[order] if found else np.zeros(0)
         self.named, first = np.unique(every[order], return_index=True)
         self.bounds = np.append(first, len(every))
         self.unused = np.ones(len(found), dtype=bool)
@@ -266,7 +265,7 @@ def _fill(windows: _Windows, documents: list[tuple], statistics: Statistics) ->
                     yield closed
             following = None
             if windows.used and left:
-                if left * 2 < shrunk:
+                if left * 3 < shrunk * 2:
                     shard.shrink()
                     shrunk = left
                 for near in shard.neighbours(seed):
