@@ -78,7 +78,8 @@ def test_stages_bear_any_rows_and_column_names(spark, data):
         assert rows.columns[-6:] == ["_null", "two words", "a.b", "kept", "c0", "`q`"] and 0 < rows.count() <= n
         values = {tuple(r)[-6:] for r in rows.collect()}
         assert values == {(1, "x", 2.0, "k", None, True)}, name
-    assert {900, 901} & {r.doc_id for r in rows.collect()} and None in {r.doc_id for r in rows.collect()}
+    left = {r.doc_id for r in rows.collect()}
+    assert None in left and 902 in left and not {900, 901} & left          # no words: the least id of them stays, 3
     assert corpus_pipeline.STAGES[3][1](spark, rows, data).count() >= rows.count()
 
 
