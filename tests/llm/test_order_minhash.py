@@ -79,6 +79,20 @@ def test_report_matches_brute_force(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs)
 
 
+def test_many_rows_of_one_and_of_no_id(spark):
+    """A third of the rows has no id, a third one id; both are spread over ranges."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.choice([0, 5, 90])))
+    docs = [(None, text()) for _ in range(100)] + [(50, text()) for _ in range(100)] + [(i, text()) for i in range(100) if i != 50]
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted((tuple(r)[:7] for r in omh.edit_report(table(spark, docs)).collect()), key=repr) == brute(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_small_tables(spark):
     for docs in ([], [(1, "alone here")], [(1, "a b"), (1, "a b")], [(None, None)]):
         assert sorted((tuple(r) for r in omh.edit_report(table(spark, docs)).collect()), key=repr) == brute(docs)

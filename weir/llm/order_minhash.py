@@ -14,6 +14,7 @@ from weir.llm.common import per_text, pinned, text_or_empty
 K = 9                          # code points of a k-mer
 TUPLE = 2                      # k-mers of a tuple
 TUPLES = 64                    # tuples of a fingerprint
+PREFIX = 64                    # code points of a text by which rows of one id are dealt
 _STEP = 4096                   # k-mers hashed at a time
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 1 << 32, TUPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -125,7 +126,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     place = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     dealt = docs.select(F.col(id_col).alias("id"), place.alias("place"), text_or_empty(text_col).alias("body"))
-    dealt = dealt.repartitionByRange("place").sortWithinPartitions("place", "body")
+    dealt = dealt.repartitionByRange("place", F.substring("body", 1, PREFIX)).sortWithinPartitions("place", "body")
     edge = "edge int, place long, body string"
     names = ["id", "edge", "place", "body", *[c.split()[0] for c in _REPORT.split(", ")]]
     types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
@@ -137,12 +138,15 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []           # rows of one id whose next text is still to come
-        none, started, id_type = (None,) * 6, False, None
+        none, begun, id_type = (None,) * 6, [], None
         for batch in batches:
             ids, out, id_type = [], [], batch.column(0).type
             for doc, at, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if not started:
-                    ids, out, started = [doc], [(1, at, text, *none)], True
+                # the first id may go on from the range before, whose last rows then ask for the second
+                if len(begun) < 2 and at not in begun:
+                    begun.append(at)
+                    ids.append(doc)
+                    out.append((1, at, text, *none))
                 own = fingerprint(text, k, size)
                 if waiting and waiting[0][1] != at:
                     for before, _, body, print_ in waiting:
@@ -164,9 +168,9 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types[3:])]], names=["id", *names[4:]])
 
     found = pinned(dealt.mapInArrow(stream, f"id {kind}, {edge}, {_REPORT}"), "compared")
-    heads = found.filter("edge = 1").select(F.col("place").alias("next"), F.col("body").alias("following"))
+    heads = found.filter("edge = 1").groupBy(F.col("place").alias("next")).agg(F.min("body").alias("following"))
     tails = found.filter("edge = 2").select("id", "place", "body")
-    # two rows a range: their order is that of the ranges
+    # three ids a range: their order is that of the ranges
     ends = found.filter("edge > 0").groupBy("place").agg(F.min(F.when(F.col("edge") == 1, F.col("place"))).alias("head"))
     ahead = Window.orderBy("place").rowsBetween(1, Window.unboundedFollowing)
     following = ends.select("place", F.coalesce(F.min("head").over(ahead), F.min("head").over(Window.partitionBy())).alias("next"))
