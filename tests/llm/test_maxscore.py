@@ -64,3 +64,11 @@ def test_shards_and_blocks_give_the_same(spark):
 def test_fewer_rows_than_asked_for_and_none(spark):
     assert sorted(map(tuple, nearest(table(spark, [(0, [1.0]), (1, [2.0])]), 50, 5, 256).collect())) == [(0, 1, 1, 512 * 256)]
     assert nearest(table(spark, []), 50, 5, 256).collect() == []
+
+
+def test_products_that_would_not_be_exact_are_an_error(spark):
+    fine = [(0, [2.0 ** 17] * 4), (1, [-(2.0 ** 17)] * 4)]
+    assert sorted(map(tuple, nearest(table(spark, fine), 50, 5, 256).collect())) == brute(fine, 50, 5, 256)
+    for large in (2.0 ** 20, 1e300):
+        with pytest.raises(Exception, match="id 3 is too long"):
+            nearest(table(spark, [*fine, (3, [0.0, large])]), 50, 5, 256).collect()

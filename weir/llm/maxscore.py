@@ -84,11 +84,15 @@ class Postings:
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``(id, v)``: each component x as floor(scale * x); without vectors that are NULL or hold NULL,
-    NaN or infinite components, and without NULL ids."""
+    NaN or infinite components, and without NULL ids.  A vector whose square could pass 2**53 stops the job
+    with an error that names it: below that every product of two vectors, and every part of it, is exact."""
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    square = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (F.abs(x * scale) + 1) * (F.abs(x * scale) + 1))
+    whole = F.transform(vector, lambda x: F.floor(x * scale).cast("long"))
+    stop = F.raise_error(F.concat(F.lit("the vector with the id "), F.col(id_col).cast("string"), F.lit(" is too long for exact products")))
     return df.filter(F.col(id_col).isNotNull() & fine).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+        F.col(id_col).cast("long").alias("id"), F.when(square < float(1 << 53), whole).otherwise(stop.cast("array<bigint>")).alias("v"))
 
 
 def _padded(vectors: list[list[int]], dims: int) -> np.ndarray:
