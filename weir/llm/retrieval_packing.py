@@ -10,6 +10,7 @@ seed.  A task's last window is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from tokenizers.models import BPE
 
 from weir.llm import words
 from weir.llm.common import ROWS_PER_STEP, pinned, text_or_empty
@@ -35,19 +37,29 @@ class _Chunks(dict):
     """The ids of chunks between white space.  When full it becomes the older half, whose chunks come back
     when they are asked for; so frequent ones stay and memory is bounded."""
 
-    def __init__(self, bpe: words.WordBpe, limit: int = 300_000):
+    def __init__(self, vocabulary: str, bpe: words.WordBpe, limit: int = 300_000):
         super().__init__()
-        self.bpe, self.limit, self.older = bpe, limit, {}
+        with open(vocabulary, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
+        # without a cache of its own: what comes here has not been seen
+        self.model = BPE(vocab=bpe.vocab, merges=pairs, end_of_word_suffix=bpe.end, cache_capacity=0)
+        self.written = [words.packed([i]) for i in range(max(bpe.vocab.values(), default=0) + 1)]
+        self.pieces, self.limit, self.older = bpe.near.findall, limit, {}
+
+    def _word(self, word: str) -> bytes:
+        written = self.written
+        return b"".join([written[t.id] for t in self.model.tokenize(words.byte_mapped(word))])
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
             if chunk.isalpha():
-                ids = self.bpe._encode_word(chunk)
+                ids = self._word(chunk)
             elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
                 ids = self[chunk[:-1]] + self[chunk[-1]]
             else:
-                ids = b"".join(map(self.bpe._encode_word, self.bpe.near.findall(chunk)))
+                ids = b"".join(map(self._word, self.pieces(chunk)))
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -59,9 +71,18 @@ class _Chunks(dict):
 class _Encoder:
     """Ids by way of chunks between white space, which the vocabulary never joins."""
 
+    _loaded: dict[str, "_Encoder"] = {}
+
     def __init__(self, vocabulary: str):
         self.bpe = words.load(vocabulary)
-        self.chunk_ids = _Chunks(self.bpe).__getitem__
+        self.chunk_ids = _Chunks(vocabulary, self.bpe).__getitem__
+
+    @classmethod
+    def load(cls, vocabulary: str) -> "_Encoder":
+        """One instance per Python worker and file."""
+        if vocabulary not in cls._loaded:
+            cls._loaded[vocabulary] = cls(vocabulary)
+        return cls._loaded[vocabulary]
 
     def encode(self, text: str) -> bytes:
         if not self.bpe._plain(text) or any(c in text for c in _OTHER_SPACES):
@@ -78,7 +99,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(vocabulary)
+        encoder = _Encoder.load(vocabulary)
         width = _width(max(encoder.bpe.vocab.values()) if encoder.bpe.vocab else 0, end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_STEP):
