@@ -17,8 +17,11 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string"
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def library_ids(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [2]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def check(rows, docs, size):
