@@ -1,6 +1,7 @@
 """Governance, geo, feature and report operators on small literal tables."""
 
 import math
+import random
 
 import pytest
 from conftest import rows
@@ -182,3 +183,15 @@ def test_classes_are_compared_on_held_out_rows(spark, data):
     scored = scored_documents(spark, data)
     assert scored.columns == ["doc_id", "split", "quality", "prediction"]
     assert scored.filter("prediction IS NULL").count() == 0 and scored.count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
+def test_f1_by_part_equals_the_evaluator(spark):
+    from weir.operators import models
+
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), float(rng.randint(0, 2)), float(rng.randint(0, 2))) for _ in range(80)] + [("a", None, 1.0), ("c", None, 1.0)]
+    frame = spark.createDataFrame(data, "part string, label double, prediction double")
+    got = {r.part: r.f1 for r in models.f1_by_part(frame, "part", "label", "prediction").collect()}
+    assert got.keys() == {"a", "b"}
+    for part in "ab":
+        assert abs(got[part] - models.f1(frame.filter(f"part = '{part}' AND label IS NOT NULL"), "label")) < 1e-9

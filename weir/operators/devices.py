@@ -44,15 +44,16 @@ def client_totals(stats: DataFrame) -> DataFrame:
 
 
 def table_status(readings: DataFrame) -> DataFrame:
-    """Row count, device count, size estimate and the newest record."""
-    return readings.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.countDistinct("client_id").alias("unique_clients"),
-        F.max(F.struct("timestamp", "client_id")).alias("_last"),
+    """Row count, device count, size estimate and the newest record; of several devices with it the
+    greatest id.  The readings go through one hash aggregate per device, the rest works on its rows."""
+    per = readings.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last"))
+    return per.agg(
+        F.sum("n").alias("total_records"), F.count("client_id").alias("unique_clients"),
+        F.max(F.struct("last", "client_id")).alias("_last"),
     ).select(
-        "total_records", "unique_clients",
-        F.round(F.col("total_records") * BYTES_PER_READING / (1024 * 1024), 2).alias("size_mb"),
-        F.col("_last.timestamp").alias("latest_at"), F.col("_last.client_id").alias("latest_client"))
+        F.coalesce("total_records", F.lit(0)).alias("total_records"), "unique_clients",
+        F.round(F.coalesce("total_records", F.lit(0)) * BYTES_PER_READING / (1024 * 1024), 2).alias("size_mb"),
+        F.col("_last.last").alias("latest_at"), F.col("_last.client_id").alias("latest_client"))
 
 
 def trace(readings: DataFrame, client_id=None) -> DataFrame:

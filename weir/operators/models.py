@@ -51,5 +51,19 @@ def squared_error(scored: DataFrame, target: str) -> float:
     return RegressionEvaluator(labelCol=target, metricName="mse").evaluate(scored)
 
 
+def f1_by_part(scored: DataFrame, part: str, target: str, guess: str, alias: str = "f1") -> DataFrame:
+    """Per part the F1 of ``guess``, classes weighted by their labelled rows; NULL without labelled rows.
+
+    One aggregate counts the pairs of label and guess; what follows works on those few rows.
+    """
+    pairs = scored.filter(F.col(target).isNotNull()).groupBy(part, target, guess).agg(F.count(F.lit(1)).alias("n"))
+    classes = pairs.select(part, F.explode(F.array(
+        F.struct(F.col(target).alias("c"), F.col("n").alias("held"), F.lit(0).alias("said"), F.when(F.col(target) == F.col(guess), F.col("n")).otherwise(0).alias("both")),
+        F.struct(F.col(guess).alias("c"), F.lit(0).alias("held"), F.col("n").alias("said"), F.lit(0).alias("both")))).alias("x")).groupBy(
+        part, "x.c").agg(*[F.sum(f"x.{k}").alias(k) for k in ("held", "said", "both")])
+    return classes.groupBy(part).agg((
+        F.sum(F.col("held") * 2 * F.col("both") / (F.col("held") + F.col("said"))) / F.sum("held")).alias(alias))
+
+
 def f1(scored: DataFrame, target: str) -> float:
     return MulticlassClassificationEvaluator(labelCol=target, metricName="f1").evaluate(scored)

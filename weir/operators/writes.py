@@ -13,6 +13,11 @@ def replace_table(df: DataFrame, name: str, bucket_by: str | None = None, bucket
     writer.saveAsTable(name)
 
 
+def load_csv(spark: SparkSession, path: str, name: str, header: bool = True) -> None:
+    """Replace a catalog table, schema included, by CSV files with inferred types."""
+    replace_table(spark.read.option("header", header).option("inferSchema", True).csv(path), name)
+
+
 def append_table(df: DataFrame, name: str) -> None:
     """Append to a catalog table; columns it does not have yet are added, those ``df`` lacks are NULL."""
     spark = df.sparkSession

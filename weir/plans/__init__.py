@@ -5,7 +5,7 @@ from importlib import import_module
 MODULES = (
     "bakery", "loans", "rides", "wealth", "bookings", "rules", "changes", "activity", "telemetry",
     "flights", "latencies", "notices", "messages", "documents", "vectors", "people", "lookups",
-    "scalars", "features", "ingest", "streams", "feeds", "models",
+    "scalars", "features", "ingest", "streams", "feeds", "modes", "models",
 )
 
 

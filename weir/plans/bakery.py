@@ -8,6 +8,7 @@ from weir.functions.numbers import cents, total_amount
 from weir.operators.aggregates import busiest, histogram, mean_of_group_sums, share_of_total
 from weir.operators.quality import Rule, clean
 from weir.registry import query
+from weir.session import pinned
 from weir.tables import load
 
 FLAGSHIP_RULES = [
@@ -84,10 +85,11 @@ def sales_stats(spark, d) -> DataFrame:
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey")
     part = load(spark, d, "part").select("p_partkey", "p_name")
     sold = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    # a grouping per distinct count instead of one that triples the lines; names come last
-    by_customer = sold.groupBy("l_partkey", "o_custkey").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("units"), F.sum(cents(F.col("l_extendedprice"))).alias("cents"))
-    by_shop = sold.select("l_partkey", "l_suppkey").distinct()
+    # joined once and stored by part, customer and shop; both distinct counts start from there, names come last
+    base = pinned(sold.groupBy("l_partkey", "o_custkey", "l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("units"), F.sum(cents(F.col("l_extendedprice"))).alias("cents")), "sold")
+    by_customer = base.groupBy("l_partkey", "o_custkey").agg(*[F.sum(c).alias(c) for c in ("n", "units", "cents")])
+    by_shop = base.select("l_partkey", "l_suppkey").distinct()
     named = lambda rows: rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
     customers = named(by_customer).groupBy("p_name", "o_custkey").agg(*[F.sum(c).alias(c) for c in ("n", "units", "cents")])
     totals = customers.groupBy(F.col("p_name").alias("product")).agg(

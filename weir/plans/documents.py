@@ -77,6 +77,19 @@ def event_classes(spark, d) -> DataFrame:
     return labelled.groupBy("event_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+PRODUCT_KINDS = {"fastener": ["bolt", "rod"], "machine part": ["gear", "widget"], "forging": ["anvil", "plate"], "jewellery": ["ring"]}
+
+
+@query("product_kinds", f"""
+  SELECT p_partkey AS product_id, CASE {' '.join(
+      f"WHEN list_has_any(string_split(p_name, ' '), [{', '.join(map(repr, ws))}]) THEN '{k}'" for k, ws in PRODUCT_KINDS.items())}
+    ELSE 'other' END AS kind FROM part""")
+def product_kinds(spark, d) -> DataFrame:
+    """One of five kinds for the name of every product."""
+    names = load(spark, d, "part").select(F.col("p_partkey").alias("product_id"), "p_name")
+    return lexicon_classify(names, "p_name", PRODUCT_KINDS, alias="kind").drop("p_name")
+
+
 @query("lexicon_sentiment", f"""
   WITH s AS (SELECT conv_id, turn, CAST({_COUNT(SENTIMENT['positive'])} - {_COUNT(SENTIMENT['negative'])} AS INTEGER) AS sentiment_score FROM conversations)
   SELECT *, CASE WHEN sentiment_score > 0 THEN 'positive' WHEN sentiment_score < 0 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")

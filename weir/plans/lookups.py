@@ -50,15 +50,17 @@ TERMS = ["ring", "Widget", "blue", "no such thing"]
 def product_lookup(spark, d, requests=TERMS) -> DataFrame:
     """The first product whose name contains each requested term.
 
-    The few terms travel inside the expression: each product lists the terms it answers, and
-    one combined aggregate keeps the smallest product per term.
+    The few terms travel inside the expression: each product lists the terms it answers, a hash
+    aggregate keeps the smallest number per term, and only those products are fetched.
     """
-    asked = F.array(*[F.lit(r) for r in requests])
-    hits = catalog(spark, d).withColumn("request", F.explode(F.filter(asked, lambda r: F.contains(F.lower("product_name"), F.lower(r)))))
+    asked, products = F.array(*[F.lit(r) for r in requests]), catalog(spark, d)
+    hits = products.select("product_id", F.explode(F.filter(
+        asked, lambda r: F.contains(F.lower("product_name"), F.lower(r)))).alias("request"))
+    first = hits.groupBy("request").agg(F.min("product_id").alias("product_id"))
     answer = F.concat_ws(
         "\n", F.concat(F.lit("Product: "), "product_name"), F.concat(F.lit("Category: "), "category"),
         F.concat(F.lit("Price: $"), "price"), F.concat(F.lit("Availability: "), "availability"))
-    return hits.groupBy("request").agg(F.min(F.struct("product_id", answer.alias("answer"))).alias("m")).select("request", "m.answer")
+    return products.join(first, "product_id").select("request", answer.alias("answer"))
 
 
 @query("order_status", """

@@ -61,21 +61,26 @@ def scored_documents(spark, d) -> DataFrame:
 
 def class_report(scored: DataFrame) -> DataFrame:
     """Per part of ``scored(split, quality, prediction)``: rows, scored rows, and whether the model is
-    right at least as often as the commoner class of the training part.  A part without labels holds nothing
-    against it."""
+    right at least as often as the commoner class of the training part, and has at least its F1.  A part
+    without labels holds nothing against it."""
     base = scored.filter("split = 'train'").agg(F.round(F.avg("quality")).alias("base"))
     right = lambda guess: F.avg((F.col("quality") == F.col(guess)).cast("double"))
-    return scored.crossJoin(F.broadcast(base)).groupBy("split").agg(
+    both = scored.crossJoin(F.broadcast(base))
+    report = both.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("scored"),
         F.coalesce(right("prediction") >= right("base"), F.count("quality") == 0).alias("no_worse_than_constant"))
+    f1s = models.f1_by_part(both, "split", "quality", "prediction").join(
+        models.f1_by_part(both, "split", "quality", "base", "base_f1"), "split")
+    better = F.coalesce(F.col("f1") >= F.col("base_f1"), F.lit(True)).alias("f1_no_worse")
+    return report.join(f1s, "split", "left").select(*report.columns, better)
 
 
 @query("gbt_classify", f"""
-  SELECT 'quality' AS model, split, count(*) AS rows, count(*) AS scored, true AS no_worse_than_constant FROM (
+  SELECT 'quality' AS model, split, count(*) AS rows, count(*) AS scored, true AS no_worse_than_constant, true AS f1_no_worse FROM (
     SELECT CASE WHEN quality IS NULL THEN 'unlabelled' ELSE {_SPLIT} END AS split FROM (
       SELECT quality, {_MD5.format("CAST(d.doc_id AS VARCHAR)")} AS b FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)) GROUP BY split""")
 def classify(spark, d) -> DataFrame:
     """Document quality: every document scored once (``scored_documents``), compared with the commoner
     class of the training part on every part that has labels."""
     scored = pinned(scored_documents(spark, d), "scored")
-    return class_report(scored).select(F.lit("quality").alias("model"), "split", "rows", "scored", "no_worse_than_constant")
+    return class_report(scored).select(F.lit("quality").alias("model"), "split", "rows", "scored", "no_worse_than_constant", "f1_no_worse")

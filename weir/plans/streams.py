@@ -12,7 +12,7 @@ from weir.registry import ORACLES, query
 from weir.session import shared_dir
 from weir.streaming import latency, sinks
 from weir.streaming.monitor import monitor_stream, monitor_table
-from weir.streaming.tables import append_new, full_refresh, read_scd1, read_sums, stream_scd1, stream_sums, update_table
+from weir.streaming.tables import append_new, compact, full_refresh, read_scd1, read_sums, stream_scd1, stream_sums, update_table
 from weir.streaming.windows import sliding_stats
 from weir.tables import load, with_instant
 
@@ -81,6 +81,20 @@ def streamed_sums(spark, d) -> DataFrame:
     return read_sums(spark, f"{work}/table", ["o_custkey"], ["cents"])
 
 
+@query("stream_sums_compacted", ORACLES["incremental_agg"])
+def streamed_sums_compacted(spark, d) -> DataFrame:
+    """The same with the batches of the first run folded into one, to which the second run adds its own."""
+    orders = load(spark, d, "orders").select("o_custkey", "o_orderstatus", cents(F.col("o_totalprice")).alias("cents"))
+    work, first = shared_dir(spark, "folded"), F.col("o_orderstatus") == "F"
+    read = lambda: spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/landing")
+    orders.filter(first).repartition(3).write.parquet(f"{work}/landing")
+    stream_sums(read(), f"{work}/batches", ["o_custkey"], ["cents"], f"{work}/checkpoint").awaitTermination()
+    compact(read_sums(spark, f"{work}/batches", ["o_custkey"], ["cents"]), f"{work}/table")
+    orders.filter(~first).coalesce(1).write.mode("append").parquet(f"{work}/landing")
+    stream_sums(read(), f"{work}/table", ["o_custkey"], ["cents"], f"{work}/checkpoint").awaitTermination()
+    return read_sums(spark, f"{work}/table", ["o_custkey"], ["cents"])
+
+
 @query("stream_net_worth", """
   SELECT o_custkey AS customer_id, CAST(sum(floor(o_totalprice)) AS DOUBLE) AS total_net_worth FROM orders GROUP BY 1""")
 def streamed_worth(spark, d) -> DataFrame:

@@ -64,20 +64,27 @@ def wealth_segment(worth):
     return label.otherwise(WEALTH_OTHERS)
 
 
+# --- fixed values: limits and shares of the offers ------------------------------------------
+RICH = 500_000
+REVENUE_SHARE = 0.015
+LEAST_CASH, LEAST_WORTH = 2_000, 5_000
+INVEST_SHARE, FREE_SHARE = 0.3, 0.1
+
+
 @query("net_worth_segments", f"""
   SELECT nw.customer_id, total_net_worth,
     CASE {' '.join(f"WHEN total_net_worth > {least} THEN '{label}'" for least, label in WEALTH_SEGMENTS)} ELSE '{WEALTH_OTHERS}' END AS wealth_segment,
-    round(total_net_worth * CAST(0.015 AS DOUBLE), 0) AS revenue_opportunity, c.c_mktsegment AS campaign_name
+    round(total_net_worth * CAST({REVENUE_SHARE} AS DOUBLE), 0) AS revenue_opportunity, c.c_mktsegment AS campaign_name
   FROM ({_NW}) nw LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) b ON nw.customer_id = b.c_custkey
   LEFT JOIN customer c ON nw.customer_id = c.c_custkey
-  WHERE b.c_custkey IS NULL AND total_net_worth > 500000""")
+  WHERE b.c_custkey IS NULL AND total_net_worth > {RICH}""")
 def investment_only(spark, d) -> DataFrame:
     """Investors who do not bank here (anti join), with the campaigns they are in."""
-    rich = net_worth_of(portfolio(spark, d)).filter("total_net_worth > 500000")
+    rich = net_worth_of(portfolio(spark, d)).filter(F.col("total_net_worth") > RICH)
     prospects = rich.join(bank_customers(spark, d), "customer_id", "left_anti")
     return one_to_many(prospects, campaigns(spark, d), ["customer_id"]).select(
         "customer_id", "total_net_worth", wealth_segment(F.col("total_net_worth")).alias("wealth_segment"),
-        F.round(F.col("total_net_worth") * 0.015, 0).alias("revenue_opportunity"), "campaign_name")
+        F.round(F.col("total_net_worth") * REVENUE_SHARE, 0).alias("revenue_opportunity"), "campaign_name")
 
 
 CASH_HEAVY, CASH_POOR = 0.006, 0.004      # cash to investments, fitted to the order prices
@@ -94,19 +101,19 @@ BALANCED_ADVICE = "Balanced Portfolio"
     CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN '{CASH_HEAVY_ADVICE}'
          WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN '{CASH_POOR_ADVICE}'
          ELSE '{BALANCED_ADVICE}' END AS recommendation,
-    CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN sum(avg_amount) * CAST(0.3 AS DOUBLE)
-         WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN round(sum(total_net_worth), 2) * CAST(0.1 AS DOUBLE)
+    CASE WHEN sum(avg_amount) > sum(total_net_worth) * CAST({CASH_HEAVY} AS DOUBLE) THEN sum(avg_amount) * CAST({INVEST_SHARE} AS DOUBLE)
+         WHEN sum(avg_amount) < sum(total_net_worth) * CAST({CASH_POOR} AS DOUBLE) THEN round(sum(total_net_worth), 2) * CAST({FREE_SHARE} AS DOUBLE)
          ELSE 0 END AS suggested_amount, c_mktsegment AS campaign_name
   FROM ({_BANK}) b JOIN ({_NW}) nw ON b.customer_id = nw.customer_id JOIN customer c ON b.customer_id = c.c_custkey
-  WHERE avg_amount > 2000 AND total_net_worth > 5000 GROUP BY b.customer_id, c_mktsegment""")
+  WHERE avg_amount > {LEAST_CASH} AND total_net_worth > {LEAST_WORTH} GROUP BY b.customer_id, c_mktsegment""")
 def rebalancing(spark, d) -> DataFrame:
     """Cash against investments per customer and campaign.
 
     Both summaries are keyed by customer, so one shuffle of the orders per summary is all
     that the joins and the final grouping need.
     """
-    cash = bank_summary(spark, d).filter("avg_amount > 2000").select("customer_id", "avg_amount")
-    worth = net_worth_of(portfolio(spark, d)).filter("total_net_worth > 5000")
+    cash = bank_summary(spark, d).filter(F.col("avg_amount") > LEAST_CASH).select("customer_id", "avg_amount")
+    worth = net_worth_of(portfolio(spark, d)).filter(F.col("total_net_worth") > LEAST_WORTH)
     both = cash.join(worth, "customer_id").join(campaigns(spark, d), "customer_id")
     per = both.groupBy("customer_id", "campaign_name").agg(
         F.sum("avg_amount").alias("_cash"), F.sum("total_net_worth").alias("_inv"))
@@ -115,7 +122,7 @@ def rebalancing(spark, d) -> DataFrame:
         "customer_id", F.col("_cash").alias("cash_position"), F.round("_inv", 2).alias("investment_position"),
         F.round(F.col("_cash") / (F.col("_cash") + F.col("_inv")) * 100, 1).alias("cash_percentage"),
         F.when(heavy, CASH_HEAVY_ADVICE).when(poor, CASH_POOR_ADVICE).otherwise(BALANCED_ADVICE).alias("recommendation"),
-        F.when(heavy, F.col("_cash") * 0.3).when(poor, F.round("_inv", 2) * 0.1).otherwise(0.0).alias("suggested_amount"),
+        F.when(heavy, F.col("_cash") * INVEST_SHARE).when(poor, F.round("_inv", 2) * FREE_SHARE).otherwise(0.0).alias("suggested_amount"),
         "campaign_name")
 
 

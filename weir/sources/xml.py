@@ -55,3 +55,13 @@ def xml_view(spark: SparkSession, name: str, path: str, row_tag: str) -> DataFra
 
 def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
     df.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
+
+
+def parsed_like_first(df: DataFrame, column: str) -> DataFrame:
+    """``column`` of XML texts as a struct.  The schema is that of one of the texts, the least one; texts
+    without one of its elements give NULL there.  One text comes to the driver; without any nothing is parsed."""
+    sample = df.agg(F.min(column)).first()[0]
+    if sample is None:
+        return df
+    schema = df.sparkSession.range(1).select(F.schema_of_xml(F.lit(sample))).first()[0]
+    return df.withColumn(column, F.from_xml(column, schema))

@@ -26,6 +26,11 @@ def trigger_options(kind: str, interval: str = "0 seconds") -> dict:
     raise ValueError(f"unknown trigger {kind!r}")
 
 
+def flow_checkpoint(folder: str, flow: str, mode: str) -> str:
+    """The checkpoint of one flow in one mode, so that no two queries share state."""
+    return f"{folder}/checkpoints/{flow}/{mode}"
+
+
 def start(
     stream: DataFrame, fmt: str, checkpoint: str, mode: str = "append", trigger: dict | None = None,
     name: str | None = None, **options: str,
