@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weir.llm.common import per_text, pinned, text_or_empty
 from weir.llm.words import Memo
+from weir.llm.workers import give_back, make_room
 
 SAMPLE = 20_000                # labelled rows the model is fitted on, at most
 CANDIDATES = 20_000            # features of toxic texts that are looked at, at most
@@ -209,6 +210,7 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     no feature and are decided as such.  Columns may have any names.  An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         number = {f: i for i, f in enumerate(model.names)}
         parts = Memo(lambda w: tuple(number[f] for f in features_of(w) if f in number), 100_000)
         for batch in batches:
@@ -219,6 +221,7 @@ def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 x[list(counts)] = np.log1p(list(counts.values()))
                 keep.append(model.probabilities(x)[0] < rate)
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     at = docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
