@@ -313,10 +313,9 @@ def test_full_refresh_replaces(spark, tmp_path):
 def test_joined_streams_let_go_of_what_is_over(spark, tmp_path):
     from weir.streaming.pairs import bounded_join
 
-    at = lambda day: F.timestamp_seconds(F.lit(day * 86_400))
     sizes = []
     for run in range(3):
-        days = spark.range(run * 20, run * 20 + 20).withColumn("t", F.timestamp_seconds(F.col("id") * 86_400))
+        days = spark.range(run * 20, run * 20 + 20).withColumn("t", F.timestamp_seconds((F.col("id") + 1) * 86_400))
         days.select(F.col("id").alias("k"), "t").write.mode("append").parquet(str(tmp_path / "l"))
         days.filter("id % 2 = 0").select(F.col("id").alias("k"), "t", F.lit(1).alias("x")).write.mode("append").parquet(str(tmp_path / "r"))
         left = spark.readStream.schema("k long, t timestamp").parquet(str(tmp_path / "l"))
@@ -336,8 +335,8 @@ def test_copies_are_taken_once_and_leave_the_state(spark, tmp_path):
 
     sizes = []
     for run in range(3):
-        days = spark.range(run * 20, run * 20 + 20).withColumn("t", F.timestamp_seconds(F.col("id") * 86_400))
-        copies = days.unionAll(spark.range(max(0, run * 20 - 5), run * 20).withColumn("t", F.timestamp_seconds(F.col("id") * 86_400)))
+        days = spark.range(run * 20, run * 20 + 20).withColumn("t", F.timestamp_seconds((F.col("id") + 1) * 86_400))
+        copies = days.unionAll(spark.range(max(0, run * 20 - 5), run * 20).withColumn("t", F.timestamp_seconds((F.col("id") + 1) * 86_400)))
         copies.unionAll(copies).write.mode("append").parquet(str(tmp_path / "l"))
         stream = spark.readStream.schema("id long, t timestamp").parquet(str(tmp_path / "l"))
         q = sinks.start(first_of_copies(stream, ["id"], "t", "10 days"), "parquet", str(tmp_path / "c"), path=str(tmp_path / "out"))
