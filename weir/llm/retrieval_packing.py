@@ -75,6 +75,8 @@ class _Encoder:
 
     def __init__(self, vocabulary: str):
         self.bpe = words.load(vocabulary)
+        #: the greatest id, special tokens in a text included
+        self.greatest = max([0, *self.bpe.vocab.values(), *self.bpe.specials.values()])
         self.chunk_ids = _Chunks(vocabulary, self.bpe).__getitem__
 
     @classmethod
@@ -95,22 +97,34 @@ def _arrow(schema: str) -> pa.Schema:
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ids of every text and ``end_id`` behind them, two bytes each where they fit (``tokens``)."""
+    """The ids of every text and ``end_id`` behind them, ``width`` bytes each, two where they fit
+    (``tokens``).  A task's last row, of width 0, holds how many of its texts have each term."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder.load(vocabulary)
-        width = _width(max(encoder.bpe.vocab.values()) if encoder.bpe.vocab else 0, end_id)
+        width = _width(encoder.greatest, end_id)
+        names = ["id", "tokens", "width"]
+        seen, texts, total = np.zeros(encoder.greatest + 1, dtype=np.int64), 0, 0
+        id_type = id_kind
         for batch in batches:
+            id_type = batch.column(0).type
             for at in range(0, batch.num_rows, ROWS_PER_STEP):
-                part = batch.slice(at, ROWS_PER_STEP)
-                ids = [np.frombuffer(encoder.encode(t), "<u4") for t in part.column(1).to_pylist()]
-                tokens = [np.append(x, end_id).astype(f"<u{width}").tobytes() for x in ids]
+                part, tokens = batch.slice(at, ROWS_PER_STEP), []
+                for text in part.column(1).to_pylist():
+                    ids = np.frombuffer(encoder.encode(text), "<u4").astype(f"<u{width}")
+                    seen[_terms(ids)[0]] += 1
+                    texts, total = texts + 1, total + len(ids)
+                    tokens.append(ids.tobytes() + int(end_id).to_bytes(width, "little"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(tokens, pa.binary()), pa.array([width] * len(ids), pa.int32())],
-                    names=["id", "tokens", "width"])
+                    [part.column(0), pa.array(tokens, pa.binary()), pa.array([width] * len(tokens), pa.int32())], names=names)
+        terms = np.flatnonzero(seen)
+        counts = np.concatenate([[_DOCS, _TOKENS], terms, [texts, total], seen[terms]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([counts], pa.binary()), pa.array([0], pa.int32())], names=names)
 
-    return docs.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, tokens binary, width int")
+    chosen = docs.select(F.col(id_col), text_or_empty(text_col))
+    id_kind = _arrow(f"id {kind}")[0].type
+    return chosen.mapInArrow(run, f"id {kind}, tokens binary, width int")
 
 
 def _width(*largest: int) -> int:
@@ -131,26 +145,18 @@ def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _document_counts(stored: DataFrame) -> DataFrame:
-    """In how many documents each term stands, and how many documents and tokens there are: every task
-    adds up its own, a row per term goes to the shuffle."""
+    """In how many documents each term stands, and how many documents and tokens there are, from the
+    tasks' own counts."""
     schema = _arrow("term int, docs long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, docs, total = np.zeros(1 << 16, dtype=np.int64), 0, 0
         for batch in batches:
-            for tokens, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = _ids(tokens, width)[:-1]
-                docs, total = docs + 1, total + len(ids)
-                terms, _ = _terms(ids)
-                if len(terms) and terms[-1] >= len(seen):
-                    seen = np.concatenate([seen, np.zeros(int(terms[-1]) + 1, dtype=np.int64)])
-                seen[terms] += 1
-        terms = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([[_DOCS, _TOKENS], terms]), pa.int32()),
-             pa.array(np.concatenate([[docs, total], seen[terms]]), pa.int64())], schema=schema)
+            for counts in batch.column(0).to_pylist():
+                terms, docs = np.frombuffer(counts, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(docs)], schema=schema)
 
-    return stored.select("tokens", "width").mapInArrow(run, "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    own = stored.filter("width = 0").select("tokens").mapInArrow(run, "term int, docs long")
+    return own.groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 class Statistics:
@@ -197,7 +203,7 @@ def _with_leads(stored: DataFrame, statistics: Statistics) -> DataFrame:
                 [*batch.columns, pa.array([a for a, _ in leads], pa.int32()), pa.array([b for _, b in leads], pa.int32())],
                 names=["id", "tokens", "width", "lead", "second"])
 
-    return stored.mapInArrow(run, schema)
+    return stored.filter("width > 0").mapInArrow(run, schema)
 
 
 class Shard:
