@@ -107,3 +107,25 @@ def test_one_of_each_group_stays(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(table(spark, []), 4, 4).collect() == []
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    from weir.llm import components as c
+    from weir.llm.common import pinned
+
+    docs = table(spark, [(i, f"a{i % 10} b c d{i % 7} e") for i in range(200)])
+    fps = pinned(spark.range(300).selectExpr("id AS fp"), "few")
+    edges = pinned(spark.range(300).selectExpr("id + 1 AS a", "id AS b"), "links")
+    for df in (near_links(fps, 4), near_links(fps, 4, crowded=5), near_duplicates(docs, 4, 4), c._large_star(edges),
+               c._small_star(edges), first_of_each(docs, 4, 4, short_list=0)):
+        assert "Join" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_long_and_short_lists_leave_the_same_documents(spark):
+    docs = table(spark, sample())
+    kept = [sorted(r.doc_id or -1 for r in first_of_each(docs, 4, 4, short_list=n).collect()) for n in (0, 1_000)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()

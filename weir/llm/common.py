@@ -18,6 +18,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """For a join with a table that grows with the corpus: never gathered on the driver to be broadcast,
+    however small its file is (hash tables of numbers take ten times the room of their Parquet file)."""
+    return df.hint("merge")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).alias(column)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.common import pinned
+from weir.llm.common import pinned, shuffled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating stars: each node hands its larger neighbours to its smallest one, then its smaller
     neighbours.  A round is two aggregates with map-side combine and two joins, whose hot nodes
-    adaptive execution splits; only one digest row comes to the driver.  Each round is written to the
+    adaptive execution splits; only one digest row comes to the driver, and no side of a join is broadcast.  Each round is written to the
     shared folder, so lost executors cost no more than the round.  NULL ends and self-links are left out.
     """
     edges = pinned(_ordered(links), "links")
@@ -41,11 +41,11 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
     larger = edges.select(F.col("b").alias("a"), F.col("a").alias("v"))     # neighbours above a node
-    return larger.join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return larger.join(shuffled(least), "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     edges = edges.distinct()
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(shuffled(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _ordered(moved.union(least.select("a", F.col("m").alias("b"))))

@@ -8,13 +8,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weir.llm.common import per_text, pinned
+from weir.llm.common import per_text, pinned, shuffled
 from weir.llm.components import components
 
 BITS = 64
 SEGMENTS = 3
 CROWDED = 1_000                # distinct fingerprints of one segment value beyond which pairs are not compared
 _STEP = 1 << 14                # shingles hashed at a time
+SHORT_LIST = 500_000           # ids that may be sent to the texts instead of the texts to them
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -92,11 +93,11 @@ def near_links(fps: DataFrame, max_bits: int, segments: int = SEGMENTS, crowded:
     probes = fps.select("fp", F.explode(F.flatten(F.array(*asked))).alias("key"))
     full = pinned(table.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "crowded")
     apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    pairs = probes.alias("x").join(table.join(full, "key", "left_anti").alias("y"), "key").filter(
+    pairs = probes.alias("x").join(shuffled(table.join(shuffled(full), "key", "left_anti")).alias("y"), "key").filter(
         (F.col("x.fp") < F.col("y.fp")) & (apart <= max_bits)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     if full.isEmpty():
         return pairs
-    asking = probes.join(full, "key", "left_semi").select("fp").distinct()
+    asking = probes.join(shuffled(full), "key", "left_semi").select("fp").distinct()
     return pairs.union(_through_middles(asking, max_bits))
 
 
@@ -124,21 +125,24 @@ def near_duplicates(docs: DataFrame, shingle: int, max_bits: int, id_col: str =
     fps = pinned(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = pinned(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     found = pinned(components(near_links(distinct.select("fp"), max_bits, segments, crowded)), "components")
-    labelled = distinct.join(found, distinct["fp"] == found["node"], "left").select(
+    labelled = distinct.join(shuffled(found), distinct["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = pinned(labelled.join(smallest, "component").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select(
+    classes = pinned(labelled.join(shuffled(smallest), "component").select("fp", "component_id"), "classes")
+    return fps.join(shuffled(classes), "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, shingle: int, max_bits: int, id_col: str = "doc_id", text_col: str = "text",
+                  short_list: int = SHORT_LIST) -> DataFrame:
     """``docs`` without the documents that have a near-duplicate of smaller id, all columns kept.
 
     The document with the group's smallest id stays; rows without an id cannot be named and stay.  The
-    ids that go are stored first: they are far fewer than those that stay, so a short list is sent to
-    the texts, and texts are shuffled only beyond that.
+    ids that go are stored first: they are far fewer than those that stay, so a list of at most
+    ``short_list`` may be sent to the texts, and texts are shuffled only beyond that.
     """
     marked = near_duplicates(docs, shingle, max_bits, id_col, text_col)
     gone = pinned(marked.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    if gone.count() > short_list:
+        gone = shuffled(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
