@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -54,3 +55,25 @@ def test_tells_labels_apart(spark):
 def test_no_labels_is_an_error(spark):
     with pytest.raises(ValueError):
         bayes.fit(spark.createDataFrame([(1, "a", None)], SCHEMA), "id", "text", "label")
+
+
+def test_only_uncommon_words_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(bayes, "COMMON", 2)
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("red red red blue blue green stone".split()) for _ in range(9)), rng.choice("ab")) for i in range(40)]
+    frame = spark.createDataFrame(texts, SCHEMA)
+    model = bayes.fit(frame, "id", "text", "label")
+    assert sorted(r.word for r in model.common.collect()) == ["blue", "red"]
+    found = model.classify(frame, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#\w+, word#", plan) and "SortMergeJoin [word#" in plan
+    assert {r.id: r.label for r in found.collect()} == brute(texts, texts)
+
+
+def test_rows_of_one_id_are_one_text_with_all_their_labels(spark):
+    rows = [(1, "red", "a"), (1, "blue", "b"), (2, "blue blue", "b"), (None, "green", "a"), (3, "stone", "a")]
+    model = bayes.fit(spark.createDataFrame(rows, SCHEMA), "id", "text", "label")
+    weights = {r.word: [round(math.exp(w)) - 1 for w in r.w] for r in model.weights.collect()}
+    assert weights == {"red": [1, 1], "blue": [1, 3], "stone": [1, 0]}
+    got = model.classify(spark.createDataFrame([*rows, (None, "stone", None)], SCHEMA), "id", "text").collect()
+    assert len({r.label for r in got if r.id == 1}) == 1 and len({r.label for r in got if r.id is None}) == 1 and len(got) == 6
