@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from weir.operators.cdc import END, START
 from weir.operators.latest import latest_rows, tie_number
 from weir.operators.ordered import next_in_order, null_safe_left_join
-from weir.session import folder_exists, remove_folder
+from weir.session import folder_exists, pinned, remove_folder
 from weir.streaming.sinks import to_batches
 
 _BATCH, _TIE, _NEW = "batch_no", "_tie", "_new"
@@ -44,13 +44,13 @@ class VersionTable:
         return latest_rows(rows, [*self.keys, self.seq], [_BATCH])
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """Take one batch of changes in."""
+        """Take one batch of changes in.  What several steps need is stored, so that each step is done once."""
         spark = changes.sparkSession
         tied = changes.filter(F.col(self.seq).isNotNull()).withColumn(_TIE, tie_number(changes, [*self.keys, self.seq]))
-        fresh = latest_rows(tied, [*self.keys, self.seq], [_TIE])
+        fresh = pinned(latest_rows(tied, [*self.keys, self.seq], [_TIE]), "fresh")
         touched = fresh.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys]).distinct()
         same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys]
-        known = self._versions(spark, batch_id).join(touched, same, "left_semi")
+        known = pinned(self._versions(spark, batch_id).join(touched, same, "left_semi"), "known")
         # a change that is known already, or beaten by one of the same place, is dropped
         names = [*self.keys, self.seq]
         rival = null_safe_left_join(fresh, known.select(*names, F.col(_TIE).alias("_rival")), names)
@@ -60,7 +60,7 @@ class VersionTable:
         kept = known.join(beaten, over, "left_anti").withColumn(_NEW, F.lit(False)).withColumnRenamed(END, "_was")
         both = kept.drop(_BATCH).unionByName(
             winning.withColumns({_NEW: F.lit(True), "_was": F.lit(None).cast(self.stored[END].dataType)}))
-        chained = next_in_order(both, self.keys, [self.seq], END)
+        chained = next_in_order(pinned(both, "versions"), self.keys, [self.seq], END)
         moved = chained.filter(F.col(_NEW) | ~F.col(END).eqNullSafe(F.col("_was")))
         moved.select(*self.columns, END, _TIE).write.mode("overwrite").parquet(f"{self.path}/{_BATCH}={batch_id}")
 

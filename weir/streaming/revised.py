@@ -47,27 +47,30 @@ class RevisedTotals:
         rows = spark.read.schema(schema).parquet(folder)
         return rows if before is None else rows.filter(F.col(_BATCH) < before)
 
-    def _write(self, rows: DataFrame, part: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{part}/{_BATCH}={batch_id}")
+    def _write(self, rows: DataFrame, part: str, batch_id: int) -> DataFrame:
+        """Store a batch's rows of one part; what was stored."""
+        folder = f"{self.path}/{part}/{_BATCH}={batch_id}"
+        rows.write.mode("overwrite").parquet(folder)
+        return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
         spark = changes.sparkSession
         columns = [c for c in self.images.names if c != _BATCH]
         gone = F.coalesce(_GONE, F.lit(False)).alias(_GONE)
-        fresh = latest_rows(changes.select(*[c for c in columns if c != _GONE], gone), self.key, [self.seq])
+        # what several steps need is stored first: each is done once, and all start from the same rows
+        fresh = pinned(latest_rows(changes.select(*[c for c in columns if c != _GONE], gone), self.key, [self.seq]), "fresh")
         asked = fresh.select(*[F.col(k).alias(f"_k_{k}") for k in self.key])
         same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.key]
         before = self._stored(spark, "images", self.images, batch_id).join(asked, same, "left_semi")
-        old = latest_rows(before, self.key, [_BATCH]).drop(_BATCH)
+        old = pinned(latest_rows(before, self.key, [_BATCH]).drop(_BATCH), "old")
         seen = null_safe_left_join(fresh, old.select(*self.key, F.col(self.seq).alias("_seen")), self.key)
         newer = seen.filter(F.col("_seen").isNull() | (F.col("_seen") < F.col(self.seq))).drop("_seen")
-        # stored first: everything below starts from the same rows
-        images = pinned(newer, "images")
+        images = self._write(newer, "images", batch_id)
         replaced = old.join(images.select(*[F.col(k).alias(f"_k_{k}") for k in self.key]), same, "left_semi")
         signed = images.withColumn("n", F.lit(1)).unionByName(replaced.withColumn("n", F.lit(-1))).filter(~F.col(_GONE))
         moves = signed.groupBy(*self.by, F.col(self.value).cast("long").alias(self.value)).agg(
             F.sum("n").alias("n")).filter("n <> 0")
-        moves = pinned(moves, "moves")
+        moves = self._write(moves, "counts", batch_id)
         touched = moves.select(*self.by).distinct()
         alike = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in self.by]
         groups = touched.select(*[F.col(c).alias(f"_b_{c}") for c in self.by])
@@ -78,10 +81,8 @@ class RevisedTotals:
             F.sum("n").alias("rows"), F.sum(F.col("n") * v).alias("total"), F.min(v).alias("least"),
             F.max(v).alias("greatest"), F.count(v).alias("different"))
         results = null_safe_left_join(touched, again, self.by)
-        self._write(moves, "counts", batch_id)
         self._write(results.select(*self.by, F.coalesce("rows", F.lit(0)).alias("rows"), "total", "least", "greatest", "different"),
                     "results", batch_id)
-        self._write(images, "images", batch_id)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The groups that hold rows."""
