@@ -138,3 +138,10 @@ def test_texts_encoded_and_decoded(spark, tik):
     empty = hashlib.sha256(b"").hexdigest()
     assert tuple(digests) == (2, 0, empty, empty)
     assert byte_bpe.encode_texts(frame.limit(0), BYTES, public_tokenizers.PATTERN).collect() == []
+
+
+def test_encoding_leaves_the_counting_tables_out():
+    bpe = words.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    assert bpe.encode("Some words, 3 of them")
+    assert not {"inner", "named", "endings", "longest"} & bpe.__dict__.keys()
+    assert bpe.count("Some words, 3 of them") * 4 == len(bpe.encode("Some words, 3 of them"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weir.llm import words
 from weir.llm.common import ROWS_PER_STEP, pinned, text_or_empty
+from weir.llm.workers import give_back
 
 ROWS_PER_RANKING = 10_000      # pieces of one length that one task numbers
 
@@ -47,6 +48,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_co
                         pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(cuts), "<i4"), pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     return docs.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, schema)
 

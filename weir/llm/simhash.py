@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weir.llm.common import per_text, pinned, shuffled
+from weir.llm.workers import make_room
 from weir.llm.components import components
 
 BITS = 64
@@ -45,7 +46,12 @@ def fingerprint(text: str, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)`` of every document; row-local."""
-    return per_text(docs, [id_col], text_col, "fp long", lambda: lambda text: (fingerprint(text, shingle),))
+
+    def make():
+        make_room()
+        return lambda text: (fingerprint(text, shingle),)
+
+    return per_text(docs, [id_col], text_col, "fp long", make)
 
 
 def _plan(max_bits: int, segments: int) -> list[tuple[int, int, list[int]]]:

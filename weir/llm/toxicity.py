@@ -89,6 +89,7 @@ def _tally(sample: DataFrame, wanted: frozenset | None, contexts: bool) -> DataF
     """(feature, toxic, n): texts with a feature, or distinct neighbours that it stands between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         parts = Memo(lambda w: tuple(f for f in features_of(w) if wanted is None or f in wanted), 100_000)
         for batch in batches:
             found: Counter = Counter()

@@ -15,7 +15,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, cached_property
 from itertools import accumulate, pairwise
 
 import ahocorasick
@@ -104,6 +104,10 @@ class Starts(dict):
         return known
 
 
+def _merges(model: dict) -> list[tuple[str, ...]]:
+    return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+
+
 class WordBpe:
     """Ids and prefix counts of one vocabulary file, with bounded caches of words."""
 
@@ -111,25 +115,14 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         self.library = Tokenizer.from_file(path)
-        model, self.end = described["model"], described["model"]["end_of_word_suffix"]
+        self._path, model, self.end = path, described["model"], described["model"]["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        #: merges inside a word, and merges up to a word's end
-        self.inner = BPE(vocab=self.vocab, merges=pairs)
-        self.whole = BPE(vocab=self.vocab, merges=pairs, end_of_word_suffix=self.end)
-        #: tokens inside a word and at its end, by number from 1
-        self.named = ["", *self.vocab]
-        self.tokens = {t: i for i, t in enumerate(self.named) if i}
-        self.closed = {t.removesuffix(self.end): i for t, i in self.tokens.items() if t.endswith(self.end)}
-        self.endings = ahocorasick.Automaton()
-        for t in self.tokens.keys() | self.closed.keys():
-            self.endings.add_word(t, (len(t), self.tokens.get(t, 0), self.closed.get(t, 0)))
-        self.endings.make_automaton()
+        #: merges up to a word's end
+        self.whole = BPE(vocab=self.vocab, merges=_merges(model), end_of_word_suffix=self.end)
         splits = [p["pattern"]["Regex"] for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.near = near_pattern(splits[0])
         self.specials = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.tokens)
         self.starts = Starts()
         self.forms = Memo(self.library.normalizer.normalize_str, 100_000)
         self.far = re.compile("[İ̀-\U0010ffff]").search
@@ -139,6 +132,34 @@ class WordBpe:
         self._fit_open: dict[int, bool] = {}
         self._fit_closed: dict[int, bool] = {}
 
+    # tables for counting alone, built when a count is asked for
+
+    @cached_property
+    def inner(self) -> BPE:
+        """Merges inside a word."""
+        with open(self._path, encoding="utf-8") as f:
+            return BPE(vocab=self.vocab, merges=_merges(json.load(f)["model"]))
+
+    @cached_property
+    def named(self) -> list[str]:
+        """Tokens by number from 1."""
+        return ["", *self.vocab]
+
+    @cached_property
+    def endings(self) -> ahocorasick.Automaton:
+        """Every token with its length and its numbers inside a word and at its end."""
+        tokens = {t: i for i, t in enumerate(self.named) if i}
+        closed = {t.removesuffix(self.end): i for t, i in tokens.items() if t.endswith(self.end)}
+        found = ahocorasick.Automaton()
+        for t in tokens.keys() | closed.keys():
+            found.add_word(t, (len(t), tokens.get(t, 0), closed.get(t, 0)))
+        found.make_automaton()
+        return found
+
+    @cached_property
+    def longest(self) -> int:
+        return max(len(t.removesuffix(self.end)) for t in self.vocab)
+
     def _plain(self, text: str) -> bool:
         """Whether lower-casing is all that normalising does, letter by letter."""
         return not (("<|" in text and any(s in text for s in self.specials)) or not text.isascii() and self.far(text))
