@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 SEED = 42
+TASK_ROWS = 200_000            # training rows of one task, each some 150 bytes in memory
 
 
 def without_gaps(df: DataFrame, numeric: list[str], means: dict[str, float]) -> DataFrame:
@@ -22,6 +23,13 @@ def training_means(train: DataFrame, numeric: list[str]) -> dict[str, float]:
     return {c: row[c] if row[c] is not None else 0.0 for c in numeric}
 
 
+def in_tasks(train: DataFrame, columns: list[str], rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``columns`` of ``train``, dealt so that no task holds many more than ``task_rows`` of its ``rows``: a
+    fit keeps the rows of a task in memory as one block, which a split of a file may outgrow."""
+    train, tasks = train.select(*columns), -(-rows // task_rows)
+    return train if train.rdd.getNumPartitions() >= tasks else train.repartition(tasks)
+
+
 def fit_regressor(train: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 4) -> PipelineModel:
     assembled = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     model = GBTRegressor(labelCol=target, maxIter=trees, maxDepth=depth, seed=SEED)

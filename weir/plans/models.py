@@ -38,7 +38,8 @@ def forecast(spark, d) -> DataFrame:
     parts = hash_split(rows.withColumn("_k", F.concat_ws("|", *SERIES, "transaction_date")), "_k", {"train": 0.8, "test": 0.2})
     train = parts.filter("split = 'train'")
     means = models.training_means(train, cols)
-    model = models.fit_regressor(models.without_gaps(train, cols, means), cols, "target_units_sold")
+    dealt = models.in_tasks(models.without_gaps(train, cols, means), [*cols, "target_units_sold"], train.count())
+    model = models.fit_regressor(dealt, cols, "target_units_sold")
     scored = models.score(model, models.without_gaps(parts, cols, means))
     base = train.agg(F.avg("target_units_sold").alias("base"))
     return _report(scored, "split", "target_units_sold", base, "units").select("model", "split", "rows", "scored", "holds")
