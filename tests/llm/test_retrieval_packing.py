@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from weir.llm.retrieval_packing import B, K1, Shard, Statistics, _document_counts, encoded, pack_neighbours
+from weir.llm.retrieval_packing import B, K1, Shard, Statistics, _document_counts, _Encoder, encoded, pack_neighbours
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string"
@@ -126,3 +126,15 @@ def test_repeated_rows_and_hot_copies(spark):
 
 def test_empty_table(spark):
     assert pack_neighbours(spark.createDataFrame([], SCHEMA), PATH, 64, 2).collect() == []
+
+
+def test_chunks_met_before_are_not_encoded_again():
+    encoder = _Encoder(PATH)
+    chunks, asked = encoder.chunk_ids.__self__, Counter()
+    plain = chunks._word
+    chunks._word = lambda word: asked.update([word]) or plain(word)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in "aeiou"[:2])
+    first = encoder.encode(text)               # 900,000 different words
+    assert encoder.encode(text[:600]) == first[:len(encoder.encode(text[:600]))] and max(asked.values()) == 1
+    assert len(chunks) <= chunks.limit and len(chunks.older) <= chunks.limit

@@ -10,6 +10,7 @@ seed.  A task's last window is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import zlib
@@ -29,6 +30,7 @@ from weir.llm.common import ROWS_PER_STEP, pinned, text_or_empty
 K1, B = 1.2, 0.75
 TASK_TOKENS = 1 << 21           # tokens that one task packs
 SHARD_DOCS = 512                # documents of one shard of the index
+KNOWN_CHUNKS = 700_000         # chunks of each half of the table: some 350 MB in all
 _OTHER_SPACES = "\x1c\x1d\x1e\x1f"
 _DOCS, _TOKENS = -1, -2         # rows of the counts that are not terms
 
@@ -37,7 +39,7 @@ class _Chunks(dict):
     """The ids of chunks between white space.  When full it becomes the older half, whose chunks come back
     when they are asked for; so frequent ones stay and memory is bounded."""
 
-    def __init__(self, vocabulary: str, bpe: words.WordBpe, limit: int = 300_000):
+    def __init__(self, vocabulary: str, bpe: words.WordBpe, limit: int = KNOWN_CHUNKS):
         super().__init__()
         with open(vocabulary, encoding="utf-8") as f:
             merges = json.load(f)["model"]["merges"]
@@ -76,6 +78,8 @@ class _Encoder:
     def __init__(self, vocabulary: str):
         self.bpe = words.load(vocabulary)
         self.chunk_ids = _Chunks(vocabulary, self.bpe).__getitem__
+        # kept as long as the worker: collections of garbage need not look through the tables each time
+        gc.freeze()
 
     @classmethod
     def load(cls, vocabulary: str) -> "_Encoder":
