@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from weir.llm import retrieval_packing
 from weir.llm.retrieval_packing import B, K1, Shard, Statistics, _document_counts, _Encoder, encoded, pack_neighbours
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -138,3 +140,41 @@ def test_chunks_met_before_are_not_encoded_again():
     first = encoder.encode(text)               # 900,000 different words
     assert encoder.encode(text[:600]) == first[:len(encoder.encode(text[:600]))] and max(asked.values()) == 1
     assert len(chunks) <= chunks.limit and len(chunks.older) <= chunks.limit
+
+
+def test_a_step_looks_each_chunk_up_once():
+    encoder, asked = _Encoder(PATH), Counter()
+    plain = encoder.chunk_ids
+    encoder.chunk_ids = lambda chunk: asked.update([chunk]) or plain(chunk)
+    texts = ["The cat, the dog.\nThe end. ", "", "  the dog, the Dog", "10,000 cats&&& dogs&&&"] * 50
+    got = encoder.encode_all(pa.array(texts), 2, 2)
+    assert [np.frombuffer(t, "<u2").tolist() for t in got.to_pylist()] == [library_ids(t) for t in texts]
+    assert max(asked.values()) == 1
+
+
+def test_signs_behind_words_are_encoded_once():
+    chunks, asked = _Encoder(PATH).chunk_ids.__self__, Counter()
+    plain = chunks._word
+    chunks._word = lambda word: asked.update([word]) or plain(word)
+    for word in ("stone", "river", "cloud"):
+        assert chunks[word + "&&&"] == b"".join(struct.pack("<I", i) for i in library_ids(word + "&&&")[:-1])
+    assert asked["&&&"] == 1
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_every_sign_in_steps_of_any_size(monkeypatch, width):
+    """Texts with all kinds of letters, spaces and special tokens, beside each other and in steps of their own."""
+    signs = [chr(c) for c in range(1, 0x400)] + list("ẞÅ\u2003\u3000漢字😀") + ["<|endoftext|>", "<|", "\x1c", "don't", "'s"]
+    texts = [f"{s} a{s}b {s}{s} Cd{s}" for s in signs] + ["", " ", "plain words, here."]
+    want = [library_ids(t) for t in texts]
+    encoder = _Encoder(PATH)
+    for size in (1 << 24, 50):
+        monkeypatch.setattr(retrieval_packing, "STEP_BYTES", size)
+        column, out = pa.array(["cut off", *texts]).slice(1), []
+        for first, last in retrieval_packing._steps(column):
+            out += encoder.encode_all(column.slice(first, last - first), 2, width).to_pylist()
+        assert [np.frombuffer(t, f"<u{width}").tolist() for t in out] == want
+    assert list(retrieval_packing._steps(pa.array([], pa.string()))) == []
+    long = "word " * 1000
+    monkeypatch.setattr(retrieval_packing, "STEP_BYTES", 2000)
+    assert list(retrieval_packing._steps(pa.array(["a", long, "b", "c"]))) == [(0, 1), (1, 4)]

@@ -15,9 +15,11 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,13 +27,15 @@ from pyspark.sql.types import StructType
 from tokenizers.models import BPE
 
 from weir.llm import words
-from weir.llm.common import ROWS_PER_STEP, pinned, text_or_empty
+from weir.llm.common import pinned, text_or_empty
 
 K1, B = 1.2, 0.75
 TASK_TOKENS = 1 << 21           # tokens that one task packs
 SHARD_DOCS = 512                # documents of one shard of the index
 KNOWN_CHUNKS = 700_000         # chunks of each half of the table: some 350 MB in all
+STEP_BYTES = 1 << 24            # bytes of texts whose chunks are looked up together
 _OTHER_SPACES = "\x1c\x1d\x1e\x1f"
+_MAYBE_ODD = f"<\\||[{_OTHER_SPACES}\u0130\u0300-\U0010ffff]"      # texts that are looked at one by one
 _DOCS, _TOKENS = -1, -2         # rows of the counts that are not terms
 
 
@@ -58,10 +62,11 @@ class _Chunks(dict):
         if ids is None:
             if chunk.isalpha():
                 ids = self._word(chunk)
-            elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            elif chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
                 ids = self[chunk[:-1]] + self[chunk[-1]]
             else:
-                ids = b"".join(map(self._word, self.pieces(chunk)))
+                pieces = self.pieces(chunk)
+                ids = self._word(chunk) if pieces == [chunk] else b"".join([self[p] for p in pieces])
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -93,6 +98,46 @@ class _Encoder:
             return self.bpe.encode(text)
         return b"".join(map(self.chunk_ids, text.lower().split()))
 
+    def encode_all(self, texts: pa.Array, end_id: int, width: int) -> pa.Array:
+        """The ids of every text, ``end_id`` behind them, ``width`` bytes each.
+
+        The texts are split together and each of their different chunks is looked up once.  A text that
+        may need more than lower-casing is left empty here and counts as one chunk behind the split.
+        """
+        odd = pc.match_substring_regex(texts, _MAYBE_ODD)
+        alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, pa.scalar("", texts.type), texts)))
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        found = split.flatten().dictionary_encode()
+        del split
+        known = [*map(self.chunk_ids, found.dictionary.to_numpy(zero_copy_only=False)), words.packed([end_id])]
+        end = len(known) - 1
+        known += [self.encode(t) for t in texts.take(pa.array(alone)).to_pylist()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4 * width
+        joined = np.frombuffer(b"".join(known), "<u4").astype(f"<u{width}")
+        table = pa.Array.from_buffers(pa.binary(), len(known), [None, _offsets(sizes), pa.py_buffer(joined)])
+        del known
+        # behind the chunks of each text, or the text alone, stands its end
+        codes = np.insert(found.indices.to_numpy(), np.concatenate([ends[alone], ends]),
+                          np.concatenate([np.arange(end + 1, end + 1 + len(alone)), np.full(len(texts), end)]))
+        ends += np.searchsorted(alone, np.arange(len(texts)), side="right") + np.arange(1, len(texts) + 1)
+        del found
+        ids = table.take(pa.array(codes))
+        at = np.frombuffer(ids.buffers()[1], np.int32)[np.append(0, ends)]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at), ids.buffers()[2]])
+
+
+def _offsets(sizes: np.ndarray) -> pa.Buffer:
+    return pa.array(np.append(0, np.cumsum(sizes)), pa.int32()).buffers()[1]
+
+
+def _steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows from and to where the texts before add up to another ``STEP_BYTES``."""
+    if len(texts):
+        steps = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // STEP_BYTES
+        bounds = [0, *(np.flatnonzero(steps[1:] != steps[:-1]) + 1).tolist(), len(texts)]
+        yield from pairwise(bounds)
+
 
 def _arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
@@ -106,12 +151,11 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id
         encoder = _Encoder.load(vocabulary)
         width = _width(max(encoder.bpe.vocab.values()) if encoder.bpe.vocab else 0, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_PER_STEP):
-                part = batch.slice(at, ROWS_PER_STEP)
-                ids = [np.frombuffer(encoder.encode(t), "<u4") for t in part.column(1).to_pylist()]
-                tokens = [np.append(x, end_id).astype(f"<u{width}").tobytes() for x in ids]
+            for first, last in _steps(batch.column(1)):
+                part = batch.slice(first, last - first)
+                tokens = encoder.encode_all(part.column(1), end_id, width)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(tokens, pa.binary()), pa.array([width] * len(ids), pa.int32())],
+                    [part.column(0), tokens, pa.array(np.full(len(tokens), width, np.int32))],
                     names=["id", "tokens", "width"])
 
     return docs.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, tokens binary, width int")
