@@ -205,3 +205,72 @@ def test_training_rows_are_dealt_over_tasks(spark):
     sizes = dealt.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert dealt.columns == ["id"] and len(sizes) == 10 and sum(sizes) == 5_000 and max(sizes) <= 550
     assert models.in_tasks(one, ["id"], 500, 500).rdd.getNumPartitions() == 1
+
+
+def test_boosted_trees_are_those_of_spark(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from weir.operators import models
+
+    rows = spark.range(3_000).select(*[((F.hash("id", F.lit(k)) % n) * 1.0).alias(c) for k, (c, n) in enumerate([("a", 16), ("b", 9), ("c", 3)])]).withColumn(
+        "y", F.sin("a") * F.col("b") + F.when(F.col("a") > 3, F.col("c")).otherwise(-F.col("b")))
+    for trees, depth, cols in ((6, 4, ["a", "b", "c"]), (2, 1, ["c"])):
+        mine = models.fit_regressor(rows, cols, "y", trees, depth)
+        theirs = Pipeline(stages=[
+            VectorAssembler(inputCols=cols, outputCol="features"), GBTRegressor(labelCol="y", maxIter=trees, maxDepth=depth)]).fit(rows)
+        ours = models.score(mine, rows).withColumnRenamed("prediction", "ours")
+        assert theirs.transform(ours).filter("NOT abs(ours - prediction) < 1e-9").count() == 0
+        assert mine.stages[1].totalNumNodes == theirs.stages[1].totalNumNodes
+        assert abs(mine.stages[1].featureImportances.toArray() - theirs.stages[1].featureImportances.toArray()).max() < 1e-9
+
+
+def test_training_rows_are_stored_packed(spark, monkeypatch):
+    from weir.operators import boosting, models
+
+    n, seen, grown = 200_000, [], boosting._grown
+
+    def watched(blocks, *rest):
+        tree = grown(blocks, *rest)
+        stored = spark.sparkContext._jsc.sc().getRDDStorageInfo()
+        seen.append((blocks.getNumPartitions(), max(x.memSize() + x.diskSize() for x in stored if x.id() == blocks._jrdd.id())))
+        return tree
+
+    monkeypatch.setattr(boosting, "_grown", watched)
+    rows = spark.range(0, n, 1, 32).select(*[F.rand(k).alias(f"x{k}") for k in range(6)]).withColumn("y", F.col("x0") + F.col("x1"))
+    models.fit_regressor(rows, [f"x{k}" for k in range(6)], "y", trees=3, depth=2)
+    assert len(seen) == 3 and all(tasks <= spark.sparkContext.defaultParallelism and 0 < size < 20 * n for tasks, size in seen)
+    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+
+def test_thresholds_come_from_all_rows(spark):
+    from weir.operators import boosting
+
+    n = 300_000
+    rows = spark.range(0, n, 1, 5).select(
+        F.pow(F.rand(1), 3).alias("many"), (F.col("id") % 7).cast("double").alias("few"), F.lit(2.0).alias("one"),
+        F.when(F.col("id") == 5, 1.0).when(F.col("id") == 6, float("nan")).when(F.col("id") > 6, 0.0).alias("rare"), F.lit(0.0).alias("y"))
+    total, (many, few, one, rare) = boosting.thresholds(rows, 32)
+    assert total == n and few.tolist() == [k + 0.5 for k in range(6)] and one.tolist() == [] and rare.tolist() == [0.5]
+    shares = rows.groupBy(sum((F.col("many") > float(e)).cast("int") for e in many).alias("bin")).count().collect()
+    assert len(many) == 31 and len(shares) == 32 and all(abs(r["count"] / n - 1 / 32) < 0.004 for r in shares)
+
+
+def test_no_rows_and_no_target_are_errors(spark):
+    from weir.operators import models
+
+    rows = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "x double, y double")
+    with pytest.raises(ValueError, match="no training rows"):
+        models.fit_regressor(rows.filter("x > 5"), ["x"], "y")
+    with pytest.raises(Exception, match="without a target"):
+        models.fit_regressor(rows, ["x"], "y")
+
+
+def test_the_report_sorts_no_rows(spark):
+    from weir.plans.models import _report
+
+    rows = spark.createDataFrame([("train", 1.0, 1.5), ("train", 3.0, 2.5), ("test", 2.0, 2.0)], "split string, y double, prediction double")
+    report = _report(rows, "split", "y", rows.groupBy().agg(F.lit(2.0).alias("base")), "m")
+    assert "SortAggregate" not in report._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in report.select("split", "rows", "scored", "holds", "model").collect()} == {
+        ("train", 2, 2, True, "m"), ("test", 1, 1, False, "m")}
